@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -55,3 +55,13 @@ def sorted_join(pairs: Column, sep: str) -> Column:
 
 def distinct_sorted(items: Column) -> Column:
     return F.array_sort(F.array_distinct(items))
+
+
+def explode_indexed(df: DataFrame, ids: list, array: str | Column, index: str, value: str) -> DataFrame:
+    """One row per element with its position; empty and null arrays give no row.
+
+    The outer form is used on purpose: for the plain form the optimizer adds a
+    size filter below the generator, which would work out a computed array twice.
+    """
+    rows = df.select(*ids, F.posexplode_outer(array).alias(index, value))
+    return rows.where(F.col(index).isNotNull())

@@ -140,7 +140,7 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: dict[str, f
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running(counts, keys, [value], [Run("_upto", "sum", F.col("_n"))], **kw)
     totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
-    hit = ranked.join(totals, keys) if keys else ranked.crossJoin(totals)
+    hit = ranked.join(totals, keys)
     picks = []
     for name, share in shares.items():
         place = F.floor(F.col("_total") * F.lit(share))

@@ -1 +1,4 @@
+"""Named queries by family."""
 
+from foliant.plans import documents  # noqa: F401
+from foliant.plans.registry import ORACLES, QUERIES  # noqa: F401

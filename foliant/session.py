@@ -53,3 +53,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     _ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, below_bytes: int = 1 << 30) -> DataFrame:
+    """Even out a small input that sits in few row groups.
+
+    Text work is heavy per row, and a file of one row group would run as one task.
+    Inputs above the limit already arrive in many splits and are left alone.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) >= below_bytes:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
