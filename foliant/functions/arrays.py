@@ -50,11 +50,11 @@ def cut_at(items: Column, starts: Column) -> Column:
 
 def sorted_join(pairs: Column, sep: str) -> Column:
     """Join the text of array<struct<order, text>> in order."""
-    return F.array_join(F.transform(F.array_sort(pairs), lambda p: p["text"]), sep)
+    return F.array_join(F.transform(F.sort_array(pairs), lambda p: p["text"]), sep)
 
 
 def distinct_sorted(items: Column) -> Column:
-    return F.array_sort(F.array_distinct(items))
+    return F.sort_array(F.array_distinct(items))
 
 
 def explode_indexed(df: DataFrame, ids: list, array: str | Column, index: str, value: str) -> DataFrame:

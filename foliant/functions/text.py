@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliant.functions.arrays import bind
+
 # The white space of Unicode, as str.split and str.strip see it.
 SPACES = (
     "\t\n\u000b\u000c\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004"
@@ -59,10 +61,11 @@ def count_hits(text: Column, needles: list[str]) -> Column:
 
 
 def first_best(scores: list[tuple[str, Column]], default: Column | None = None, floor: int = 0) -> Column:
-    """Name of the highest score; the earlier name wins a tie."""
-    top = F.greatest(*[s for _, s in scores]) if len(scores) > 1 else scores[0][1]
-    out = None
-    for name, score in scores:
-        test = (score == top) & (score >= floor)
-        out = F.when(test, name) if out is None else out.when(test, name)
-    return out.otherwise(default) if default is not None else out
+    """Name of the highest score; the earlier name wins a tie. Below ``floor`` the default."""
+    names = F.array(*[F.lit(n) for n, _ in scores])
+
+    def pick(values: Column) -> Column:
+        best = F.get(names, F.array_position(values, F.array_max(values)).cast("int") - 1)
+        return best if default is None else F.when(F.array_max(values) >= floor, best).otherwise(default)
+
+    return bind(F.array(*[s for _, s in scores]), pick)

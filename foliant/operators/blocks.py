@@ -153,7 +153,7 @@ def documents_from_blocks(blocks: DataFrame, ids: list[str]) -> DataFrame:
     have = set(blocks.columns)
     fields = {n: F.col(n) for n in BLOCK_FIELDS if n in have}
     entry = F.struct(F.col("block_idx").alias("block_idx"), _block(fields).alias("b"))
-    rows = blocks.groupBy(*ids).agg(F.array_sort(F.collect_list(entry)).alias("_e"))
+    rows = blocks.groupBy(*ids).agg(F.sort_array(F.collect_list(entry)).alias("_e"))
     return rows.select(*ids, F.transform("_e", lambda e: e["b"]).alias("blocks"))
 
 

@@ -99,7 +99,7 @@ def block_tables(spark, sf_dir):
         ).alias("line"),
     )
     head = F.array(F.lit("Part"), F.lit("Supplier"), F.lit("Quantity"))
-    grids = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    grids = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("line")).alias("lines"))
     block = B.table_block(F.concat(F.array(head), F.transform("lines", lambda x: x["cells"])))
     t = grids.withColumn("t", block).where("t IS NOT NULL")
     fields = {"block_type": F.lit("table"), "headers": F.col("t.headers"), "rows": F.col("t.rows"),
