@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from foliant.functions.arrays import bind, distinct_sorted, sorted_join
+from foliant.functions.arrays import bind, distinct_sorted, explode_indexed, sorted_join
 from foliant.functions.text import SPACE_RUN, ascii_words, strip
 from foliant.operators.ordered import GROUP_LIMIT, Run, largest_group, running
 
@@ -310,9 +310,8 @@ def format_context(results: DataFrame, include_sources: bool = True) -> DataFram
 
 def resolve_citations(responses: DataFrame, results: DataFrame) -> DataFrame:
     """Each ``[n]`` of a response with result n of its query; unknown numbers are dropped."""
-    marks = responses.select(
-        "query_id", F.posexplode(F.regexp_extract_all("response", F.lit(r"\[([0-9]+)\]"), F.lit(1))).alias("place", "n")
-    ).withColumn("rank", F.when(~F.col("n").startswith("0"), F.col("n").try_cast("int")))
+    found = F.regexp_extract_all("response", F.lit(r"\[([0-9]+)\]"), F.lit(1))
+    marks = explode_indexed(responses, ["query_id"], found, "place", "n").withColumn("rank", F.when(~F.col("n").startswith("0"), F.col("n").try_cast("int")))
     return marks.join(results, ["query_id", "rank"]).withColumnRenamed("rank", "ref").drop("n")
 
 

@@ -1,4 +1,4 @@
 """Named queries by family."""
 
-from foliant.plans import documents, metadata, retrieval  # noqa: F401
+from foliant.plans import documents, metadata, rerank, retrieval, safety  # noqa: F401
 from foliant.plans.registry import ORACLES, QUERIES  # noqa: F401
