@@ -40,6 +40,11 @@ def find_all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def _if(test: Column, found: Column) -> Column:
+    """Skip the search in texts that can not match; most texts hold none of these."""
+    return F.when(test, found).otherwise(F.array().cast("array<string>"))
+
+
 def _whole(body: str) -> str:
     return "(?i)" + _L + body + _R
 
@@ -49,25 +54,25 @@ def capped(items: Column, cap: int) -> Column:
 
 
 def dates(text: Column, cap: int = 20) -> Column:
-    return capped(F.concat(*[find_all(text, _whole(b)) for b in DATE_BODIES]), cap)
+    return capped(_if(text.rlike("[0-9]"), F.concat(*[find_all(text, _whole(b)) for b in DATE_BODIES])), cap)
 
 
 def emails(text: Column, cap: int = 10) -> Column:
-    return capped(find_all(text, _whole(EMAIL_BODY)), cap)
+    return capped(_if(text.contains("@"), find_all(text, _whole(EMAIL_BODY))), cap)
 
 
 def urls(text: Column, cap: int = 10) -> Column:
-    return capped(find_all(text, "(?i)" + URL_BODY), cap)
+    return capped(_if(text.contains("://"), find_all(text, "(?i)" + URL_BODY)), cap)
 
 
 def phones(text: Column, cap: int = 10) -> Column:
-    return capped(find_all(text, "(?i)" + _L + PHONE_BODY + _R), cap)
+    return capped(_if(text.rlike("[0-9]{3}"), find_all(text, "(?i)" + _L + PHONE_BODY + _R)), cap)
 
 
 def significant_numbers(text: Column, cap: int = 20) -> Column:
     """Numbers above 100 or written with thousands commas."""
     keep = lambda n: n.contains(",") | (F.replace(n, F.lit(","), F.lit("")).cast("double") > 100)
-    return capped(F.filter(find_all(text, _whole(NUMBER_BODY)), keep), cap)
+    return capped(_if(text.rlike("[0-9]"), F.filter(find_all(text, _whole(NUMBER_BODY)), keep)), cap)
 
 
 def keywords(title: Column, headers: Column, cap: int = 30) -> Column:

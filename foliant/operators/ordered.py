@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from foliant.operators.joins import salted_join
 from foliant.session import cut_lineage
 
 GROUP_LIMIT = 5_000_000
@@ -127,8 +128,11 @@ def trailing_mean(df: DataFrame, order: list[str], value: str, n: int, name: str
     spread = numbered.withColumn("_home", home).withColumn(
         "_block", F.explode(F.when(tail, F.array(F.col("_home"), F.col("_home") + 1)).otherwise(F.array("_home")))
     )
-    window = W.partitionBy("_block").orderBy("_rn").rowsBetween(-(n - 1), 0)
-    out = spread.withColumn(name, F.avg(value).over(window)).where("_block = _home")
+    # sums from the start of a block, less the sum n rows back: each row is added once
+    window = W.partitionBy("_block").orderBy("_rn")
+    upto = spread.withColumn("_sum", F.sum(value).over(window.rowsBetween(W.unboundedPreceding, 0)))
+    last = F.col("_sum") - F.coalesce(F.lag("_sum", n).over(window), F.lit(0))
+    out = upto.withColumn(name, last / F.least(F.col("_rn"), F.lit(n))).where("_block = _home")
     return out.select(*df.columns, F.col("_rn").alias("position"), name)
 
 
@@ -140,7 +144,7 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: dict[str, f
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running(counts, keys, [value], [Run("_upto", "sum", F.col("_n"))], **kw)
     totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
-    hit = ranked.join(totals, keys)
+    hit = salted_join(ranked, totals, keys)
     picks = []
     for name, share in shares.items():
         place = F.floor(F.col("_total") * F.lit(share))

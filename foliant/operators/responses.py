@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from foliant.functions.arrays import bind, explode_indexed, sorted_join
 from foliant.operators.joins import salted_join
@@ -42,10 +41,10 @@ def scan_buffers(deltas: DataFrame, limit: int = SCAN_AFTER, inclusive: bool = F
         return F.struct(F.when(shut, 0).otherwise(size).alias("size"), (acc["scans"] + shut.cast("int")).alias("scans")).cast(state)
 
     start = lambda s: F.struct(s.alias("size"), F.lit(0).alias("scans")).cast(state)
-    more = F.max("part").over(W.partitionBy("response_id")) > 0
+    sizes = numbered.groupBy("response_id").agg((F.max("_n") > part).alias("_more"))
     # only responses of several parts need the table of outcomes
     table = F.when(F.col("_more"), F.transform(F.sequence(F.lit(0), F.lit(limit)), lambda s: F.aggregate("ds", start(s), step)))
-    tabled = parts.withColumn("_more", more).withColumn("_table", table)
+    tabled = salted_join(parts, sizes, ["response_id"], salts=4).withColumn("_table", table)
     chain = tabled.where("_more").groupBy("response_id").agg(
         F.sort_array(F.collect_list(F.struct("part", F.col("_table").alias("t")))).alias("ts"))
 

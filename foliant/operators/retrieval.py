@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from foliant.functions.arrays import bind, distinct_sorted, explode_indexed, sorted_join
 from foliant.functions.text import SPACE_RUN, ascii_words, strip
+from foliant.operators.joins import salted_join
 from foliant.operators.ordered import GROUP_LIMIT, Run, largest_group, running
 
 # How a query asks for a page, section, file or kind of content.
@@ -26,7 +27,8 @@ STOPWORDS = (
     "and or but not with from by can could would should will shall this that these those it its"
 ).split()
 
-QUERY_BLOCK = 2000  # queries whose terms or vectors one task holds at a time
+QUERY_BLOCK = 2000  # query vectors that one task holds at a time
+TERM_BLOCK = 200_000  # (query, term) pairs that one task holds at a time
 
 
 # ---- queries -------------------------------------------------------------
@@ -75,9 +77,9 @@ def _best(frame: pd.DataFrame, k: int) -> pd.DataFrame:
     return ordered.groupby("q", sort=False).head(k)
 
 
-def _query_blocks(queries: DataFrame, block: int) -> list[DataFrame]:
-    """Cut the queries into parts of about ``block``; one pass over the items per part."""
-    n = queries.count()
+def _query_blocks(queries: DataFrame, rows: DataFrame, block: int) -> list[DataFrame]:
+    """Cut the queries so that each part has about ``block`` of ``rows``; one pass over the items per part."""
+    n = rows.count()
     parts = -(-n // block)
     if parts <= 1:
         return [queries]
@@ -102,7 +104,7 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int, block: int = QUERY
     """
     schema = "query_id bigint, item_id bigint, score double"
     passes = []
-    for part in _query_blocks(queries, block):
+    for part in _query_blocks(queries, queries, block):
         rows = part.select("query_id", "vec").collect()  # at most about one block
         ids = np.array([r[0] for r in rows], dtype="int64")
         mat = np.array([r[1] for r in rows], dtype="float64").reshape(len(rows), -1)
@@ -134,7 +136,7 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int, block: int = QUERY
 
 
 def bm25_topk(queries: DataFrame, items: DataFrame, k: int, k1: float = 1.2, b: float = 0.75,
-              block: int = QUERY_BLOCK, digits: int = 6) -> DataFrame:
+              block: int = TERM_BLOCK, digits: int = 6) -> DataFrame:
     """The ``k`` items of highest BM25 per query.
 
     ``queries(query_id, text)`` and ``items(item_id, text)``. Document frequencies
@@ -149,7 +151,7 @@ def bm25_topk(queries: DataFrame, items: DataFrame, k: int, k1: float = 1.2, b:
     seen = seen.groupBy("term").count()  # combined before the shuffle, so a common term is cheap
     df_of = seen.join(terms.select("term").distinct(), "term")
     passes = []
-    for part in _query_blocks(queries, block):
+    for part in _query_blocks(queries, terms, block):
         part_terms = terms.join(part.select("query_id"), "query_id", "left_semi")
         rows = part_terms.join(df_of, "term").select("query_id", "term", "count").collect()
         if not rows or not mean_len:
@@ -245,7 +247,7 @@ def diversify(results: DataFrame, top_k: int, weight: float = 0.1, group_limit:
     out = running(out, ["query_id", "source"], order, [Run("_same_source", "count", None, True)], **known)
     out = running(out, ["query_id", "source", "section"], order, [Run("_same_section", "count", None, True)], **known)
     sizes = results.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
-    out = out.join(sizes, "query_id")
+    out = salted_join(out, sizes, ["query_id"])
     penalty = (F.col("_same_source") * 0.1 + F.col("_same_section") * 0.2) * weight
     adjusted = F.when(F.col("_n") <= top_k, F.col("score")).otherwise(F.col("score") * (1 - penalty))
     return out.withColumn("adjusted", adjusted).drop("_down", "_same_source", "_same_section", "_n")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.operators import retrieval as R
+from foliant.operators.joins import salted_join
 from foliant.plans.registry import query
 from foliant.session import spread, table
 
@@ -157,8 +158,7 @@ def candidates(spark, sf_dir):
         F.round(F.col("l_extendedprice") / 100000, 3).alias("score"),
         F.concat(F.lit("line "), F.col("l_orderkey").cast("string"), F.lit("/"), n.cast("string")).alias("content"),
     )
-    # the question table is joined on its key; the planner broadcasts it while it is small
-    return rows.join(info, "query_id")
+    return salted_join(rows, info, ["query_id"], salts=8)
 
 
 def ranked(spark, sf_dir):

@@ -15,6 +15,7 @@ from foliant.functions.extract import URL_BODY, find_all
 from foliant.functions.language import by_script
 from foliant.functions.text import words
 from foliant.operators import safety as G
+from foliant.operators.joins import salted_join
 from foliant.plans.metadata import _SCRIPT_SQL
 from foliant.plans.registry import query
 from foliant.plans.retrieval import _sq
@@ -164,7 +165,7 @@ def scan_urls(spark, sf_dir):
     hosts = links.withColumn("host", S.url_host(F.col("u")))
     denied = spread(table(spark, sf_dir, "pages").select("url")).select(S.url_host(F.col("url")).alias("host")).where(
         F.col("host").endswith("spam-farm.example.org")).distinct().withColumn("denied", F.lit(True))
-    j = hosts.join(denied, "host", "left")
+    j = salted_join(hosts, denied, ["host"], "left")
     return j.groupBy("page_id").agg(
         F.count(F.lit(1)).alias("urls"), F.round(F.max(S.url_risk(F.col("u"))), 6).alias("risk"), F.count_if(F.col("denied")).alias("denied"))
 
