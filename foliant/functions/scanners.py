@@ -59,7 +59,7 @@ PERSONAL = {
     "EMAIL": EMAIL_BODY,
     "IP": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",
     "CARD": r"[0-9]{16}",
-    "PHONE": r"\+?[0-9]{0,3} ?\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}",
+    "PHONE": r"(?:\+[0-9]{1,3} ?)?\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}",
 }
 
 

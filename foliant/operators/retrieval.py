@@ -106,6 +106,8 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int, block: int = QUERY
     passes = []
     for part in _query_blocks(queries, queries, block):
         rows = part.select("query_id", "vec").collect()  # at most about one block
+        if not rows:
+            continue
         ids = np.array([r[0] for r in rows], dtype="int64")
         mat = np.array([r[1] for r in rows], dtype="float64").reshape(len(rows), -1)
         mat = mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-300)
@@ -128,8 +130,7 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int, block: int = QUERY
                 yield pd.DataFrame({"query_id": ids[kept["q"].astype(int)], "item_id": kept["item_id"].astype("int64"),
                                     "score": kept["score"]})
 
-        if len(rows):
-            passes.append(items.select("item_id", "vec").mapInPandas(score, schema))
+        passes.append(items.select("item_id", "vec").mapInPandas(score, schema))
     if not passes:
         return items.sparkSession.createDataFrame([], schema + ", rank int")
     return _union_top(passes, k)

@@ -293,17 +293,17 @@ def summary_fallback(spark, sf_dir):
 _ENT_SQL = f"""{_LINKS_SQL}, ent AS (SELECT path, 'folder' AS kind, NULL::BIGINT AS size, summary FROM said UNION ALL SELECT path, 'file', size, 'a | b' || chr(10) || page_id FROM tfiles)"""
 
 
-def _entries(spark, sf_dir):
+def tree_entries(spark, sf_dir):
     f = tree_files(spark, sf_dir).withColumn("summary", F.concat(F.lit("a | b\n"), F.col("page_id").cast("string")))
-    return P.walk_order(P.entries(f))
+    return P.entries(f)
 
 
 @query("tree_json_rows", f"""WITH {_ENT_SQL} SELECT CASE WHEN path = '.' THEN './' ELSE './' || path END AS path, kind, coalesce(size::VARCHAR, '') AS size, replace(summary, chr(10), ' ') AS summary FROM ent""")
 def tree_json_rows(spark, sf_dir):
-    return P.json_fields(_entries(spark, sf_dir))
+    return P.json_fields(P.walk_order(tree_entries(spark, sf_dir)))
 
 
 @query("tree_markdown_rows", f"""WITH {_ENT_SQL} SELECT '| ' || CASE WHEN path = '.' THEN './' ELSE './' || path END || ' | ' || kind || ' | ' || coalesce(size::VARCHAR, '') || ' | ' ||
   replace(replace(summary, chr(10), ' '), '|', '\\|') || ' |' AS line FROM ent""")
 def tree_markdown_rows(spark, sf_dir):
-    return P.markdown_rows(_entries(spark, sf_dir)).select("line")
+    return P.markdown_rows(P.walk_order(tree_entries(spark, sf_dir))).select("line")

@@ -127,3 +127,12 @@ def result_reuse(spark, sf_dir):
         "event_id", sec.alias("sec"), F.concat(F.col("user_id").cast("string"), F.lit(":"), F.col("event_type")).alias("fingerprint"))
     old = e.where("sec < 1705276800").select("fingerprint", F.col("sec").alias("stored_sec"))
     return K.reusable(e.where("sec >= 1705276800"), old, 86400).select("event_id", "reuse")
+
+
+@query("rerank_model_scores", f"WITH {_TALK_SQL} SELECT query_id, doc_index, round(length(text) / (length(query) + length(text))::DOUBLE, 6) AS score FROM talk")
+def rerank_model_scores(spark, sf_dir):
+    """A Python model, loaded once per task and called in batches."""
+    def load():
+        return lambda queries, texts: [len(t) / (len(q) + len(t)) for q, t in zip(queries, texts)]
+
+    return K.score_pairs(talk_pairs(spark, sf_dir), load).select("query_id", "doc_index", F.round("score", 6).alias("score"))

@@ -32,13 +32,16 @@ _TURNS_SQL = "turns AS (SELECT conv_id, turn, role, ([" + ", ".join(f"'{p}'" for
     "])[((conv_id * 3 + turn) % 10 + 1)::INT] || ' ' || text AS text FROM conversations)"
 
 
-def marked_turns(spark, sf_dir):
+def mark_turns(c):
     k = ((F.col("conv_id") * 3 + F.col("turn")) % 10 + 1).cast("int")
     phrase = F.element_at(F.array(*[F.lit(p) for p in _PHRASES]), k)
-    c = table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", "role", F.concat(phrase, F.lit(" "), F.col("text")).alias("text"))
 
 
+def marked_turns(spark, sf_dir):
+    return mark_turns(table(spark, sf_dir, "conversations"))
+
+
 def _docs(spark, sf_dir):
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -14,11 +15,15 @@ from foliant.functions import messages as M
 from foliant.operators import blocks as B
 from foliant.operators import chunks as C
 from foliant.operators import responses as R
-from foliant.plans.registry import query
-from foliant.plans.safety import _EVENTS_SQL, _PHRASES, _TURNS_SQL, marked_turns
-from foliant.session import spread, table
+from foliant.plans.collection import tree_entries
+from foliant.plans.documents import _CHUNK_COLS_SQL
+from foliant.plans.registry import ORACLES, query
+from foliant.plans.safety import _EVENTS_SQL, _TURNS_SQL, mark_turns, marked_turns
+from foliant.plans.shared import text_documents
+from foliant.session import shared_folder, spread, table
 from foliant.sources import files as S
 from foliant.sources import html as H
+from foliant.sources import logs, sinks
 from foliant.streaming import guard, rates, run
 
 RULES = ["dangerous", "as an ai", "stupid", "ignore all previous"]
@@ -72,10 +77,7 @@ def guarded_responses_inclusive(spark, sf_dir):
 def guarded_stream(spark, sf_dir):
     """The same guard as a stateful stream over the conversations table."""
     src = run.read_table_stream(spark, sf_dir, "conversations")
-    k = ((F.col("conv_id") * 3 + F.col("turn")) % 10 + 1).cast("int")
-    phrase = F.element_at(F.array(*[F.lit(p) for p in _PHRASES]), k)
-    turns = src.select("conv_id", "turn", "role", F.concat(phrase, F.lit(" "), F.col("text")).alias("text"))
-    out = run.drain(guard.guard_stream(deltas(turns), RULES, idle_ms=None))
+    out = run.drain(guard.guard_stream(deltas(mark_turns(src)), RULES, idle_ms=None))
     return out.select(F.col("response_id").cast("bigint"), "seq", "kind", "text")
 
 
@@ -194,3 +196,61 @@ def file_inventory(spark, sf_dir):
     """The files of the given tables themselves."""
     inv = S.file_inventory(spark, sf_dir, [".parquet"])
     return inv.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "size", "ext")
+
+
+# ---- sources and sinks through the shared folder -----------------------------------
+
+def _folder(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("chunk_sink", ORACLES["chunk_hybrid"].replace(_CHUNK_COLS_SQL, " SELECT doc_id, chunk_no, chunk_id, content FROM chunks"))
+def chunk_sink(spark, sf_dir):
+    """Chunks written for a loader and read back."""
+    home = _folder(spark, "chunks")
+    sinks.write_chunks(C.chunk_documents(text_documents(spark, sf_dir), ["doc_id"], "hybrid", 600), home, buckets=8)
+    return spark.read.parquet(home).select("doc_id", F.col("chunk_no").cast("bigint"), "chunk_id", "content")
+
+
+@query("tree_json_sink", ORACLES["tree_json_rows"])
+def tree_json_sink(spark, sf_dir):
+    home = _folder(spark, "json")
+    sinks.write_entries_json(tree_entries(spark, sf_dir), home)
+    return spark.read.schema("path string, kind string, size string, summary string").json(home)
+
+
+@query("tree_markdown_sink", ORACLES["tree_markdown_rows"])
+def tree_markdown_sink(spark, sf_dir):
+    home = _folder(spark, "markdown")
+    sinks.write_markdown(tree_entries(spark, sf_dir), home, "pages", "the pages table")
+    lines = spark.read.text(home).withColumnRenamed("value", "line")
+    return lines.where("line LIKE '| %' AND line NOT IN ('| Path | Type | Size | Summary |', '| --- | --- | --- | --- |')")
+
+
+@query("csv_source", "SELECT event_id::VARCHAR AS event_id, event_type, user_id::VARCHAR AS user_id FROM events")
+def csv_source(spark, sf_dir):
+    """Every event written as CSV with a header and read back as text."""
+    home = _folder(spark, "csv")
+    table(spark, sf_dir, "events").select("event_id", "event_type", "user_id").write.csv(home, header=True)
+    return S.read_csv(spark, home)
+
+
+@query("access_log_source", "SELECT count(*) AS lines, count(*) FILTER (WHERE event_type = 'error') AS failed, count(DISTINCT event_type) AS paths FROM events")
+def access_log_source(spark, sf_dir):
+    home = _folder(spark, "log")
+    e = table(spark, sf_dir, "events")
+    e.select(F.concat(
+        F.lit("10.0.0.1 - - ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "POST /'), F.col("event_type"), F.lit(' HTTP/1.1" '),
+        F.when(F.col("event_type") == "error", "500").otherwise("200"), F.lit(' 1 "-" "-" "-" rt=1 uct="1" uht="1" urt="1"'))).write.text(home)
+    log = logs.read_access_log(spark, home).where("ok")
+    return log.agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("status") >= 400).alias("failed"), F.count_distinct("path").alias("paths"))
+
+
+@query("audited_stream", f"WITH {_DELTAS_SQL} SELECT response_id, 0::BIGINT AS part, NOT regexp_matches(lower(string_agg(text, '' ORDER BY seq)), '{_UNSAFE}') AS allowed FROM deltas GROUP BY response_id")
+def audited_stream(spark, sf_dir):
+    """Deltas passed on unchecked, with the whole answers judged once they are done."""
+    home = _folder(spark, "audit")
+    src = run.read_table_stream(spark, sf_dir, "conversations")
+    job = guard.audit_stream(deltas(mark_turns(src)), f"{home}/raw", f"{home}/audit", f"{home}/open", RULES, f"{home}/checkpoint")
+    job.awaitTermination()
+    return spark.read.parquet(f"{home}/audit").select("response_id", "part", "allowed")
