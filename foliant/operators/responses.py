@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from foliant.functions.arrays import bind, explode_indexed, sorted_join
 from foliant.operators.joins import salted_join
-from foliant.operators.ordered import row_numbers
+from foliant.operators.ordered import largest_group, row_numbers
+from foliant.session import cut_lineage
 
 # Fixed value: characters to gather before a scan.
 SCAN_AFTER = 50
@@ -22,17 +23,12 @@ def _full(size: Column, limit: int, inclusive: bool) -> Column:
     return size >= limit if inclusive else size > limit
 
 
-def scan_buffers(deltas: DataFrame, limit: int = SCAN_AFTER, inclusive: bool = False, part: int = PART) -> DataFrame:
-    """The texts that a buffered guard looks at: ``buffer_no, text, first_seq, last_seq, is_last``.
-
-    A buffer closes when it holds more than ``limit`` characters. Where it closes
-    depends on the deltas before it, but only through the length of the open buffer,
-    which is at most ``limit``. So a long response is cut into parts, each part is
-    worked out for every possible open length at once, and the parts are chained.
-    """
-    numbered = row_numbers(deltas, ["response_id"], ["seq"], "_n")
-    parts = numbered.groupBy("response_id", F.floor((F.col("_n") - 1) / part).alias("part")).agg(
-        F.sort_array(F.collect_list(F.struct("seq", F.coalesce("text", F.lit("")).alias("text")))).alias("ds"))
+def _chained_parts(deltas: DataFrame, pack: Column, largest: int, limit: int, inclusive: bool, part: int) -> DataFrame:
+    """Parts of all responses with the open length and the number of scans they start from."""
+    numbered = row_numbers(deltas, ["response_id"], ["seq"], "_n", known_largest=largest)
+    place = F.floor((F.col("_n") - 1) / part).alias("part")
+    # used twice below: for the table of outcomes and for the texts
+    parts = cut_lineage(numbered.groupBy("response_id", place).agg(pack.alias("ds")))
     state = "struct<size:int,scans:int>"
 
     def step(acc: Column, d: Column) -> Column:
@@ -41,7 +37,7 @@ def scan_buffers(deltas: DataFrame, limit: int = SCAN_AFTER, inclusive: bool = F
         return F.struct(F.when(shut, 0).otherwise(size).alias("size"), (acc["scans"] + shut.cast("int")).alias("scans")).cast(state)
 
     start = lambda s: F.struct(s.alias("size"), F.lit(0).alias("scans")).cast(state)
-    sizes = numbered.groupBy("response_id").agg((F.max("_n") > part).alias("_more"))
+    sizes = parts.groupBy("response_id").agg((F.max("part") > 0).alias("_more"))
     # only responses of several parts need the table of outcomes
     table = F.when(F.col("_more"), F.transform(F.sequence(F.lit(0), F.lit(limit)), lambda s: F.aggregate("ds", start(s), step)))
     tabled = salted_join(parts, sizes, ["response_id"], salts=4).withColumn("_table", table)
@@ -54,7 +50,24 @@ def scan_buffers(deltas: DataFrame, limit: int = SCAN_AFTER, inclusive: bool = F
 
     entry = F.aggregate("ts", F.array(start(F.lit(0))), link)
     entries = explode_indexed(chain, ["response_id"], entry, "part", "entry").withColumn("part", F.col("part").cast("bigint"))
-    ready = tabled.drop("_table").join(entries, ["response_id", "part"], "left")
+    return parts.join(entries, ["response_id", "part"], "left")
+
+
+def scan_buffers(deltas: DataFrame, limit: int = SCAN_AFTER, inclusive: bool = False, part: int = PART) -> DataFrame:
+    """The texts that a buffered guard looks at: ``buffer_no, text, first_seq, last_seq, is_last``.
+
+    A buffer closes when it holds more than ``limit`` characters. Where it closes
+    depends on the deltas before it, but only through the length of the open buffer,
+    which is at most ``limit``. So a long response is cut into parts, each part is
+    worked out for every possible open length at once, and the parts are chained.
+    """
+    pack = F.sort_array(F.collect_list(F.struct("seq", F.coalesce("text", F.lit("")).alias("text"))))
+    largest = largest_group(deltas, ["response_id"])
+    if largest <= part:
+        whole = deltas.groupBy("response_id").agg(pack.alias("ds"))
+        ready = whole.withColumns({"part": F.lit(0).cast("bigint"), "entry": F.lit(None).cast("struct<size:int,scans:int>")})
+    else:
+        ready = _chained_parts(deltas, pack, largest, limit, inclusive, part)
 
     fold = "struct<n:int,size:int,ends:array<int>>"
 
@@ -104,8 +117,9 @@ def guard_deltas(deltas: DataFrame, unsafe: Column, limit: int = SCAN_AFTER, inc
     buffers = scan_buffers(alive.select("response_id", "seq", "text"), limit, inclusive, part)
     # the rest of a response that broke off is never scanned
     checked = buffers.join(broken, "response_id", "left").where("NOT (is_last AND _error_seq IS NOT NULL)").drop("_error_seq")
-    hit = checked.where(unsafe & (F.col("text") != "")).groupBy("response_id").agg(
-        F.min(F.struct("buffer_no", "first_seq", "last_seq", "is_last")).alias("_hit"))
+    # one row per blocked response, needed three times below
+    hit = cut_lineage(checked.where(unsafe & (F.col("text") != "")).groupBy("response_id").agg(
+        F.min(F.struct("buffer_no", "first_seq", "last_seq", "is_last")).alias("_hit")))
     joined = salted_join(alive, hit, ["response_id"], "left")
     # a full buffer blocks in place of its last delta; the rest is passed on before it is scanned
     before = F.col("seq") < F.col("_hit.first_seq") if hold else (F.col("_hit.is_last") | (F.col("seq") < F.col("_hit.last_seq")))
