@@ -38,14 +38,11 @@ def cut_at(items: Column, starts: Column) -> Column:
 
     Every element is copied once, so the cost is linear in the array length.
     """
-    return F.transform(
-        starts,
-        lambda s, j: F.struct(
-            s.alias("start"),
-            (F.coalesce(F.get(starts, j + 1), F.size(items)) - 1).alias("end"),
-            F.slice(items, s + 1, F.coalesce(F.get(starts, j + 1), F.size(items)) - s).alias("items"),
-        ),
-    )
+    def run(all_starts: Column, s: Column, j: Column) -> Column:
+        return bind(F.coalesce(F.get(all_starts, j + 1), F.size(items)), lambda stop: F.struct(
+            s.alias("start"), (stop - 1).alias("end"), F.slice(items, s + 1, stop - s).alias("items")))
+
+    return bind(starts, lambda st: F.transform(st, lambda s, j: run(st, s, j)))
 
 
 def sorted_join(pairs: Column, sep: str) -> Column:

@@ -14,6 +14,7 @@ from foliant.functions.arrays import bind, distinct_sorted, explode_indexed, sor
 from foliant.functions.text import SPACE_RUN, ascii_words, strip
 from foliant.operators.joins import salted_join
 from foliant.operators.ordered import GROUP_LIMIT, Run, largest_group, running
+from foliant.session import cut_lineage
 
 # How a query asks for a page, section, file or kind of content.
 PAGE_ASK = r"(?i)(?:page|p\.?)\s*([0-9]+)"
@@ -147,10 +148,15 @@ def bm25_topk(queries: DataFrame, items: DataFrame, k: int, k1: float = 1.2, b:
     schema = "query_id bigint, item_id bigint, score double"
     tokens = items.select("item_id", query_keywords(F.col("text")).alias("toks"))
     terms = queries.select("query_id", F.explode(F.array_distinct(query_keywords(F.col("text")))).alias("term"))
-    total, mean_len = tokens.agg(F.count(F.lit(1)), F.avg(F.size("toks"))).first()
-    seen = tokens.select(F.explode(F.array_distinct("toks")).alias("term"))
-    seen = seen.groupBy("term").count()  # combined before the shuffle, so a common term is cheap
-    df_of = seen.join(terms.select("term").distinct(), "term")
+    # one pass for all counts: the empty term stands for the item itself and its length;
+    # counts are combined before the shuffle, so a common term is cheap
+    marks = tokens.select(
+        F.size("toks").alias("n"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("toks"))).alias("term"))
+    seen = marks.groupBy("term").agg(F.count(F.lit(1)).alias("count"), F.sum(F.when(F.col("term") == "", F.col("n"))).alias("length"))
+    wanted = terms.select("term").distinct().unionByName(items.sparkSession.createDataFrame([("",)], "term string"))
+    df_of = cut_lineage(seen.join(wanted, "term"))
+    overall = df_of.where("term = ''").first()
+    total, mean_len = (overall["count"], overall["length"] / overall["count"]) if overall else (0, 0.0)
     passes = []
     for part in _query_blocks(queries, terms, block):
         part_terms = terms.join(part.select("query_id"), "query_id", "left_semi")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,13 +53,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back from there.
+    """Write ``df`` as a table in the shared folder and read it back from there.
 
     Used where a plan is consumed more than once and must not be recomputed
-    differently after an executor is lost.
+    differently after an executor is lost. The rows are worked out once; a reliable
+    checkpoint() would work them out a second time to write them.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, below_bytes: int = 1 << 30) -> DataFrame:
