@@ -136,18 +136,22 @@ def trailing_mean(df: DataFrame, order: list[str], value: str, n: int, name: str
     return out.select(*df.columns, F.col("_rn").alias("position"), name)
 
 
-def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], **kw) -> DataFrame:
+def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: dict[str, float],
+                 also: dict[str, Column] | None = None, **kw) -> DataFrame:
     """The ``int(n * share)``-th smallest value per group, for each named share.
 
+    ``also`` names further aggregates of the group, taken in the same pass as its size.
+
     Equal values are counted first, so what is ranked is the distinct values.
     """
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running(counts, keys, [value], [Run("_upto", "sum", F.col("_n"))], **kw)
-    totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
+    also = also or {}
+    totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"), *[c.alias(n) for n, c in also.items()])
     hit = salted_join(ranked, totals, keys)
     picks = []
     for name, share in shares.items():
         place = F.floor(F.col("_total") * F.lit(share))
         inside = (F.col("_upto") >= place) & (F.col("_upto") - F.col("_n") < place)
         picks.append(F.max(F.when(inside, F.col(value))).alias(name))
-    return hit.groupBy(*keys).agg(*picks)
+    return hit.groupBy(*keys).agg(*[F.first(n).alias(n) for n in also], *picks)

@@ -86,9 +86,8 @@ def recent_batch_mean(batches: DataFrame, order: list[str], size: str, n: int =
 
 def latency_summary(requests: DataFrame, keys: list[str], value: str, **kw) -> DataFrame:
     """min, mean, max and nearest-rank p50, p95, p99 per group."""
-    base = requests.groupBy(*keys).agg(F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max"))
-    ranks = nearest_rank(requests, keys, value, {"p50": 0.50, "p95": 0.95, "p99": 0.99}, **kw)
-    return base.join(ranks, keys)
+    also = {"min": F.min(value), "mean": F.avg(value), "max": F.max(value)}
+    return nearest_rank(requests, keys, value, {"p50": 0.50, "p95": 0.95, "p99": 0.99}, also, **kw)
 
 
 def window_metrics(requests: DataFrame, seconds: int, keys: list[str], step: int | None = None) -> DataFrame:

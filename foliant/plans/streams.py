@@ -15,6 +15,7 @@ from foliant.functions import messages as M
 from foliant.operators import blocks as B
 from foliant.operators import chunks as C
 from foliant.operators import responses as R
+from foliant.operators import traffic as T
 from foliant.plans.collection import tree_entries
 from foliant.plans.documents import _CHUNK_COLS_SQL
 from foliant.plans.registry import ORACLES, query
@@ -103,7 +104,8 @@ def rewritten_event_stream(spark, sf_dir):
 
 def _event_stream(spark, sf_dir):
     e = run.read_table_stream(spark, sf_dir, "events")
-    return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type",
+    # an instant that does not depend on the session's time zone
+    return e.select("event_id", F.timestamp_micros(T.micros("ts")).alias("ts"), "user_id", "event_type",
                     F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"))
 
 
