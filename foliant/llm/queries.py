@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import decontaminate
-from foliant.session import table
+from foliant.llm import decontaminate, toxicity
+from foliant.session import cut_lineage, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +50,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10, keep=["doc_id"])
     return found.drop("items")
+
+
+def _fold_of(doc_id: str = "doc_id"):
+    """crc32 of the id as text; rows of remainder 2 by 4 are held out."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary"))
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every whole text; counts from three quarters of the learnable rows, the curve from the rest."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", _fold_of().alias("fold"))
+    labels = table(spark, sf_dir, "labels").where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(
+        (F.max("toxic") > 0).alias("label"))
+    learn, judge = F.col("fold") % 4 != 2, F.floor(F.col("fold") / 4) % 4 == 0
+    model = toxicity.fit(docs.where(learn & ~judge).join(labels, "doc_id"))
+    judged = cut_lineage(toxicity.features(docs, model, ["doc_id", "fold"]))
+    weights = toxicity.calibrate(judged.where(learn & judge).join(labels, "doc_id"))
+    score = toxicity.score(weights)
+    return judged.select(
+        "doc_id", F.coalesce(F.col("fold") % 4 == 2, F.lit(False)).alias("held_out"), score.alias("score"),
+        (score >= 0.3).cast("int").alias("predicted"), "mean_ratio", "peak_ratio")
