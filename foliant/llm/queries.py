@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import decontaminate, toxicity
+from foliant.llm import decontaminate, langid, toxicity
 from foliant.session import cut_lineage, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
+#: Rows of each language that the language model learns from, and is calibrated on.
+LANGUAGE_SAMPLE = 1000
+
 
 def query(name: str, sql: str | None = None):
     def add(build):
@@ -71,3 +74,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(
         "doc_id", F.coalesce(F.col("fold") % 4 == 2, F.lit(False)).alias("held_out"), score.alias("score"),
         (score >= 0.3).cast("int").alias("predicted"), "mean_ratio", "peak_ratio")
+
+
+@query("op1_language")
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from the rows outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    learn = docs.where(_fold_of() % 4 != 2)
+    model = langid.train(langid.draw_sample(learn, "doc_id", "text", "lang", LANGUAGE_SAMPLE))
+    held = F.coalesce(_fold_of() % 4 == 2, F.lit(False)).alias("held_out")
+    return langid.predict(docs, model, ["doc_id", held])
