@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import decontaminate, langid, toxicity
+from foliant.llm import decontaminate, langid, quality, toxicity
 from foliant.session import cut_lineage, table
 
 QUERIES: dict = {}
@@ -84,3 +84,50 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.train(langid.draw_sample(learn, "doc_id", "text", "lang", LANGUAGE_SAMPLE))
     held = F.coalesce(_fold_of() % 4 == 2, F.lit(False)).alias("held_out")
     return langid.predict(docs, model, ["doc_id", held])
+
+
+_SQL_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _sql_drop(text: str, characters: str) -> str:
+    return f"translate({text}, {characters}, '')"
+
+
+_SQL_BAD_LINE = f"""
+  len(solid) > 0 AND (
+    len(solid) - len({_sql_drop('solid', "'" + quality.SYMBOLS + "'")}) > len(solid) * 0.1
+    OR (nw >= 4 AND (len(solid) - len(translate(solid, '!?', ''))) * 2 >= nw)
+    OR (len(solid) - len(translate(solid, '{quality.SEPARATORS}', '')) >= 3 AND (len(solid) - len(translate(solid, '{quality.SEPARATORS}', ''))) * 4 >= nw)
+    OR (nw <= 20 AND regexp_matches(line, '{quality.BOILERPLATE}')))
+"""
+
+
+@query("op6_quality", f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+worded AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w, {_sql_drop('text', _SQL_SPACES)} AS solid FROM docs),
+windows AS (
+  SELECT r, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS g
+  FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS p FROM worded WHERE len(w) >= 3)),
+twice AS (SELECT r, g FROM windows GROUP BY r, g HAVING count(*) > 1),
+repeats AS (
+  SELECT r, count(DISTINCT x) AS n FROM (SELECT r, unnest(range(p, p + 3)) AS x FROM windows SEMI JOIN twice USING (r, g)) GROUP BY r),
+lines AS (
+  SELECT r, line, {_sql_drop('line', _SQL_SPACES)} AS solid, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS nw
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs)),
+by_line AS (
+  SELECT r, count(*) FILTER (len(solid) > 0) AS n, count(DISTINCT line) FILTER (len(solid) > 0) AS different,
+         count(*) FILTER ({_SQL_BAD_LINE}) AS bad, coalesce(sum(len(solid)) FILTER ({_SQL_BAD_LINE}), 0) AS lost
+  FROM lines GROUP BY r),
+all_of AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, len(solid)::BIGINT AS word_chars,
+         (len(solid) - len({_sql_drop('solid', "'" + quality.SYMBOLS + "'")}))::BIGINT AS n_symbols,
+         (b.n - different)::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words,
+         b.n::BIGINT AS n_lines, bad::BIGINT AS n_removed_lines, lost::BIGINT AS removed_chars
+  FROM worded JOIN by_line b USING (r) LEFT JOIN repeats USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND removed_chars <= word_chars * 0.3 AS kept
+FROM all_of
+""")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every whole text."""
+    return quality.judge(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("clean_text")
