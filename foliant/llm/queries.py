@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import decontaminate, langid, quality, toxicity
+from foliant.llm import decontaminate, langid, licenses, quality, toxicity, urlfilter
 from foliant.session import cut_lineage, table
 
 QUERIES: dict = {}
@@ -131,3 +131,61 @@ FROM all_of
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every whole text."""
     return quality.judge(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("clean_text")
+
+
+_SQL_SITE = ", ".join(f"('{r.action}', '{r.rule}', '{r.rule.partition('/')[0]}', '/{r.rule.partition('/')[2]}')" for r in urlfilter.SITE_RULES)
+_SQL_PATTERN = ", ".join(f"('{r.name}', '{r.regex}')" for r in urlfilter.PATTERN_RULES)
+
+
+@query("op2_url_filter", f"""
+WITH rules(action, rule, rule_host, rule_path) AS (VALUES {_SQL_SITE}),
+patterns(name, regex) AS (VALUES {_SQL_PATTERN}),
+cut AS (
+  SELECT row_number() OVER () AS r, page_id,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+site AS (
+  SELECT r, arg_max(rule, (length(rule), action = 'block', rule)) AS rule, arg_max(action, (length(rule), action = 'block', rule)) AS action
+  FROM cut JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY r),
+other AS (
+  SELECT r, arg_max(name, (length(name), name)) AS pattern FROM cut JOIN patterns ON regexp_matches(host || path, regex) GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+       CASE WHEN rule IS NULL THEN pattern END AS pattern
+FROM cut LEFT JOIN site USING (r) LEFT JOIN other USING (r)
+""")
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"), keep=["page_id"]).drop("n_candidates")
+
+
+_SQL_TEMPLATES = ", ".join(
+    "('" + name + "', [" + ", ".join(f"'{b}'" for b in licenses.template_bigrams(text)) + "])"
+    for name, texts in sorted(licenses.TEMPLATES.items()) for text in texts)
+
+
+@query("op8_licenses", f"""
+WITH templates(name, b) AS (VALUES {_SQL_TEMPLATES}),
+docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^0-9a-z\\n]+', ' ', 'g') AS t FROM documents),
+blocks AS (SELECT r, t, string_split_regex(t, '\\n(?: *\\n)+') AS b FROM docs),
+parts AS (
+  SELECT r, unnest(string_split(t, chr(10))) AS p FROM blocks
+  UNION ALL SELECT r, unnest(b) FROM blocks UNION ALL SELECT r, t FROM blocks WHERE len(b) > 1),
+units AS (SELECT row_number() OVER () AS u, r, regexp_extract_all(p, '[0-9a-z]+') AS w FROM parts),
+grams AS (SELECT u, r, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS g FROM units WHERE len(w) > 1),
+compared AS (
+  SELECT r, name, 2.0::DOUBLE * len(list_intersect(g, b)) / (len(g) + len(b)) AS dice FROM grams JOIN templates
+  ON len(g) >= ceil(len(b) * (0.8::DOUBLE / (2 - 0.8::DOUBLE)) - 1e-9) AND len(g) <= floor(len(b) * ((2 - 0.8::DOUBLE) / 0.8::DOUBLE) + 1e-9)),
+hits AS (SELECT r, max(dice) AS dice, count(*) AS n, list_sort(list_distinct(list(name))) AS names FROM compared WHERE dice >= 0.8 GROUP BY r),
+best AS (SELECT r, min(name) AS name FROM compared JOIN hits USING (r, dice) GROUP BY r),
+counted AS (SELECT r, count(*) AS n FROM compared GROUP BY r)
+SELECT doc_id, best.name AS license, dice, coalesce(array_to_string(names, ','), '') AS licenses, coalesce(hits.n, 0)::BIGINT AS n_hits,
+       coalesce(counted.n, 0)::BIGINT AS n_compared
+FROM docs LEFT JOIN hits USING (r) LEFT JOIN best USING (r) LEFT JOIN counted USING (r)
+""")
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses that units of each whole text match."""
+    found = licenses.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.withColumn("licenses", F.array_join("licenses", ","))
