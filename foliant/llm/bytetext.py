@@ -134,7 +134,7 @@ def words(texts: pa.Array, table: np.ndarray = ALNUM) -> Words:
     return Words(data, row, start, end, code, np.searchsorted(row, np.arange(len(offsets))))
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of at most ``limit`` text bytes, or of one row."""
     _, offsets = text_bytes(batch.column(column))
     lo = 0

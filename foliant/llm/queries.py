@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import decontaminate, langid, licenses, quality, toxicity, urlfilter
-from foliant.session import cut_lineage, table
+from foliant.llm import decontaminate, langid, licenses, packing, quality, toxicity, urlfilter, warc
+from foliant.session import cut_lineage, shared_folder, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -189,3 +191,27 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licenses that units of each whole text match."""
     found = licenses.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.withColumn("licenses", F.array_join("licenses", ","))
+
+
+def tokenizer_path() -> str:
+    """Place of the byte-level vocabulary of the installed tokenizer files."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op5_packing")
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of each piece of each whole text in sequences of 2048 tokens."""
+    cut = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path(), 2048, 0, keep=["doc_id"])
+    return packing.pack(cut, 2048).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op4_warc")
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write a WARC record for every page, then read the archives back."""
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_warc(table(spark, sf_dir, "pages"), folder, shard_bytes=32 << 20, roll_bytes=16 << 20)
+    return warc.read_warc(spark, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
