@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import decontaminate, langid, licenses, packing, quality, toxicity, urlfilter, warc
+from foliant.llm import decontaminate, langid, licenses, ngram_join, packing, quality, toxicity, urlfilter, warc
 from foliant.session import cut_lineage, shared_folder, table
 
 QUERIES: dict = {}
@@ -215,3 +215,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_warc(table(spark, sf_dir, "pages"), folder, shard_bytes=32 << 20, roll_bytes=16 << 20)
     return warc.read_warc(spark, folder).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op7_ngram_join")
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document, five-word shingles, Jaccard similarity 0.8 or more."""
+    linked = ngram_join.link(table(spark, sf_dir, "documents"))
+    return linked.select("doc_id", "class_id", "n_links", "n_text_links", "n_copies")
