@@ -131,13 +131,13 @@ def search(texts: pa.Array, index: PatternIndex) -> tuple[np.ndarray, np.ndarray
     return found.bounds, np.array(ends, np.int64), np.array(lengths, np.int64), np.array(hits, np.int64)
 
 
-def _scan(index: PatternIndex, text_col: str):
+def _scan(index: PatternIndex):
     """Merge the matches of one block of patterns into ``_hit`` (a bit per word) and ``_items``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, text_col):
-                bounds, ends, lengths, hits = search(batch.column(text_col), index)
+            for batch in slices(whole, "_text"):
+                bounds, ends, lengths, hits = search(batch.column("_text"), index)
                 n = batch.num_rows
                 row = np.searchsorted(bounds, ends, "right") - 1
                 delta = np.zeros(int(bounds[-1]) + 1, np.int32)
@@ -168,20 +168,15 @@ def _scan(index: PatternIndex, text_col: str):
     return run
 
 
-def _finish(text_col: str, keep: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hits = [0 if b is None else int(np.unpackbits(np.frombuffer(b, np.uint8)).sum()) for b in batch.column("_hit").to_pylist()]
-            names = [x or [] for x in batch.column("_items").to_pylist()]
-            digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
-            arrays = [batch.column(c) for c in keep] + [
-                batch.column("_n_words"), pa.array(hits, pa.int64()), pa.array([len(x) for x in names], pa.int64()),
-                pa.array(digest), batch.column("_items") if not batch.column("_items").null_count else pa.array(names, pa.list_(pa.string())),
-                pa.array([h > 0 for h in hits])]
-            yield pa.RecordBatch.from_arrays(
-                arrays, names=[*keep, "n_words", "n_hit", "n_items", "items_sha256", "items", "contaminated"])
-
-    return run
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hits = [0 if b is None else int(np.unpackbits(np.frombuffer(b, np.uint8)).sum()) for b in batch.column("_hit").to_pylist()]
+        names = [x or [] for x in batch.column("_items").to_pylist()]
+        digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("_row"), batch.column("_n_words"), pa.array(hits, pa.int64()), pa.array([len(x) for x in names], pa.int64()),
+             pa.array(digest, pa.string()), pa.array(names, pa.list_(pa.string())), pa.array([h > 0 for h in hits], pa.bool_())],
+            names=["_row", "n_words", "n_hit", "n_items", "items_sha256", "items", "contaminated"])
 
 
 def find_contamination(
@@ -203,9 +198,8 @@ def find_contamination(
     found = cut_lineage(patterns(benchmark, window, text_col=text_col))
     size = found.agg(F.sum(F.octet_length("pattern") + F.octet_length("item") + 200)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    carried = [*dict.fromkeys([*keep, text_col])]
     state = documents.select(
-        *[F.col(f"`{c}`") for c in carried], F.lit(0).cast("long").alias("_n_words"),
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col(text_col).alias("_text"), F.lit(0).cast("long").alias("_n_words"),
         F.lit(None).cast("binary").alias("_hit"), F.lit(None).cast("array<string>").alias("_items"))
     for k in range(blocks):
         own = found.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k) if blocks > 1 else found
@@ -214,33 +208,32 @@ def find_contamination(
         shared = spark.sparkContext.broadcast((uuid.uuid4().hex, [r[0] for r in rows], [list(r[1]) for r in rows]))
         if k:
             state = cut_lineage(state)
-        state = state.mapInArrow(_with_index(shared, text_col), state.schema)
-    types = {f.name: f for f in state.schema}
+        state = state.mapInArrow(_with_index(shared), state.schema)
     schema = T.StructType(
-        [types[c] for c in keep] + [
+        [state.schema["_row"]] + [
             T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()),
             T.StructField("items_sha256", T.StringType()), T.StructField("items", T.ArrayType(T.StringType())),
             T.StructField("contaminated", T.BooleanType())])
-    needed = [*keep, "_n_words", "_hit", "_items"]
-    return state.select(*[F.col(f"`{c}`") for c in needed]).mapInArrow(_finish(text_col, keep), schema)
+    done = state.select("_row", "_n_words", "_hit", "_items").mapInArrow(_finish, schema)
+    return done.select("_row.*", *result)
 
 
 #: The index of the block of patterns that this worker used last.
 _LAST: dict[str, PatternIndex] = {}
 
 
-def _with_index(shared, text_col: str):
+def _with_index(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, *rows = shared.value
         if name not in _LAST:
             _LAST.clear()
             _LAST[name] = PatternIndex(*rows)
-        return _scan(_LAST[name], text_col)(batches)
+        return _scan(_LAST[name])(batches)
 
     return run
 
 
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents without any hit, with their columns as they came."""
-    marked = find_contamination(documents.select(F.struct("*").alias("_row"), F.col("text").alias("text")), benchmark, window)
-    return marked.where(~F.col("contaminated")).select("_row.*")
+    marked = find_contamination(documents.select(F.struct("*").alias("_whole"), "text"), benchmark, window, keep=["_whole"])
+    return marked.where(~F.col("contaminated")).select("_whole.*")

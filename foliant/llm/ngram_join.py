@@ -449,3 +449,12 @@ def link(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
         F.when(alone, F.lit(0)).otherwise(F.col("copies") - 1 + F.col("documents")).cast("long").alias("n_links"),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_text_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
         (alone | (F.col("id").eqNullSafe(F.col("head.id")) & (F.col("hash") == F.col("head.hash")))).alias("keeper"))
+
+
+def representatives(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+    """One row of each class, with the columns as they came: the first by (id, hash of the text)."""
+    keepers = link(documents, id_col, text_col, threshold).where("keeper").select(
+        F.col(id_col).alias("_id"), F.col("hash").alias("_hash")).distinct()
+    rows = documents.select(F.struct("*").alias("_row"), F.col(id_col).alias("_own"), F.xxhash64(text_col).alias("_text_hash"))
+    same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    return rows.join(keepers, same, "left_semi").dropDuplicates(["_own", "_text_hash"]).select("_row.*")

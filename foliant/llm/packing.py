@@ -90,7 +90,7 @@ class _Encoder:
 _LAST: dict[str, _Encoder] = {}
 
 
-def _cut(tokenizer_path: str, capacity: int, end_id: int, keep: list[str], with_ids: bool):
+def _cut(tokenizer_path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _LAST:
             _LAST.clear()
@@ -121,10 +121,10 @@ def _cut(tokenizer_path: str, capacity: int, end_id: int, keep: list[str], with_
                         if with_ids:
                             raw.append(own)
                         a, b, k = b, b + capacity, k + 1
-                arrays = [some.column(c).take(pa.array(at, pa.int64())) for c in keep] + [
+                arrays = [some.column("_row").take(pa.array(at, pa.int64()))] + [
                     pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()),
                     pa.array([part] * len(at), pa.int32()), pa.array(rank, pa.int64())]
-                names = [*keep, "piece", "start", "length", "ids_crc32", "_part", "_rank"]
+                names = ["_row", "piece", "start", "length", "ids_crc32", "_part", "_rank"]
                 if with_ids:
                     arrays.append(pa.array(raw, pa.binary()))
                     names.append("ids")
@@ -137,16 +137,17 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end_
            keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
     """One row per piece with its ids' crc32 and, if asked for, the ids as little-endian 32-bit bytes.
 
-    ``_part`` and ``_rank`` number the pieces of one length; the table is stored, so they stay.
+    The ``keep`` columns are in the struct ``_row``. ``_part`` and ``_rank`` number the pieces
+    of one length; the table is stored, so they stay.
     """
     keep = [c for c in (documents.columns if keep is None else keep) if c not in RESULT]
-    rows = documents.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_text"))
-    fields = [rows.schema[c] for c in keep] + [
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col(text_col).alias("_text"))
+    fields = [rows.schema["_row"]] + [
         T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
         T.StructField("ids_crc32", T.LongType()), T.StructField("_part", T.IntegerType()), T.StructField("_rank", T.LongType())]
     if with_ids:
         fields.append(T.StructField("ids", T.BinaryType()))
-    return cut_lineage(rows.mapInArrow(_cut(tokenizer_path, capacity, end_id, keep, with_ids), T.StructType(fields)))
+    return cut_lineage(rows.mapInArrow(_cut(tokenizer_path, capacity, end_id, with_ids), T.StructType(fields)))
 
 
 def _tightest_pair(count: np.ndarray, room: int, more_than: int) -> tuple[int, int] | None:
@@ -261,4 +262,5 @@ def pack(cut: DataFrame, capacity: int = 2048) -> DataFrame:
     ranked = cut.join(shifts.drop("n"), ["length", "_part"]).withColumn("_rank", F.col("_rank") + F.col("shift")).drop("_part", "shift")
     fields = [f for f in ranked.schema.fields if f.name != "_rank"] + [
         T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
-    return ranked.mapInArrow(_assign(shared), T.StructType(fields))
+    placed = ranked.mapInArrow(_assign(shared), T.StructType(fields))
+    return placed.select("_row.*", *[c for c in RESULT if c in placed.columns])

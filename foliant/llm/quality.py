@@ -127,3 +127,11 @@ def judge(
         F.col("_d.dup").alias("n_dup_lines"), F.col("_w.repeat").alias("n_repeat_words"), base.alias("base_failed"),
         F.col("_d.n").alias("n_lines"), F.col("_l.bad").alias("n_removed_lines"), F.col("_l.lost").alias("removed_chars"),
         (~base & (F.col("_l.lost") <= F.col("_c.chars") * max_loss)).alias("kept"), F.col("_l.text").alias("clean_text"))
+
+
+def keep_clean(documents: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """The documents kept, without their failed lines; ``length_col``, if there is one, is worked out anew."""
+    judged = judge(documents.select(F.struct("*").alias("_row"), F.col(text_col).alias("_body")), "_body", ["_row"]).where("kept")
+    changed = {text_col: F.col("clean_text"), length_col: F.length("clean_text").cast("long")}
+    return judged.select(*[
+        changed[c].alias(c) if c in changed else F.col("_row").getField(c).alias(c) for c in documents.columns])

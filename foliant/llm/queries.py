@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import decontaminate, langid, licenses, ngram_join, packing, quality, toxicity, urlfilter, warc
+from foliant.llm import chat, decontaminate, langid, licenses, ngram_join, packing, quality, toxicity, urlfilter, warc
 from foliant.session import cut_lineage, shared_folder, table
 
 QUERIES: dict = {}
@@ -78,11 +78,16 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (score >= 0.3).cast("int").alias("predicted"), "mean_ratio", "peak_ratio")
 
 
+def learnable(doc_id: str = "doc_id"):
+    """Rows outside the held-out fold."""
+    return _fold_of(doc_id) % 4 != 2
+
+
 @query("op1_language")
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text, learned from the rows outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
-    learn = docs.where(_fold_of() % 4 != 2)
+    learn = docs.where(learnable())
     model = langid.train(langid.draw_sample(learn, "doc_id", "text", "lang", LANGUAGE_SAMPLE))
     held = F.coalesce(_fold_of() % 4 == 2, F.lit(False)).alias("held_out")
     return langid.predict(docs, model, ["doc_id", held])
@@ -222,3 +227,27 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document, five-word shingles, Jaccard similarity 0.8 or more."""
     linked = ngram_join.link(table(spark, sf_dir, "documents"))
     return linked.select("doc_id", "class_id", "n_links", "n_text_links", "n_copies")
+
+
+@query("op3_chat", r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations),
+seats AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said),
+shown AS (
+  SELECT conv_id, turn, perspective, speaker, speaker = perspective AS is_target,
+         CASE WHEN speaker = perspective THEN '<|assistant|>' ELSE '<|user name=' || regexp_replace(speaker, '[\r\n|<>]', '_', 'g') || '|>' END || chr(10) AS head,
+         body || '<|end|>' || chr(10) AS tail
+  FROM said JOIN seats USING (conv_id)),
+placed AS (
+  SELECT *, coalesce(sum(length(head) + length(tail)) OVER (
+    PARTITION BY conv_id, perspective ORDER BY turn, speaker, head || tail ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM shown)
+SELECT conv_id, turn, perspective, speaker, is_target, sha256(head || tail) AS segment_sha256, start,
+       (start + length(head) + length(tail))::BIGINT AS "end",
+       (start + length(head) + CASE WHEN is_target THEN 0 ELSE length(tail) END)::BIGINT AS mask_start,
+       (start + length(head) + length(tail))::BIGINT AS mask_end
+FROM placed
+""")
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from the perspective of each participant, with offsets and mask spans."""
+    turns = chat.rotate(table(spark, sf_dir, "conversations"), group_limit=100_000)
+    return turns.withColumn("segment_sha256", F.sha2("segment", 256)).drop("segment")
