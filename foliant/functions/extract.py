@@ -49,38 +49,39 @@ def _whole(body: str) -> str:
     return "(?i)" + _L + body + _R
 
 
-def capped(items: Column, cap: int) -> Column:
-    return F.slice(distinct_sorted(items), 1, cap)
+def capped(items: Column, cap: int | None) -> Column:
+    """Distinct values in order; all of them unless the caller asks for the first ``cap``."""
+    return distinct_sorted(items) if cap is None else F.slice(distinct_sorted(items), 1, cap)
 
 
-def dates(text: Column, cap: int = 20) -> Column:
+def dates(text: Column, cap: int | None = None) -> Column:
     return capped(_if(text.rlike("[0-9]"), F.concat(*[find_all(text, _whole(b)) for b in DATE_BODIES])), cap)
 
 
-def emails(text: Column, cap: int = 10) -> Column:
+def emails(text: Column, cap: int | None = None) -> Column:
     return capped(_if(text.contains("@"), find_all(text, _whole(EMAIL_BODY))), cap)
 
 
-def urls(text: Column, cap: int = 10) -> Column:
+def urls(text: Column, cap: int | None = None) -> Column:
     return capped(_if(text.contains("://"), find_all(text, "(?i)" + URL_BODY)), cap)
 
 
-def phones(text: Column, cap: int = 10) -> Column:
+def phones(text: Column, cap: int | None = None) -> Column:
     return capped(_if(text.rlike("[0-9]{3}"), find_all(text, "(?i)" + _L + PHONE_BODY + _R)), cap)
 
 
-def significant_numbers(text: Column, cap: int = 20) -> Column:
+def significant_numbers(text: Column, cap: int | None = None) -> Column:
     """Numbers above 100 or written with thousands commas."""
     keep = lambda n: n.contains(",") | (F.replace(n, F.lit(","), F.lit("")).cast("double") > 100)
     return capped(_if(text.rlike("[0-9]"), F.filter(find_all(text, _whole(NUMBER_BODY)), keep)), cap)
 
 
-def keywords(title: Column, headers: Column, cap: int = 30) -> Column:
+def keywords(title: Column, headers: Column, cap: int | None = None) -> Column:
     """Lower-cased words of more than three letters of the title and the headers."""
     long_words = lambda t: F.transform(F.filter(words(t), lambda w: F.length(w) > 3), F.lower)
     found = F.concat(long_words(F.coalesce(title, F.lit(""))), F.flatten(F.transform(headers, long_words)))
     stop = F.array(*[F.lit(w) for w in HEADER_STOPWORDS])
-    return F.slice(F.sort_array(F.array_except(found, stop)), 1, cap)
+    return capped(F.array_except(found, stop), cap)
 
 
 def document_type(text: Column, tables: Column, pages: Column) -> Column:

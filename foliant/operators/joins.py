@@ -11,12 +11,16 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "i
 
     ``small`` is repeated once per salt and the rows of ``big`` are dealt over the
     salts, so one key is worked on by up to ``salts`` tasks. The salt comes from the
-    row and from its partition: exact copies are dealt out too, and a task that runs
-    again deals its rows the same way in whatever order they arrive.
+    row's numbers and dates (its texts where it has none) and from its partition: exact
+    copies are dealt out too, and a task that runs again deals its rows the same way in
+    whatever order they arrive.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(how)
-    deal = F.pmod(F.pmod(F.xxhash64(*big.columns), F.lit(salts)) + F.spark_partition_id() % salts, F.lit(salts))
+    small_types = ("int", "bigint", "smallint", "tinyint", "double", "float", "boolean", "date", "timestamp", "timestamp_ntz")
+    dealt = [c for c, kind in big.dtypes if kind in small_types or kind.startswith("decimal")] or [
+        c for c, kind in big.dtypes if kind == "string"] or keys
+    deal = F.pmod(F.pmod(F.xxhash64(*dealt), F.lit(salts)) + F.spark_partition_id() % salts, F.lit(salts))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn(
         "_salt", F.col("_salt").cast("bigint"))
     return big.withColumn("_salt", deal).join(copies, [*keys, "_salt"], how).drop("_salt")

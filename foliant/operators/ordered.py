@@ -137,9 +137,11 @@ def trailing_mean(df: DataFrame, order: list[str], value: str, n: int, name: str
 
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: dict[str, float],
-                 also: dict[str, Column] | None = None, **kw) -> DataFrame:
+                 also: dict[str, Column] | None = None, round_up: bool = False, **kw) -> DataFrame:
     """The ``int(n * share)``-th smallest value per group, for each named share.
 
+    With ``round_up`` the place is rounded up, so that small groups have a value too.
+
     ``also`` names further aggregates of the group, taken in the same pass as its size.
 
     Equal values are counted first, so what is ranked is the distinct values.
@@ -151,7 +153,7 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: dict[str, f
     hit = salted_join(ranked, totals, keys)
     picks = []
     for name, share in shares.items():
-        place = F.floor(F.col("_total") * F.lit(share))
+        place = (F.ceil if round_up else F.floor)(F.col("_total") * F.lit(share))
         inside = (F.col("_upto") >= place) & (F.col("_upto") - F.col("_n") < place)
         picks.append(F.max(F.when(inside, F.col(value))).alias(name))
     return hit.groupBy(*keys).agg(*[F.first(n).alias(n) for n in also], *picks)

@@ -131,14 +131,18 @@ def guard_deltas(deltas: DataFrame, unsafe: Column, limit: int = SCAN_AFTER, inc
 
 
 def assemble(deltas: DataFrame, part_rows: int = 100_000) -> DataFrame:
-    """Whole text and token totals per response.
+    """Whole text and token totals: one row per response.
 
-    A response of more than ``part_rows`` deltas comes in several rows, numbered by ``part``.
+    Runs of ``part_rows`` sequence numbers are joined first and then the runs, so what meets
+    in one task is the text itself and not its deltas; the result does not depend on it.
     """
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0)) if c in deltas.columns else F.lit(0).cast("bigint")
     pairs = deltas.withColumn("part", F.floor(F.col("seq") / part_rows)).withColumn(
         "p", F.struct(F.col("seq").alias("seq"), F.coalesce("text", F.lit("")).alias("text")))
-    out = pairs.groupBy("response_id", "part").agg(
+    runs = pairs.groupBy("response_id", "part").agg(
         sorted_join(F.collect_list("p"), "").alias("text"), zero("prompt_tokens").alias("prompt_tokens"),
         zero("completion_tokens").alias("completion_tokens"))
+    out = runs.groupBy("response_id").agg(
+        sorted_join(F.collect_list(F.struct("part", "text")), "").alias("text"),
+        F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"))
     return out.withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))

@@ -73,6 +73,10 @@ def expand_query(query: Column) -> Column:
 
 # ---- candidate scores ----------------------------------------------------
 
+def _rounded(scores: np.ndarray, digits: int | None) -> np.ndarray:
+    return scores if digits is None else np.round(scores, digits)
+
+
 def _best(frame: pd.DataFrame, k: int) -> pd.DataFrame:
     ordered = frame.sort_values(["q", "score", "item_id"], ascending=[True, False, True])
     return ordered.groupby("q", sort=False).head(k)
@@ -96,8 +100,10 @@ def _union_top(passes: list[DataFrame], k: int) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def vector_topk(queries: DataFrame, items: DataFrame, k: int, block: int = QUERY_BLOCK, digits: int = 6) -> DataFrame:
-    """The ``k`` items of highest cosine per query, exactly.
+def vector_topk(queries: DataFrame, items: DataFrame, k: int, block: int = QUERY_BLOCK, digits: int | None = None) -> DataFrame:
+    """The ``k`` items of highest cosine per query, exactly; ties go to the smaller id.
+
+    ``digits`` rounds the scores before the cut, for callers that repeat the order elsewhere.
 
     ``queries(query_id, vec)`` is held in blocks of checked size. Each task scores
     its items against the block and keeps only its own best ``k`` per query, so
@@ -120,7 +126,7 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int, block: int = QUERY
                     sub = pdf.iloc[lo:lo + 1000]
                     vecs = np.stack(sub["vec"].to_numpy()).astype("float64")
                     vecs /= np.maximum(np.linalg.norm(vecs, axis=1, keepdims=True), 1e-300)
-                    sims = np.round(vecs @ mat.T, digits)
+                    sims = _rounded(vecs @ mat.T, digits)
                     found = pd.DataFrame({
                         "q": np.tile(np.arange(len(ids)), len(sub)),
                         "item_id": np.repeat(sub["item_id"].to_numpy(), len(ids)),
@@ -138,7 +144,7 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int, block: int = QUERY
 
 
 def bm25_topk(queries: DataFrame, items: DataFrame, k: int, k1: float = 1.2, b: float = 0.75,
-              block: int = TERM_BLOCK, digits: int = 6) -> DataFrame:
+              block: int = TERM_BLOCK, digits: int | None = None) -> DataFrame:
     """The ``k`` items of highest BM25 per query.
 
     ``queries(query_id, text)`` and ``items(item_id, text)``. Document frequencies
@@ -197,7 +203,7 @@ def bm25_topk(queries: DataFrame, items: DataFrame, k: int, k1: float = 1.2, b:
                     found = pd.DataFrame({
                         "q": hit % len(ids),
                         "item_id": sub["item_id"].to_numpy()[hit // len(ids)],
-                        "score": np.round(sums[hit], digits),
+                        "score": _rounded(sums[hit], digits),
                     })
                     kept = _best(pd.concat([kept, found]) if len(kept) else found, k)
             if len(kept):

@@ -140,10 +140,10 @@ def scan_summary(scanned: DataFrame, by: list[str]) -> DataFrame:
 # ---- conversations and payloads -------------------------------------------
 
 def conversation_text(turns: DataFrame, roles: list[str] | None = None, part_turns: int = 100_000) -> DataFrame:
-    """The texts of a conversation joined by newline, in turn order.
+    """The texts of a conversation joined by newline, in turn order: one row per conversation.
 
-    A conversation of more than ``part_turns`` turns comes in several rows, numbered
-    by ``part``, so that no task ever holds an unbounded conversation.
+    Runs of ``part_turns`` turn numbers are joined first and then the runs; the result does
+    not depend on it.
     """
     keep = strip_filled(F.col("text"))
     if roles:
@@ -151,7 +151,8 @@ def conversation_text(turns: DataFrame, roles: list[str] | None = None, part_tur
     pairs = turns.where(keep).select(
         "conv_id", F.floor(F.col("turn") / part_turns).alias("part"),
         F.struct(F.col("turn").alias("turn"), F.col("text").alias("text")).alias("p"))
-    return pairs.groupBy("conv_id", "part").agg(sorted_join(F.collect_list("p"), "\n").alias("text"))
+    runs = pairs.groupBy("conv_id", "part").agg(sorted_join(F.collect_list("p"), "\n").alias("text"))
+    return runs.groupBy("conv_id").agg(sorted_join(F.collect_list(F.struct("part", "text")), "\n").alias("text"))
 
 
 def strip_filled(text: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliant.functions.text import strip
 from foliant.operators.joins import salted_join
@@ -91,11 +92,22 @@ def paginate(rows: DataFrame, frozen: int = 0, page_rows: int = ROWS_PER_PAGE, s
                       source.alias("source_line"), headers.alias("headers"))
 
 
+def _cell_type(cells: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField(c, cells.schema[c].dataType) for c in ("col", "value")])
+
+
 def to_grid(cells: DataFrame) -> DataFrame:
-    """One row of texts per sheet row, with empty text where there is no cell."""
-    width = cells.groupBy(*SHEET).agg(F.max("col").alias("_w"))
-    rows = cells.groupBy(*SHEET, "row").agg(F.sort_array(F.collect_list(F.struct("col", "value"))).alias("_c"))
-    joined = salted_join(rows, width, SHEET)
+    """One row of texts per sheet row, with empty text where there is no cell.
+
+    Rows without any cell, from row 0 to the last row of the sheet, are there too.
+    """
+    size = cells.groupBy(*SHEET).agg(F.max("col").alias("_w"), F.max("row").alias("_last"))
+    gaps = size.select(*SHEET, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last").cast("bigint"))).alias("row"),
+                       F.array().cast(T.ArrayType(_cell_type(cells))).alias("_c"))
+    filled = cells.groupBy(*SHEET, F.col("row").cast("bigint").alias("row")).agg(
+        F.collect_list(F.struct("col", "value")).alias("_c"))
+    rows = filled.unionByName(gaps).groupBy(*SHEET, "row").agg(F.sort_array(F.flatten(F.collect_list("_c"))).alias("_c"))
+    joined = salted_join(rows, size.drop("_last"), SHEET)
     named = F.map_from_entries(F.transform("_c", lambda c: F.struct(c["col"], c["value"])))
     out = joined.withColumn("_m", named)
     return out.select(*SHEET, "row", F.transform(

@@ -54,12 +54,14 @@ def content_hash(content: Column, algorithm: Column | str = "md5") -> Column:
 def reuse_hashes(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Hash of each file, from the manifest where path, size, time and algorithm agree.
 
-    Content is hashed only for the files that are not found.
+    Bodies are hashed where they are read and dropped before the join: reading a body again,
+    or shuffling it to the manifest, costs more than the hash that the manifest would save.
     """
     known = manifest.select(*MANIFEST_KEY, F.col("hash").alias("_cached"))
-    out = files.join(known, MANIFEST_KEY, "left")
+    narrow = files.withColumn("_own", content_hash(F.col("content"), F.col("algorithm"))).drop("content")
+    out = narrow.join(known, MANIFEST_KEY, "left")
     return out.withColumn("reused", F.col("_cached").isNotNull()).withColumn(
-        "hash", F.coalesce("_cached", content_hash(F.col("content"), F.col("algorithm")))).drop("_cached")
+        "hash", F.coalesce("_cached", "_own")).drop("_cached", "_own")
 
 
 def upsert_manifest(manifest: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -95,11 +97,12 @@ def pending(files: DataFrame, outputs: DataFrame) -> DataFrame:
 
     A file is skipped only if its output has the same extension, size and hash.
     """
-    done = outputs.where(F.col("hash") != "").select(F.col("path").alias("out_path"), "size", "hash")
+    done = outputs.where(F.col("hash") != "").select(F.col("path").alias("_done"), F.col("size").alias("_size"), F.col("hash").alias("_hash"))
     same_type = extension(F.col("path")) == extension(F.col("out_path"))
-    # files of another type than their output are always due and take no part in the join
-    return files.where(~same_type).unionByName(
-        files.where(same_type).join(done, ["out_path", "size", "hash"], "left_anti").select(files.columns))
+    # files of another type than their output are always due: their key is null and finds nothing
+    keyed = files.withColumn("_key", F.when(same_type, F.col("out_path")))
+    found = (F.col("_key") == F.col("_done")) & (F.col("size") == F.col("_size")) & (F.col("hash") == F.col("_hash"))
+    return keyed.join(done, found, "left_anti").drop("_key")
 
 
 def output_path(path: Column) -> Column:

@@ -99,13 +99,14 @@ def window_metrics(requests: DataFrame, seconds: int, keys: list[str], step: int
         last = bucket(F.col("start_us"), step)
         starts = F.transform(F.sequence(F.lit(0), F.lit(seconds // step - 1)), lambda i: last - i * step)
         rows = rows.withColumn("window_sec", F.explode(starts))
-    return rows.groupBy("window_sec", *keys).agg(
-        F.count(F.lit(1)).alias("requests"),
-        (F.count(F.lit(1)) / seconds).alias("rate"),
-        (100 * F.count_if(failed()) / F.count(F.lit(1))).alias("error_rate"),
-        F.percentile_approx((F.col("end_us") - F.col("start_us")), 0.95, 10000).alias("p95_us"),
-        F.sum(F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("completion_tokens", F.lit(0))).alias("tokens"),
-    )
+    also = {
+        "requests": F.count(F.lit(1)),
+        "rate": F.count(F.lit(1)) / seconds,
+        "error_rate": 100 * F.count_if(failed()) / F.count(F.lit(1)),
+        "tokens": F.sum(F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("completion_tokens", F.lit(0))),
+    }
+    rows = rows.withColumn("_us", F.col("end_us") - F.col("start_us"))
+    return nearest_rank(rows, ["window_sec", *keys], "_us", {"p95_us": 0.95}, also, round_up=True)
 
 
 def slow_or_failed(requests: DataFrame, slow_ms: int = SLOW_MS) -> DataFrame:

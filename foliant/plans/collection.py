@@ -201,7 +201,8 @@ def sheet_pagination(spark, sf_dir):
     return p.select("sheet", "row", F.col("page").cast("bigint"), "label", "source_line", F.array_join(F.col("headers")[0], "|").alias("header"))
 
 
-@query("sheet_grid", f"WITH {_ROWS_SQL} SELECT sheet, row, array_to_string(list_transform(cells, lambda c: trim(c)), '|') AS cells FROM rows WHERE trim(array_to_string(cells, '')) <> ''")
+@query("sheet_grid", f"""WITH {_CELLS_SQL}, size AS (SELECT sheet, max(row) AS last, max(col) AS w FROM cells GROUP BY sheet)
+SELECT sheet, row, array_to_string(list_transform(list_slice(cells, 1, w + 1), lambda c: trim(c)), '|') AS cells FROM rows JOIN size USING (sheet) WHERE row <= last""")
 def sheet_grid(spark, sf_dir):
     return H.to_grid(sheet_cells(spark, sf_dir)).select("sheet", "row", F.array_join("cells", "|").alias("cells"))
 

@@ -73,7 +73,7 @@ def block_embedding_text(spark, sf_dir):
 
 # Order lines as small tables: one table per order, a header row and one row per line.
 _ORDER_GRID_SQL = """
-SELECT l_orderkey AS order_id, 0::BIGINT AS part,
+SELECT l_orderkey AS order_id,
   'Part | Supplier | Quantity' AS header_line,
   count(*) AS n_rows,
   '| Part | Supplier | Quantity |' || chr(10) || '|---|---|---|' || chr(10) ||
@@ -88,11 +88,9 @@ FROM lineitem GROUP BY l_orderkey"""
 
 @query("block_tables", _ORDER_GRID_SQL)
 def block_tables(spark, sf_dir):
-    """Each order as a table block. More than 500 lines give several blocks, so no grid is unbounded."""
-    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
-    numbered = row_numbers(table(spark, sf_dir, "lineitem").select("l_orderkey", *order), ["l_orderkey"], order, "n")
-    lines = numbered.select(
-        "l_orderkey", F.floor((F.col("n") - 1) / 500).alias("part"),
+    """Each order as one table block. An order has few lines."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
         F.struct(
             "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
             F.array(
@@ -102,13 +100,13 @@ def block_tables(spark, sf_dir):
         ).alias("line"),
     )
     head = F.array(F.lit("Part"), F.lit("Supplier"), F.lit("Quantity"))
-    grids = lines.groupBy("l_orderkey", "part").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    grids = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("line")).alias("lines"))
     block = B.table_block(F.concat(F.array(head), F.transform("lines", lambda x: x["cells"])))
     t = grids.withColumn("t", block).where("t IS NOT NULL")
     fields = {"block_type": F.lit("table"), "headers": F.col("t.headers"), "rows": F.col("t.rows"),
               "content": B.table_text(F.col("t.headers"), F.col("t.rows"))}
     return t.withColumn("b", B._block(fields)).select(
-        F.col("l_orderkey").alias("order_id"), "part",
+        F.col("l_orderkey").alias("order_id"),
         F.array_join("b.headers", " | ").alias("header_line"),
         F.size("b.rows").cast("bigint").alias("n_rows"),
         F.col("b.content").alias("table_text"),

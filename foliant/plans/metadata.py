@@ -19,8 +19,8 @@ def _all(pattern: str, text: str = "t") -> str:
     return f"regexp_extract_all({text}, '{pattern}')"
 
 
-def _capped(items: str, cap: int) -> str:
-    return f"array_to_string(list_slice(list_sort(list_distinct({items})), 1, {cap}), ' ; ')"
+def _sorted(items: str) -> str:
+    return f"array_to_string(list_sort(list_distinct({items})), ' ; ')"
 
 
 _B = r"\b"
@@ -34,8 +34,8 @@ def _joined(c):
 
 
 @query("entity_lists", f"""{_FULL}
-SELECT doc_id, {_capped(_DATES, 20)} AS dates, {_capped(_all('(?i)' + _B + X.EMAIL_BODY + _B), 10)} AS emails,
-  {_capped(_all('(?i)' + X.URL_BODY), 10)} AS urls FROM full_texts""")
+SELECT doc_id, {_sorted(_DATES)} AS dates, {_sorted(_all('(?i)' + _B + X.EMAIL_BODY + _B))} AS emails,
+  {_sorted(_all('(?i)' + X.URL_BODY))} AS urls FROM full_texts""")
 def entity_lists(spark, sf_dir):
     docs = text_documents(spark, sf_dir).withColumn("t", full_text(F.col("blocks")))
     t = F.col("t")
@@ -44,8 +44,8 @@ def entity_lists(spark, sf_dir):
     )
 
 
-@query("page_urls", f"""SELECT page_id, {_capped(_all('(?i)' + X.URL_BODY, "url || ' ' || html"), 10)} AS urls,
-  {_capped(_DATES.replace('(t,', "(html,"), 20)} AS dates FROM pages""")
+@query("page_urls", f"""SELECT page_id, {_sorted(_all('(?i)' + X.URL_BODY, "url || ' ' || html"))} AS urls,
+  {_sorted(_DATES.replace('(t,', "(html,"))} AS dates FROM pages""")
 def page_urls(spark, sf_dir):
     pages = spread(table(spark, sf_dir, "pages"))
     return pages.select(
@@ -55,7 +55,7 @@ def page_urls(spark, sf_dir):
     )
 
 
-@query("order_date_entities", f"""SELECT o_orderkey, {_capped(_DATES, 20)} AS dates, {_capped(_NUMS, 20)} AS numbers
+@query("order_date_entities", f"""SELECT o_orderkey, {_sorted(_DATES)} AS dates, {_sorted(_NUMS)} AS numbers
 FROM (SELECT o_orderkey, 'Order of ' || strftime(o_orderdate, '%Y-%m-%d') || ', due ' || strftime(o_orderdate, '%d/%m/%Y')
   || ' or ' || strftime(o_orderdate, '%b %d, %Y') || ' for ' || (floor(o_totalprice)::BIGINT // 1000) || ',' ||
   lpad((floor(o_totalprice)::BIGINT % 1000)::VARCHAR, 3, '0') || ' and ' || o_custkey AS t FROM orders)""")
@@ -72,7 +72,7 @@ def order_date_entities(spark, sf_dir):
     return rows.select("o_orderkey", _joined(X.dates(F.col("t"))).alias("dates"), _joined(X.significant_numbers(F.col("t"))).alias("numbers"))
 
 
-@query("significant_numbers", f"""{_FULL} SELECT doc_id, {_capped(_NUMS, 20)} AS numbers FROM full_texts""")
+@query("significant_numbers", f"""{_FULL} SELECT doc_id, {_sorted(_NUMS)} AS numbers FROM full_texts""")
 def significant_numbers(spark, sf_dir):
     docs = text_documents(spark, sf_dir).withColumn("t", full_text(F.col("blocks")))
     return docs.select("doc_id", _joined(X.significant_numbers(F.col("t"))).alias("numbers"))
@@ -103,9 +103,9 @@ def content_type_counts(spark, sf_dir):
     )
 
 
-_KEYWORDS_SQL = """array_to_string(list_slice(list_sort(list_filter(list_distinct(list_transform(
+_KEYWORDS_SQL = """array_to_string(list_sort(list_filter(list_distinct(list_transform(
   list_filter(string_split(title || ' ' || coalesce(array_to_string(heads, ' '), ''), ' '), lambda w: length(w) > 3), lambda w: lower(w))),
-  lambda w: NOT list_contains(['the','and','for','with','from','that','this','have','been'], w))), 1, 30), ' ; ')"""
+  lambda w: NOT list_contains(['the','and','for','with','from','that','this','have','been'], w))), ' ; ')"""
 
 
 @query("header_keywords", f"""{_FULL} SELECT doc_id, {_KEYWORDS_SQL} AS keywords

@@ -53,7 +53,7 @@ def sql_lexical(q: str, t: str) -> str:
 
 _PAIRS_SQL = f"""{BM25_SQL},
 pairs AS (SELECT b.query_id, b.item_id AS doc_index, m.text AS query, d.text FROM best b JOIN benchmark m ON m.item_id = b.query_id JOIN documents d ON d.doc_id = b.item_id),
-scored AS MATERIALIZED (SELECT query_id, doc_index, round({sql_lexical('query', 'text')}, 6) AS score FROM pairs)"""
+scored AS MATERIALIZED (SELECT query_id, doc_index, round({sql_lexical('query', 'text')}, 12) AS score FROM pairs)"""
 
 
 def _pairs(spark, sf_dir):
@@ -65,13 +65,13 @@ def _pairs(spark, sf_dir):
 
 @query("rerank_scores", f"WITH {_PAIRS_SQL.replace('scored AS MATERIALIZED', 'lexical AS MATERIALIZED')} SELECT * FROM lexical")
 def rerank_scores(spark, sf_dir):
-    return K.score_pairs(_pairs(spark, sf_dir)).select("query_id", "doc_index", F.round("score", 6).alias("score"))
+    return K.score_pairs(_pairs(spark, sf_dir)).select("query_id", "doc_index", F.round("score", 12).alias("score"))
 
 
 @query("rerank_top", f"""WITH {_PAIRS_SQL.replace('scored AS MATERIALIZED', 'lexical AS MATERIALIZED')}
 SELECT query_id, doc_index, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_index) AS rank FROM lexical) WHERE rank <= 5""")
 def rerank_top(spark, sf_dir):
-    scored = K.score_pairs(_pairs(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    scored = K.score_pairs(_pairs(spark, sf_dir)).withColumn("score", F.round("score", 12))
     return K.rank_pairs(scored, 5, return_documents=False).select("query_id", "doc_index", "score", F.col("rank").cast("bigint"))
 
 
@@ -87,10 +87,10 @@ def talk_pairs(spark, sf_dir):
     return K.salted_join(answers, asked, ["query_id"], salts=4)
 
 
-@query("rerank_all", f"""WITH {_TALK_SQL}, s AS (SELECT query_id, doc_index, round({sql_lexical('query', 'text')}, 6) AS score FROM talk)
+@query("rerank_all", f"""WITH {_TALK_SQL}, s AS (SELECT query_id, doc_index, round({sql_lexical('query', 'text')}, 12) AS score FROM talk)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_index) AS rank FROM s""")
 def rerank_all(spark, sf_dir):
-    scored = K.score_pairs(talk_pairs(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    scored = K.score_pairs(talk_pairs(spark, sf_dir)).withColumn("score", F.round("score", 12))
     return K.rank_pairs(scored).select("query_id", "doc_index", "score", F.col("rank").cast("bigint"))
 
 
@@ -129,10 +129,10 @@ def result_reuse(spark, sf_dir):
     return K.reusable(e.where("sec >= 1705276800"), old, 86400).select("event_id", "reuse")
 
 
-@query("rerank_model_scores", f"WITH {_TALK_SQL} SELECT query_id, doc_index, round(length(text) / (length(query) + length(text))::DOUBLE, 6) AS score FROM talk")
+@query("rerank_model_scores", f"WITH {_TALK_SQL} SELECT query_id, doc_index, round(length(text) / (length(query) + length(text))::DOUBLE, 12) AS score FROM talk")
 def rerank_model_scores(spark, sf_dir):
     """A Python model, loaded once per task and called in batches."""
     def load():
         return lambda queries, texts: [len(t) / (len(q) + len(t)) for q, t in zip(queries, texts)]
 
-    return K.score_pairs(talk_pairs(spark, sf_dir), load).select("query_id", "doc_index", F.round("score", 6).alias("score"))
+    return K.score_pairs(talk_pairs(spark, sf_dir), load).select("query_id", "doc_index", F.round("score", 12).alias("score"))

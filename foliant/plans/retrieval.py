@@ -81,9 +81,9 @@ centers AS (SELECT label, d, avg(x) AS c FROM dims GROUP BY label, d),
 qn AS (SELECT label, sqrt(sum(c * c)) AS norm FROM centers GROUP BY label),
 vn AS (SELECT vec_id, sqrt(sum(x * x)) AS norm FROM dims GROUP BY vec_id),
 sims AS (SELECT c.label, v.vec_id, sum(c.c * v.x) AS dot FROM dims v JOIN centers c USING (d) GROUP BY c.label, v.vec_id),
-ranked AS (SELECT label::BIGINT AS query_id, vec_id AS item_id, round(dot / qn.norm / vn.norm, 6) AS score
+ranked AS (SELECT label::BIGINT AS query_id, vec_id AS item_id, round(dot / qn.norm / vn.norm, 10) AS score
   FROM sims JOIN qn USING (label) JOIN vn USING (vec_id))
-SELECT query_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM ranked) WHERE rank <= 20""")
+SELECT query_id, item_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM ranked) WHERE rank <= 20""")
 def vector_topk(spark, sf_dir):
     """The vectors nearest to the mean of each label."""
     e = table(spark, sf_dir, "embeddings")
@@ -92,7 +92,8 @@ def vector_topk(spark, sf_dir):
     centers = means.groupBy(F.col("label").cast("bigint").alias("query_id")).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("d", "c"))), lambda s: s["c"]).alias("vec"))
     items = e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"))
-    return R.vector_topk(centers, items, 20).withColumn("rank", F.col("rank").cast("bigint"))
+    top = R.vector_topk(centers, items, 20, digits=10)  # DuckDB sums in another order
+    return top.withColumns({"rank": F.col("rank").cast("bigint"), "score": F.round("score", 6)})
 
 
 BM25_SQL = f"""terms AS (SELECT DISTINCT item_id AS query_id, unnest({sql_keywords('text')}) AS term FROM benchmark),
@@ -102,16 +103,16 @@ tfs AS (SELECT doc_id, term, count(*) AS tf FROM toks WHERE term IN (SELECT term
 dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY term),
 st AS (SELECT count(*) AS n, avg(dl) AS adl FROM lens),
 scored AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE
-    / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / adl))), 6) AS score
+    / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / adl))), 10) AS score
   FROM terms JOIN tfs USING (term) JOIN dfs USING (term) JOIN lens USING (doc_id) CROSS JOIN st GROUP BY query_id, doc_id),
-best AS (SELECT query_id, doc_id AS item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
+best AS (SELECT query_id, doc_id AS item_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
   FROM scored) WHERE rank <= 15)"""
 
 
 def bm25_best(spark, sf_dir, k: int = 15):
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     d = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text"))
-    return R.bm25_topk(q, d, k)
+    return R.bm25_topk(q, d, k, digits=10).withColumn("score", F.round("score", 6))  # DuckDB sums in another order
 
 
 @query("bm25_topk", f"WITH {BM25_SQL} SELECT * FROM best")

@@ -239,6 +239,25 @@ def scan_failures(spark, sf_dir):
     return s.select("conv_id", "turn", "f.scanner", "f.reason", M.score_percent(F.col("f.score")).alias("score"))
 
 
+_POLICIES = ("block", "allow")
+
+
+@query("scan_failure_policy", f"""WITH {_TURNS_SQL}, c AS (SELECT conv_id, turn, length(text) % 5 = 0 AS broken,
+  contains(lower(text), 'malicious') OR contains(lower(text), 'dangerous') AS banned FROM turns)
+SELECT conv_id, turn, policy, CASE WHEN broken THEN policy = 'allow' AND NOT banned ELSE NOT banned END AS allowed,
+  CASE WHEN broken THEN 'scanner flaky failed' END AS error FROM c, (VALUES ('block'), ('allow')) p(policy)""")
+def scan_failure_policy(spark, sf_dir):
+    """A scanner that fails on some turns, under both policies, before a scanner that works."""
+    flaky = S.Scanner("flaky", lambda t: S.verdict(F.lit(True), F.when(F.length(t) % 5 != 0, 0.0), t))
+    turns = marked_turns(spark, sf_dir)
+    out = None
+    for policy in _POLICIES:
+        s = G.scan(turns, "text", [flaky, G.FACTORIES["ban_substrings"]()], fail_fast=False, on_error=policy)
+        own = s.select("conv_id", "turn", F.lit(policy).alias("policy"), "scan.allowed", "scan.error")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 _LANG_OF_TURN = f"{_SCRIPT_SQL} ELSE 'en' END"
 
 
@@ -271,7 +290,7 @@ def scan_summary(spark, sf_dir):
 
 # ---- conversations ---------------------------------------------------------
 
-@query("conversation_text", "SELECT conv_id, 0::BIGINT AS part, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations WHERE lower(role) IN ('user', 'system') AND trim(text) <> '' GROUP BY conv_id")
+@query("conversation_text", "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations WHERE lower(role) IN ('user', 'system') AND trim(text) <> '' GROUP BY conv_id")
 def conversation_text(spark, sf_dir):
     return G.conversation_text(table(spark, sf_dir, "conversations"), ["User", "system"])
 

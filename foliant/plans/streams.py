@@ -82,7 +82,7 @@ def guarded_stream(spark, sf_dir):
     return out.select(F.col("response_id").cast("bigint"), "seq", "kind", "text")
 
 
-@query("assembled_responses", f"""WITH {_DELTAS_SQL} SELECT response_id, 0::BIGINT AS part, string_agg(text, '' ORDER BY seq) AS text, sum(CASE WHEN done THEN length(text) ELSE 0 END)::BIGINT AS prompt_tokens,
+@query("assembled_responses", f"""WITH {_DELTAS_SQL} SELECT response_id, string_agg(text, '' ORDER BY seq) AS text, sum(CASE WHEN done THEN length(text) ELSE 0 END)::BIGINT AS prompt_tokens,
   count(*) AS completion_tokens, sum(CASE WHEN done THEN length(text) ELSE 0 END)::BIGINT + count(*) AS total_tokens FROM deltas GROUP BY response_id""")
 def assembled_responses(spark, sf_dir):
     d = deltas(marked_turns(spark, sf_dir))
@@ -193,11 +193,15 @@ def office_text(spark, sf_dir):
     return f.select("doc_id", S.file_text(F.col("path"), F.col("content")).alias("text"))
 
 
-@query("file_inventory")
+@query("file_inventory", """SELECT 'lot=' || (doc_id % 7) AS folder, sum(octet_length(encode(text)) + 1)::BIGINT AS size, '.txt' AS ext
+FROM documents GROUP BY 1""")
 def file_inventory(spark, sf_dir):
-    """The files of the given tables themselves."""
-    inv = S.file_inventory(spark, sf_dir, [".parquet"])
-    return inv.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "size", "ext")
+    """The documents written as text files in folders, and the files found there."""
+    home = _folder(spark, "inventory")
+    d = table(spark, sf_dir, "documents").select(F.col("text").alias("value"), (F.col("doc_id") % 7).alias("lot"))
+    d.write.partitionBy("lot").text(home)
+    inv = S.file_inventory(spark, home, [".TXT"])
+    return inv.groupBy(F.regexp_extract("path", "/(lot=[0-9]+)/", 1).alias("folder"), "ext").agg(F.sum("size").alias("size"))
 
 
 # ---- sources and sinks through the shared folder -----------------------------------
@@ -229,12 +233,15 @@ def tree_markdown_sink(spark, sf_dir):
     return lines.where("line LIKE '| %' AND line NOT IN ('| Path | Type | Size | Summary |', '| --- | --- | --- | --- |')")
 
 
-@query("csv_source", "SELECT event_id::VARCHAR AS event_id, event_type, user_id::VARCHAR AS user_id FROM events")
+@query("csv_source", """SELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END AS text,
+  'say "' || source || '", twice' AS note FROM documents""")
 def csv_source(spark, sf_dir):
-    """Every event written as CSV with a header and read back as text."""
+    """Every document written as quoted CSV, with line breaks, quotes, commas and empty cells, and read back."""
     home = _folder(spark, "csv")
-    table(spark, sf_dir, "events").select("event_id", "event_type", "user_id").write.csv(home, header=True)
-    return S.read_csv(spark, home)
+    d = table(spark, sf_dir, "documents")
+    d.select("doc_id", F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("text")).alias("text"),
+             F.concat(F.lit('say "'), F.col("source"), F.lit('", twice')).alias("note")).write.csv(home, header=True, escape='"', quoteAll=True)
+    return S.read_csv(spark, home).drop("_record")
 
 
 @query("access_log_source", "SELECT count(*) AS lines, count(*) FILTER (WHERE event_type = 'error') AS failed, count(DISTINCT event_type) AS paths FROM events")
@@ -248,11 +255,11 @@ def access_log_source(spark, sf_dir):
     return log.agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("status") >= 400).alias("failed"), F.count_distinct("path").alias("paths"))
 
 
-@query("audited_stream", f"WITH {_DELTAS_SQL} SELECT response_id, 0::BIGINT AS part, NOT regexp_matches(lower(string_agg(text, '' ORDER BY seq)), '{_UNSAFE}') AS allowed FROM deltas GROUP BY response_id")
+@query("audited_stream", f"WITH {_DELTAS_SQL} SELECT response_id, NOT regexp_matches(lower(string_agg(text, '' ORDER BY seq)), '{_UNSAFE}') AS allowed FROM deltas GROUP BY response_id")
 def audited_stream(spark, sf_dir):
     """Deltas passed on unchecked, with the whole answers judged once they are done."""
     home = _folder(spark, "audit")
     src = run.read_table_stream(spark, sf_dir, "conversations")
     job = guard.audit_stream(deltas(mark_turns(src)), f"{home}/raw", f"{home}/audit", f"{home}/open", RULES, f"{home}/checkpoint")
     job.awaitTermination()
-    return spark.read.parquet(f"{home}/audit").select("response_id", "part", "allowed")
+    return spark.read.parquet(f"{home}/audit").select("response_id", "allowed")

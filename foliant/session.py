@@ -64,13 +64,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, below_bytes: int = 1 << 30) -> DataFrame:
-    """Even out a small input that sits in few row groups.
+def spread(df: DataFrame) -> DataFrame:
+    """Even out an input of fewer splits than cores.
 
-    Text work is heavy per row, and a file of one row group would run as one task.
-    Inputs above the limit already arrive in many splits and are left alone.
+    Text work is heavy per row, and a file of one row group would run as one task. An input
+    of many splits is left alone, whatever its size.
     """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) >= below_bytes:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -10,7 +10,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from foliant.operators.report import truncate_bytes
 from foliant.operators.sync import extension
@@ -67,9 +67,25 @@ def _office_text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
         ])
 
 
+@F.pandas_udf(StringType())
+def _lenient(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda b: None if b is None else b.decode("utf-8", "ignore"))
+
+
+def utf8(raw: Column) -> Column:
+    """Bytes as text; those that are no UTF-8 are left out, written replacement characters stay."""
+    valid = F.try_validate_utf8(raw.cast("string"))
+    return F.coalesce(valid, _lenient(F.when(valid.isNull(), raw)))
+
+
 def file_text(path: Column, content: Column) -> Column:
-    """Text of a file: office archives by their XML, all else, and archives without text, as UTF-8."""
-    return _office_text(extension(path), content)
+    """Text of a file: office archives by their XML, all else, and archives without text, as UTF-8.
+
+    Bytes that are no UTF-8 are left out. Only archives and texts with such bytes go to Python.
+    """
+    kind = extension(path)
+    archive = kind.isin(*ARCHIVE_TEXT)
+    return F.when(archive, _office_text(kind, F.when(archive, content))).otherwise(utf8(content))
 
 
 def read_texts(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
@@ -78,8 +94,20 @@ def read_texts(spark: SparkSession, root: str, max_bytes: int | None = None) ->
     return out if max_bytes is None else out.withColumn("text", truncate_bytes(F.col("text"), max_bytes))
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Text columns named by the first row; bytes that are no UTF-8 are left out."""
-    rows = spark.read.csv(path, header=True, mode="PERMISSIVE", multiLine=False)
-    clean = lambda c: F.replace(F.col(f"`{c}`"), F.lit("�"), F.lit(""))
-    return rows.select(*[clean(c).alias(c.replace("�", "")) for c in rows.columns])
+def read_csv(spark: SparkSession, path: str, line_breaks: bool = True, rest: str = "_record") -> DataFrame:
+    """Text columns named by the first row, as a reader of quoted CSV sees them.
+
+    Doubled quotes, commas and line breaks inside quotes belong to the value; an empty or
+    missing cell is an empty text, and bytes that are no UTF-8 are left out. A row with more or fewer cells than the header keeps its
+    whole text in the column ``rest``, so that nothing is lost; it is null in other rows. A
+    file that may have line breaks in quotes is read by one task: pass ``line_breaks=False``
+    for large files known to have none.
+    """
+    options = {"header": True, "multiLine": line_breaks, "escape": '"', "quote": '"', "mode": "PERMISSIVE", "enforceSchema": True,
+               "columnNameOfCorruptRecord": rest, "encoding": "ISO-8859-1"}  # bytes come through as they are
+    names = spark.read.options(**options).csv(path).columns
+    fields = StructType([StructField(c, StringType()) for c in [*names, rest]])
+    rows = spark.read.options(**options).schema(fields).csv(path)
+    text = lambda c: utf8(F.encode(F.col(f"`{c}`"), "ISO-8859-1"))
+    return rows.select(
+        *[F.coalesce(text(c), F.lit("")).alias(c.encode("latin-1").decode("utf-8", "ignore")) for c in names], text(rest).alias(rest))

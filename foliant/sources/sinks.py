@@ -12,10 +12,14 @@ def write_chunks(chunks: DataFrame, path: str, buckets: int = 64, mode: str = "o
     """Chunks as Parquet, in folders by a hash of the chunk id, ready for a loader.
 
     The id spreads evenly, so a source that holds most chunks does not make one big folder.
+    There are as many writers as shuffle partitions, whatever the number of buckets: each
+    bucket is dealt over enough of them, and each writer holds few buckets.
     """
     lot = F.pmod(F.xxhash64("chunk_id"), F.lit(buckets)).cast("int")
-    rows = chunks.withColumn("bucket", lot)
-    rows.repartition("bucket").write.mode(mode).partitionBy("bucket").parquet(path)
+    writers = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deal = F.pmod(F.xxhash64("chunk_id", F.lit(1)), F.lit(-(-writers // buckets))).cast("int")
+    rows = chunks.withColumns({"bucket": lot, "_deal": deal})
+    rows.repartition(writers, "bucket", "_deal").drop("_deal").write.mode(mode).partitionBy("bucket").parquet(path)
 
 
 def write_entries_json(entries: DataFrame, path: str, mode: str = "overwrite") -> None:

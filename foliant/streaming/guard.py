@@ -104,7 +104,7 @@ def audit_stream(deltas: DataFrame, raw_path: str, audit_path: str, open_path: s
             now = now.unionByName(spark.read.schema(now.schema).parquet(f"{open_path}/batch={batch_id - 1}"))
         finished = now.where("done").select("response_id").distinct()
         texts = assemble(now.join(finished, "response_id", "left_semi"))
-        audit = texts.withColumn("allowed", ~F.col("text").rlike(unsafe)).select("response_id", "part", "allowed")
+        audit = texts.withColumn("allowed", ~F.col("text").rlike(unsafe)).select("response_id", "allowed")
         audit.write.mode("overwrite").parquet(f"{audit_path}/batch={batch_id}")
         now.join(finished, "response_id", "left_anti").write.mode("overwrite").parquet(f"{open_path}/batch={batch_id}")
 

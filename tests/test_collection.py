@@ -146,7 +146,11 @@ def test_files(spark, tmp_path):
     assert got == {"a.docx": "Hello docx", "b.XLSX": "cell\n7", "c.pptx": "no archive  at all", "d.txt": "Hello text"}
     assert {r.text for r in S.read_texts(spark, str(root), max_bytes=5).where("path LIKE '%d.txt'").collect()} == {"Hello"}
     (tmp_path / "t.csv").write_bytes(b"name,v\nx\xff,1\ny,\n")
-    assert [tuple(r) for r in S.read_csv(spark, str(tmp_path / "t.csv")).collect()] == [("x", "1"), ("y", None)]
+    assert [tuple(r) for r in S.read_csv(spark, str(tmp_path / "t.csv")).collect()] == [("x", "1", None), ("y", "", None)]
+    (tmp_path / "q.csv").write_bytes('a,n\n"x\ny",1\n"he said ""hi, you""",2\np,4,extra\n"\ufffd é",\n'.encode())
+    got = [tuple(r) for r in S.read_csv(spark, str(tmp_path / "q.csv")).collect()]
+    assert [r[:2] for r in got] == [("x\ny", "1"), ('he said "hi, you"', "2"), ("p", "4"), ("\ufffd é", "")]
+    assert "extra" in got[2][2] and [r[2] for r in got[:2]] == [None, None]
 
 
 def test_html_and_logs(spark):

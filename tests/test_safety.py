@@ -95,7 +95,7 @@ def test_conversations(spark):
     rows = [(1, 0, "System", "s"), (1, 1, "USER", "u1"), (1, 2, "assistant", "a"), (1, 3, "user", "  "), (1, 4, "user", "u2"), (2, 0, "assistant", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
     assert [r.text for r in G.conversation_text(df, ["user"]).collect()] == ["u1\nu2"]
-    assert {r.part: r.text for r in G.conversation_text(df.where("conv_id = 1"), part_turns=2).collect()} == {0: "s\nu1", 1: "a", 2: "u2"}
+    assert [r.text for r in G.conversation_text(df.where("conv_id = 1"), part_turns=2).collect()] == ["s\nu1\na\nu2"]
     assert [(r.conv_id, r.text) for r in G.latest_turn(df, ["user"]).collect()] == [(1, "u2")]
 
 

@@ -95,8 +95,12 @@ def test_holding_back_never_shows_unsafe_text(spark, tmp_path):
 
 def test_assembly_in_parts(spark):
     rows = [(1, i, str(i), False, None) for i in range(10)]
-    got = R.assemble(spark.createDataFrame(rows, SCHEMA), part_rows=4).orderBy("part").collect()
-    assert [r.text for r in got] == ["0123", "4567", "89"] and got[0].total_tokens == 0
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("completion_tokens", F.lit(1))
+    for part_rows in (3, 4, 100_000):
+        got = R.assemble(df, part_rows=part_rows).collect()
+        assert [(r.text, r.total_tokens) for r in got] == [("0123456789", 10)]
+    seam = spark.createDataFrame([(7, 2, "dan", False, None), (7, 3, "gerous", True, None)], SCHEMA)
+    assert R.assemble(seam, part_rows=3).where("text RLIKE 'dangerous'").count() == 1
 
 
 def test_audit_never_blocks(spark, tmp_path):
