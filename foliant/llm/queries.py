@@ -62,6 +62,13 @@ def _fold_of(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary"))
 
 
+def _with_labels(docs: DataFrame, labels: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """Join whole texts with one label a document. Up to ``limit`` labels (about 50 MB in memory)
+    are sent to the texts; beyond it the texts are shuffled by id."""
+    few = labels.count() <= limit
+    return docs.join(F.broadcast(labels) if few else labels, "doc_id")
+
+
 @query("op9_toxicity")
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every whole text; counts from three quarters of the learnable rows, the curve from the rest."""
@@ -69,7 +76,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(
         (F.max("toxic") > 0).alias("label"))
     learn, judge = F.col("fold") % 4 != 2, F.floor(F.col("fold") / 4) % 4 == 0
-    model = toxicity.fit(docs.where(learn & ~judge).join(labels, "doc_id"))
+    model = toxicity.fit(_with_labels(docs.where(learn & ~judge), labels))
     judged = cut_lineage(toxicity.features(docs, model, ["doc_id", "fold"]))
     weights = toxicity.calibrate(judged.where(learn & judge).join(labels, "doc_id"))
     score = toxicity.score(weights)
