@@ -44,7 +44,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of the documents' pieces in sequences of 2048 tokens."""
-    cut = packing.pieces(docs, tokenizer_path(), 2048, 0, keep=["doc_id"])
+    cut = packing.pieces(docs, tokenizer_path(), 2048, 0, keep=["doc_id"], ranks_path=tokenizer_path("byte_bpe_50k.tiktoken"))
     return packing.pack(cut, 2048).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

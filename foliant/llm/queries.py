@@ -205,17 +205,17 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("licenses", F.array_join("licenses", ","))
 
 
-def tokenizer_path() -> str:
-    """Place of the byte-level vocabulary of the installed tokenizer files."""
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Place of the byte-level vocabulary, or of its ranks, among the installed tokenizer files."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op5_packing")
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of each piece of each whole text in sequences of 2048 tokens."""
-    cut = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path(), 2048, 0, keep=["doc_id"])
+    cut = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path(), 2048, 0, keep=["doc_id"], ranks_path=tokenizer_path("byte_bpe_50k.tiktoken"))
     return packing.pack(cut, 2048).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

@@ -15,12 +15,27 @@ def tokenizer():
     return Tokenizer.from_file(tokenizer_path())
 
 
-def test_parts_give_the_ids_of_the_whole(tokenizer):
+@pytest.fixture(scope="module")
+def encoder():
+    return _Encoder(tokenizer_path(), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
+def same(encoder, tokenizer, text):
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_both_ways_give_the_same_ids(encoder, tokenizer):
     rng = random.Random(5)
-    texts = ["".join(rng.choice(["a", "b", " ", "  ", "\n", "\t", "'s", "1", "é", "日", " ", ".", "<|endoftext|>"]) for _ in range(rng.randint(0, 30)))
-             for _ in range(600)]
-    for text, ids in zip(texts, _Encoder(tokenizer_path()).encode(texts)):
-        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    parts = ["a", "b", " ", "  ", "\n", "\t", "\r\n", "'s", "'LL", "1", "é", "日", "\u3000", ".", "%%", "<|endoftext|>", "ß", "²", "\xa0", "\xad"]
+    for _ in range(1500):
+        same(encoder, tokenizer, "".join(rng.choice(parts) for _ in range(rng.randint(0, 30))))
+    for code in [*range(0x250), *range(0x250, 0xD800, 97)]:
+        same(encoder, tokenizer, f"a{chr(code)}b {chr(code)}1 {chr(code)}{chr(code)} x")
+
+
+def test_long_runs(encoder, tokenizer):
+    for text in ("a" * 30_000, " " * 30_000, "\n" * 30_000 + "x", "ab " * 20_000, LONG):
+        same(encoder, tokenizer, text)
 
 
 def plain_bins(lengths, capacity):
