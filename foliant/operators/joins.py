@@ -24,3 +24,14 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "i
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn(
         "_salt", F.col("_salt").cast("bigint"))
     return big.withColumn("_salt", deal).join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def small_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", limit: int = 100_000) -> DataFrame:
+    """Equi-join with a table that is meant to be small, with any number of rows per key.
+
+    Up to ``limit`` rows it is sent to the rows of ``big``, which then stay where they are
+    however few keys there are. Beyond it both sides are shuffled and adaptive execution
+    splits the keys that hold too much.
+    """
+    few = small.count() <= limit
+    return big.join(F.broadcast(small) if few else small, keys, how)

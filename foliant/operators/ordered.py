@@ -76,9 +76,12 @@ def running(
     group_limit: int = GROUP_LIMIT,
     known_largest: int | None = None,
 ) -> DataFrame:
-    """Add running values per ``keys`` in ascending ``order`` (which must be unique in a group)."""
+    """Add running values per ``keys`` in ascending ``order`` (which must be unique in a group).
+
+    Without keys the whole table is one group and is always summed in parts.
+    """
     largest = largest_group(df, keys) if known_largest is None else known_largest
-    if largest <= group_limit:
+    if keys and largest <= group_limit:
         out = df
         for run in runs:
             value = run.fold().over(_frame(keys, order, run.exclusive))

@@ -127,11 +127,13 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int, block: int = QUERY
                     vecs = np.stack(sub["vec"].to_numpy()).astype("float64")
                     vecs /= np.maximum(np.linalg.norm(vecs, axis=1, keepdims=True), 1e-300)
                     sims = _rounded(vecs @ mat.T, digits)
-                    found = pd.DataFrame({
-                        "q": np.tile(np.arange(len(ids)), len(sub)),
-                        "item_id": np.repeat(sub["item_id"].to_numpy(), len(ids)),
-                        "score": sims.ravel(),
-                    })
+                    ids_here = sub["item_id"].to_numpy()
+                    if len(sub) > k:  # all that reach the k-th best score of their query, ties included
+                        bar = np.partition(sims, len(sub) - k, axis=0)[len(sub) - k]
+                        at, q = np.nonzero(sims >= bar)
+                    else:
+                        at, q = np.nonzero(np.ones(sims.shape, bool))
+                    found = pd.DataFrame({"q": q, "item_id": ids_here[at], "score": sims[at, q]})
                     kept = _best(pd.concat([kept, found]) if len(kept) else found, k)
             if len(kept):
                 yield pd.DataFrame({"query_id": ids[kept["q"].astype(int)], "item_id": kept["item_id"].astype("int64"),
@@ -253,14 +255,17 @@ def diversify(results: DataFrame, top_k: int, weight: float = 0.1, group_limit:
     """
     if weight <= 0:
         return results.withColumn("adjusted", F.col("score"))
+    results = cut_lineage(results)  # used for the sizes and for the order; worked out once
     largest = largest_group(results, ["query_id"])
     out = results.withColumn("_down", -F.col("score"))
     order = ["_down", "idx"]
     known = {"group_limit": group_limit, "known_largest": largest}
     out = running(out, ["query_id", "source"], order, [Run("_same_source", "count", None, True)], **known)
     out = running(out, ["query_id", "source", "section"], order, [Run("_same_section", "count", None, True)], **known)
-    sizes = results.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
-    out = salted_join(out, sizes, ["query_id"])
+    if largest <= group_limit:
+        out = out.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("query_id")))
+    else:
+        out = salted_join(out, results.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n")), ["query_id"])
     penalty = (F.col("_same_source") * 0.1 + F.col("_same_section") * 0.2) * weight
     adjusted = F.when(F.col("_n") <= top_k, F.col("score")).otherwise(F.col("score") * (1 - penalty))
     return out.withColumn("adjusted", adjusted).drop("_down", "_same_source", "_same_section", "_n")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.operators.joins import small_join
 from foliant.operators.ordered import Run, nearest_rank, running, trailing_mean
 
 # Thresholds of the metrics and alerts.
@@ -141,12 +142,12 @@ def limit_breaches(requests: DataFrame, key: str, limits: DataFrame) -> DataFram
     counts = requests.select(F.col(key), F.explode(starts).alias("w")).groupBy(key, "w.span", "w.window_sec").agg(
         F.count(F.lit(1)).alias("requests"))
     on = ["span", key] if key in limits.columns else ["span"]
-    return counts.join(limits, on).where("requests > max_requests")
+    return small_join(counts, limits, on).where("requests > max_requests")
 
 
 def over_context(requests: DataFrame, windows: DataFrame) -> DataFrame:
     """Requests with more prompt tokens than the window of their model."""
-    return requests.join(windows, "model").where("prompt_tokens > context_window")
+    return small_join(requests, windows, ["model"]).where("prompt_tokens > context_window")
 
 
 def cost_by_model(requests: DataFrame, prices: DataFrame) -> DataFrame:
@@ -159,10 +160,17 @@ def cost_by_model(requests: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def with_fallbacks(requests: DataFrame, fallbacks: DataFrame) -> DataFrame:
-    """First and second fallback model of failed requests. ``fallbacks(model, fallback)``."""
-    first = fallbacks.select("model", F.col("fallback").alias("fallback_1"))
-    second = fallbacks.select(F.col("model").alias("fallback_1"), F.col("fallback").alias("fallback_2"))
-    return requests.where(failed()).join(first.join(second, "fallback_1", "left"), "model", "left")
+    """First and second fallback model of failed requests.
+
+    ``fallbacks(model, fallback)``, with a column ``place`` where a model has several: they are
+    tried in its order. A model with one fallback goes on with that model's first fallback.
+    """
+    place = F.col("place") if "place" in fallbacks.columns else F.lit(0)
+    lists = fallbacks.groupBy("model").agg(F.sort_array(F.collect_list(F.struct(place.alias("place"), "fallback"))).alias("_fs"))
+    lists = lists.select("model", F.get("_fs", F.lit(0))["fallback"].alias("fallback_1"), F.get("_fs", F.lit(1))["fallback"].alias("_own"))
+    chained = lists.select(F.col("model").alias("fallback_1"), F.col("fallback_1").alias("_next"))
+    both = lists.join(chained, "fallback_1", "left").select("model", "fallback_1", F.coalesce("_own", "_next").alias("fallback_2"))
+    return small_join(requests.where(failed()), both, ["model"], "left")
 
 
 def tokens_per_second(tokens: Column, duration_ns: Column) -> Column:

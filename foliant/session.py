@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -52,6 +56,28 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Lists of the tables stored in the open ``scratch`` blocks.
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Remove the tables that operators store inside the block when it ends.
+
+    For a job that has written its result by then; a frame made inside must not be read after.
+    """
+    held: list[str] = []
+    _SCRATCH.append(held)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(held)
+        for path in held:
+            store, place = fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
+            if store.get_file_info(place).type == fs.FileType.Directory:
+                store.delete_dir(place)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back from there.
 
@@ -60,6 +86,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     checkpoint() would work them out a second time to write them.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    for held in _SCRATCH:
+        held.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -75,3 +75,17 @@ def test_salted_join_keeps_all_rows(spark):
     assert salted_join(big, small, ["k"], "left").count() == 42
     assert salted_join(big, small, ["k"], "left_anti").count() == 1
     assert salted_join(big, small, ["k"], "left_semi").count() == 41
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from foliant.session import cut_lineage, scratch, shared_folder
+
+    kept = cut_lineage(spark.range(3))
+    home = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(home))
+    with scratch():
+        assert cut_lineage(spark.range(5)).count() == 5
+        assert set(os.listdir(home)) > before
+    assert set(os.listdir(home)) == before and kept.count() == 3

@@ -22,14 +22,22 @@ def test_vector_topk_equals_brute_force(spark):
     di = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)], "item_id long, vec array<double>").repartition(4)
     dq = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "query_id long, vec array<double>")
     n = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
-    sims = np.round(n(queries) @ n(items).T, 6)
+    sims = np.round(n(queries) @ n(items).T, 12)  # copies tie whatever order they are summed in
     for block in (100, 2):
-        got = R.vector_topk(dq, di, 7, block=block).collect()
+        got = R.vector_topk(dq, di, 7, block=block, digits=12).collect()
         for q in range(len(queries)):
             want = sorted(range(len(items)), key=lambda i: (-sims[q, i], i))[:7]
             assert [r.item_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
 
 
+def test_near_ties_are_told_apart(spark):
+    base = [1.0, 2.0, 3.0]
+    items = [(i, [1.0, 2.0, 3.0 + (3 - i) * 1e-7]) for i in range(1, 6)]
+    di = spark.createDataFrame(items, "item_id long, vec array<double>")
+    dq = spark.createDataFrame([(1, base)], "query_id long, vec array<double>")
+    assert [r.item_id for r in R.vector_topk(dq, di, 1).collect()] == [3]
+
+
 def test_bm25_equals_brute_force(spark):
     rnd = random.Random(5)
     texts = [" ".join(rnd.choices(WORDS, weights=range(10, 0, -1), k=rnd.randint(1, 30))) for _ in range(120)] + [""]
@@ -43,10 +51,10 @@ def test_bm25_equals_brute_force(spark):
     def score(q, t):
         tf = Counter(t)
         return round(sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] * 2.2 / (tf[w] + 1.2 * (0.25 + 0.75 * len(t) / avg))
-                         for w in set(q.split()) if w in tf), 6)
+                         for w in set(q.split()) if w in tf), 12)
 
     for block in (1000, 6):
-        got = R.bm25_topk(dq, di, 5, block=block).collect()
+        got = R.bm25_topk(dq, di, 5, block=block, digits=12).collect()
         for i, q in enumerate(asks):
             s = {j: score(q, t) for j, t in enumerate(toks)}
             want = [j for j in sorted(s, key=lambda j: (-s[j], j)) if s[j] > 0][:5]
