@@ -18,6 +18,17 @@ def read_table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_bat
             .option("maxFilesPerTrigger", files_per_batch).parquet(sf_dir))
 
 
+def staged_stream(spark: SparkSession, slices: list[DataFrame]) -> DataFrame:
+    """A stream in which each slice arrives as one file, in the order of the list, one file a batch.
+
+    Each slice is written by one task, so this is for slices of moderate size.
+    """
+    home = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    for part in slices:  # one after the other: the source takes files by their time
+        part.coalesce(1).write.mode("append").parquet(home)
+    return spark.readStream.schema(slices[0].schema).option("maxFilesPerTrigger", 1).parquet(home)
+
+
 def drain(stream: DataFrame, keys: list[str] | None = None, mode: str = "append") -> DataFrame:
     """Run until the input is used up and return what came out.
 
