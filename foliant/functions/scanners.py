@@ -57,8 +57,8 @@ CODE_FLOOR = 2
 # Kinds of personal data, longest forms first.
 PERSONAL = {
     "EMAIL": EMAIL_BODY,
-    "IP": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",
-    "CARD": r"[0-9]{16}",
+    "IP": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
+    "CARD": r"\b[0-9]{16}\b",
     "PHONE": r"(?:\+[0-9]{1,3} ?)?\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}",
 }
 
@@ -190,16 +190,19 @@ def personal_values(text: Column, allowed: list[str] = ALLOWED_NAMES, hidden: li
     for kind, body in PERSONAL.items():
         found = F.array_distinct(find_all(text, body))
         keep = F.filter(found, lambda v: ~v.isin(allowed)) if allowed else found
-        parts.append(_numbered(keep, kind))
+        parts.append(_numbered(keep, kind, text))
     if hidden:
         there = F.filter(F.array(*[F.lit(n) for n in hidden]), text.contains)
-        parts.append(_numbered(there, "NAME"))
+        parts.append(_numbered(there, "NAME", text))
     return F.concat(*parts)
 
 
-def _numbered(values: Column, kind: str) -> Column:
-    return F.transform(values, lambda v, i: F.struct(
-        F.concat(F.lit(f"[{kind}_"), (i + 1).cast("string"), F.lit("]")).alias("placeholder"), v.alias("original")))
+def _numbered(values: Column, kind: str, text: Column) -> Column:
+    """Placeholders count on from those that stand in the text already, so that they can be told apart."""
+    written = F.regexp_extract_all(text, F.lit(rf"\[{kind}_([0-9]{{1,8}})\]"), 1)
+    before = F.when(text.contains(f"[{kind}_"), F.coalesce(F.array_max(F.transform(written, lambda n: n.cast("int"))), F.lit(0))).otherwise(0)
+    return bind(before, lambda n: F.transform(values, lambda v, i: F.struct(
+        F.concat(F.lit(f"[{kind}_"), (i + n + 1).cast("string"), F.lit("]")).alias("placeholder"), v.alias("original"))))
 
 
 def mask_values(text: Column, values: Column) -> Column:

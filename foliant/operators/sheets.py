@@ -33,7 +33,7 @@ def detect_tables(cells: DataFrame) -> DataFrame:
     half of them filled in 70 % of the next ten rows.
     """
     bounds = cells.groupBy(*SHEET).agg(F.min("row").alias("first"), F.max("row").alias("last"))
-    head = cells.join(bounds, SHEET).where("row <= first + 10")
+    head = salted_join(cells, bounds, SHEET).where("row <= first + 10")
     counts = head.groupBy(*SHEET, "first", "last", "row").agg(F.count_if(filled(F.col("value"))).alias("n"))
     tops = counts.groupBy(*SHEET, "first", "last").agg(
         F.max(F.when(F.col("row") == F.col("first"), F.col("n"))).alias("header_cells"),

@@ -91,6 +91,14 @@ def test_masking(spark):
     assert back == text
 
 
+def test_masking_next_to_written_placeholders(spark):
+    text = "See [EMAIL_1] and [EMAIL_7], or mail a@b.org; id 12345678901234567890 is no card, 5555666677778888 is"
+    r = frame(spark, text).select(S.mask_values(F.col("text"), S.personal_values(F.col("text"))).alias("m")).first()
+    assert r.m == "See [EMAIL_1] and [EMAIL_7], or mail [EMAIL_8]; id 12345678901234567890 is no card, [CARD_1] is"
+    back = G.restore(frame(spark, r.m), G.vault(frame(spark, text), ["id"], "text"), ["id"], "text").first().text
+    assert back == text
+
+
 def test_conversations(spark):
     rows = [(1, 0, "System", "s"), (1, 1, "USER", "u1"), (1, 2, "assistant", "a"), (1, 3, "user", "  "), (1, 4, "user", "u2"), (2, 0, "assistant", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
