@@ -92,6 +92,7 @@ def document_type(text: Column, tables: Column, pages: Column) -> Column:
 
 
 def search_text(title: Column, author: Column, subject: Column, keyword_list: Column, sections: Column) -> Column:
+    # The labels.
     def part(label: str, value: Column) -> Column:
         return F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(label), value))
 
@@ -103,6 +104,7 @@ def search_text(title: Column, author: Column, subject: Column, keyword_list: Co
 
 
 def bibliography(author: Column, title: Column, filename: Column, created: Column, accessed: Column | None = None) -> Column:
+    # The marks and labels of an entry.
     given = lambda v: F.coalesce(v, F.lit("")) != ""
     parts = [
         F.when(given(author), author),

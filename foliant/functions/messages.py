@@ -128,6 +128,7 @@ def score_percent(score: Column) -> Column:
 
 def markdown_report(title: str, description: Column, failed: Column) -> Column:
     """Report of a block decision; ``failed`` is array<struct<scanner, reason, score>>."""
+    # The heads of the table.
     row = lambda s: F.concat(
         F.lit("| "), s["scanner"], F.lit(" | "), s["reason"], F.lit(" | "), score_percent(s["score"]), F.lit(" |"))
     has_text = F.coalesce(description, F.lit("")) != ""
@@ -144,6 +145,7 @@ def markdown_report(title: str, description: Column, failed: Column) -> Column:
 
 def error_class(message: Column) -> Column:
     """Class of a block message by its words, in fixed order."""
+    # The words of each class.
     low = F.lower(message)
     return (
         F.when(F.coalesce(message, F.lit("")) == "", "generic")
@@ -159,13 +161,14 @@ def error_class(message: Column) -> Column:
 def notice(kind: Column, style: str = "markdown") -> Column:
     table = F.create_map(*[F.lit(x) for pair in NOTICES.items() for x in pair])
     text = F.coalesce(F.element_at(table, kind), F.lit(NOTICES["generic"]))
-    if style == "html":
+    if style == "html":  # fixed value: the frame of the notice
         return F.concat(F.lit('<div style="color: #dc3545; padding: 10px;">'), text, F.lit("</div>"))
     return F.concat(F.lit("ERROR: " if style == "plain" else "> "), text)
 
 
 def is_block_event(payload: Column) -> Column:
     """A JSON object or text that reports a block for legal or policy reasons (status 451)."""
+    # Names of the fields and words of the text.
     field = lambda name: F.get_json_object(payload, f"$.{name}")
     policy = F.coalesce(F.nullif(F.get_json_object(payload, "$['X-Error-Type']"), F.lit("")), field("error_type"))
     low = F.lower(payload)

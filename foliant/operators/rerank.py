@@ -62,25 +62,30 @@ def score_pairs(pairs: DataFrame, load_model: Callable | None = None, batch: int
 
     Without a model the score is lexical and stays in the JVM. ``load_model()`` is
     called once per task and returns a function of (queries, texts) to scores; for
-    several classes the first one counts, and a failing batch scores 0.0.
+    several classes the first one counts. A failing batch scores 0.0, and its rows are
+    marked in the column ``failed``.
     """
     if load_model is None:
-        return pairs.withColumn("score", lexical_score(F.col("query"), F.col("text")))
+        return pairs.withColumns({"score": lexical_score(F.col("query"), F.col("text")), "failed": F.lit(False)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load_model()
         for pdf in batches:
             scores: list[float] = []
+            failed: list[bool] = []
             for lo in range(0, len(pdf), batch):
                 part = pdf.iloc[lo:lo + batch]
                 try:
                     raw = model(part["query"].tolist(), part["text"].tolist())
-                    scores += [float(s[0]) if hasattr(s, "__len__") else float(s) for s in raw]
+                    own = [float(s[0]) if hasattr(s, "__len__") else float(s) for s in raw]
+                    bad = False
                 except Exception:
-                    scores += [0.0] * len(part)
-            yield pdf.assign(score=scores)
+                    own, bad = [0.0] * len(part), True
+                scores += own
+                failed += [bad] * len(part)
+            yield pdf.assign(score=scores, failed=failed)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema) + ", score double"
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema) + ", score double, failed boolean"
     return pairs.mapInPandas(run, fields)
 
 

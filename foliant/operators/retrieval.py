@@ -23,10 +23,11 @@ FILE_ASK = r"""(?i)(?:file|document)\s+["']?([^"']+)["']?"""
 KIND_ASK = r"(?i)\b(table|chart|figure|image)\b"
 
 # Words that carry no search meaning.
-STOPWORDS = (
-    "what where when how why who which is are was were do does did the a an in on at to for "
-    "and or but not with from by can could would should will shall this that these those it its"
-).split()
+STOPWORDS = [
+    "what", "where", "when", "how", "why", "who", "which", "is", "are", "was", "were", "do", "does", "did",
+    "the", "a", "an", "in", "on", "at", "to", "for", "and", "or", "but", "not", "with", "from", "by", "can",
+    "could", "would", "should", "will", "shall", "this", "that", "these", "those", "it", "its",
+]
 
 QUERY_BLOCK = 2000  # query vectors that one task holds at a time
 TERM_BLOCK = 200_000  # (query, term) pairs that one task holds at a time
@@ -61,6 +62,7 @@ def analyze_query(query: Column) -> Column:
 
 def expand_query(query: Column) -> Column:
     """The query and its variations, as an array."""
+    # The phrases of the variations.
     open_end = ~query.endswith("?")
     return F.array_compact(F.array(
         query,
@@ -184,9 +186,10 @@ def bm25_topk(queries: DataFrame, items: DataFrame, k: int, k1: float = 1.2, b:
         def score(batches: Iterator[pd.DataFrame], ids=ids, vocab=vocab, owner=owner, weight=weight,
                   first=first, many=many) -> Iterator[pd.DataFrame]:
             kept = pd.DataFrame({"q": [], "item_id": [], "score": []})
+            step = max(1, min(1000, 4_000_000 // max(len(ids), 1)))  # items by queries held at a time
             for pdf in batches:
-                for lo in range(0, len(pdf), 1000):
-                    sub = pdf.iloc[lo:lo + 1000]
+                for lo in range(0, len(pdf), step):
+                    sub = pdf.iloc[lo:lo + step]
                     lens = sub["toks"].map(len).to_numpy()
                     if lens.sum() == 0:
                         continue
