@@ -337,6 +337,8 @@ def _buckets(records: DataFrame, threshold: float, runs: int) -> DataFrame:
         counted = leaves.groupBy("node").agg(
             F.count("*").alias("n"), F.bit_xor(F.xxhash64("record")).alias("p"), F.bit_xor(F.xxhash64("record", F.lit(7))).alias("q"))
         kept = cut_lineage(counted.where("n > 1").groupBy("n", "p", "q").agg(F.min("node").alias("node")).select("node", "n"))
+        wanted = leaves.sparkSession.sparkContext.broadcast(wanted_table(kept, "node"))
+        leaves = leaves.mapInArrow(_only(wanted), leaves.schema)  # most buckets hold one record; they need no shuffle
         full = leaves.join(kept, "node")
         large = kept.where(F.col("n") > LIMIT)
         if depth == MAX_DEPTH or large.isEmpty():
@@ -372,7 +374,7 @@ def _read_again(shared):
 
 
 class _Wanted:
-    """Membership by a bit table over a hash of the record; it may say yes too often, never no."""
+    """Membership of longs by a bit table; it may say yes too often, never no."""
 
     def __init__(self, table: np.ndarray, bits: int):
         self.table, self.bits = table, bits
@@ -392,19 +394,29 @@ class _Wanted:
 def _spots(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spot = np.concatenate(_Wanted.spots(batch.column("record").to_numpy(), bits))
+            spot = np.concatenate(_Wanted.spots(batch.column("key").to_numpy(), bits))
             word, value = spot >> np.uint64(5), np.uint64(1) << (spot & np.uint64(31))
             yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(value.astype(np.int64))], names=["w", "v"])
 
     return run
 
 
-def wanted_table(records: DataFrame, most_bits: int = 27) -> _Wanted:
-    """A bit table of ``records``, of at most 16 MB however many there are."""
-    bits = min(most_bits, max(16, (16 * records.count()).bit_length()))
-    filled = records.select("record").mapInArrow(_spots(bits), "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()
+def _only(shared):
+    """The rows whose node may be wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.may_hold(batch.column("node").to_numpy())))
+
+    return run
+
+
+def wanted_table(rows: DataFrame, key: str, most_bits: int = 27) -> _Wanted:
+    """A bit table of a column of longs, of at most 16 MB however many there are."""
+    bits = min(most_bits, max(16, (16 * rows.count()).bit_length()))
+    filled = rows.select(F.col(key).alias("key")).mapInArrow(_spots(bits), "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
     table = np.zeros(1 << (bits - 5), np.uint32)
-    table[filled["w"].to_numpy(np.int64)] = filled["v"].to_numpy(np.int64).astype(np.uint32)
+    table[filled.column("w").to_numpy()] = filled.column("v").to_numpy().astype(np.uint32)
     return _Wanted(table, bits)
 
 
@@ -427,7 +439,7 @@ def link(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
         _in_blocks(sketched, "node", "n", LIMIT, 1), ["node", "x", "y"], _bucket_links(threshold), "a long, b long"))
     likely = cut_lineage(likely.select(F.col("node").alias("record"), "label"))
     sizes = likely.groupBy("label").agg(F.count("*").alias("n"))
-    shared = documents.sparkSession.sparkContext.broadcast(wanted_table(likely))
+    shared = documents.sparkSession.sparkContext.broadcast(wanted_table(likely, "record"))
     again = rows.select("_text").mapInArrow(_read_again(shared), "record long, shingles binary").groupBy("record").agg(
         F.first("shingles").alias("shingles"))
     held = likely.join(sizes, "label").join(records.select("record", "copies"), "record").join(again, "record")
