@@ -9,18 +9,25 @@ shuffle and may be split by an adaptive join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from foliant.session import cut_lineage
 
 
+def _stored(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """The stored edges, with their number and a hash of them, taken as they are written."""
+    seen = Observation()
+    told = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("code"))
+    out = cut_lineage(told)
+    return out, (seen.get["n"], seen.get["code"])
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, label) for each node of ``edges`` (columns a, b); the label is the component's smallest node."""
-    now = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now, state = _stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     for _ in range(max_rounds):
-        state = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if state == seen or not state[0]:
             break
         seen = state
@@ -30,7 +37,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = large.where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
-        now = cut_lineage(small.where("a <> b").distinct())
+        now, state = _stored(small.where("a <> b").distinct())
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(

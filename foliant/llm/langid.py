@@ -111,16 +111,19 @@ def draw_sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str,
     return sorted(bags.orderBy("draw", "lang").limit(2 * per_language * len(sizes)).collect(), key=lambda r: (r["draw"], r["lang"]))
 
 
-def train(sample: list, false_rejects: float = 0.001, epochs: int = 6, rate: float = 4.0, seed: int = 7) -> Model | None:
-    """Fit on three quarters of the sample; temperature and threshold on the rest."""
+def train(sample: list, false_rejects: float = 0.002, sure: float = 0.4, epochs: int = 12, rate: float = 4.0, seed: int = 7) -> Model | None:
+    """Fit on three quarters of the sample; temperature and threshold on the rest.
+
+    The threshold is never above ``sure``: what is more likely right than wrong is kept.
+    """
     if not sample:
         return None
     languages = sorted({r["lang"] for r in sample})
     at = {name: k for k, name in enumerate(languages)}
     bags = []
     for r in sample:
-        counts = np.frombuffer(r["counts"], np.float32).astype(np.float64)
-        bags.append((np.frombuffer(r["ids"], np.uint16).astype(np.int64), counts / counts.sum(), at[r["lang"]], counts.sum()))
+        counts = np.frombuffer(r["counts"], np.float32)
+        bags.append((np.frombuffer(r["ids"], np.uint16), counts / counts.sum(), at[r["lang"]], float(counts.sum())))
     fold = np.array([(r["draw"] >> 24) % 4 == 0 for r in sample])
     learn = [b for b, f in zip(bags, fold) if not f] or bags
     judge = [b for b, f in zip(bags, fold) if f] or bags
@@ -152,7 +155,7 @@ def train(sample: list, false_rejects: float = 0.001, epochs: int = 6, rate: flo
     weight = embed @ layer
     whole = [(ids, part, y, size) for ids, part, y, size in judge]
     drawn = [
-        (ids, np.bincount(rng.choice(len(ids), few, p=part), minlength=len(ids)) / few, y, few)
+        (ids, np.bincount(rng.choice(len(ids), few, p=part.astype(np.float64) / part.sum(dtype=np.float64)), minlength=len(ids)) / few, y, few)
         for ids, part, y, _ in judge for few in (4, 16, 64)]
     logits = np.array([part @ weight[ids] for ids, part, _, _ in whole + drawn])
     truth, size = np.array([b[2] for b in whole + drawn]), np.array([float(b[3]) for b in whole + drawn])
@@ -170,7 +173,7 @@ def train(sample: list, false_rejects: float = 0.001, epochs: int = 6, rate: flo
     truth = truth[:n]
     right = np.sort(p.max(1)[p.argmax(1) == truth])
     allowed = int(false_rejects * (len(right) + 1))
-    threshold = float(right[allowed]) if allowed and len(right) else 0.0
+    threshold = min(float(right[allowed]), sure) if allowed and len(right) else 0.0
     return Model(languages, weight.astype(np.float32), bias.astype(np.float32), known, temperature, half, threshold)
 
 
@@ -185,7 +188,7 @@ def _predict(shared):
         table = np.concatenate([model.weight, model.known[:, None]], 1).astype(np.float32)
         names = pa.array(model.languages)
         for whole in batches:
-            for batch in slices(whole, "_text"):
+            for batch in slices(whole, "_text", 1 << 21):
                 found = words(batch.column("_text"), LETTERS)
                 n = batch.num_rows
                 sums = np.zeros((n, len(model.languages) + 1))

@@ -14,7 +14,7 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 #: Rows of each language that the language model learns from, and is calibrated on.
-LANGUAGE_SAMPLE = 1000
+LANGUAGE_SAMPLE = 600
 
 
 def query(name: str, sql: str | None = None):
