@@ -129,21 +129,17 @@ def _shared(events: DataFrame) -> DataFrame:
     context = W.partitionBy("o", F.shiftright("gram", 8))
     left = cut_lineage(left.withColumn("total", F.sum("n").over(context)).withColumn("kinds", F.count("*").over(context)))
     below = None
-    parts = []
     for o in range(1, ORDER):
         own = left.where(F.col("o") == o)
         if below is None:
             own = own.withColumn("low", F.lit(1 / 256))
         else:
             own = own.withColumn("gram_low", _last(F.col("gram"), o - 1)).join(
-                below.select(F.col("gram").alias("gram_low"), F.col("p").alias("low")), "gram_low")
-        below = own.select("gram", (
-            (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * F.col("low")) / F.col("total")).alias("p"))
-        parts.append(below)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+                below.where(F.col("o") == o - 1).select(F.col("gram").alias("gram_low"), F.col("p").alias("low")), "gram_low")
+        p = (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * F.col("low")) / F.col("total")
+        judged = cut_lineage(own.select("o", "gram", p.alias("p")))  # one short plan an order instead of nested ones
+        below = judged if below is None else below.unionByName(judged)
+    return below.select("gram", "p")
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,9 +179,9 @@ def fit(labelled: DataFrame) -> dict[str, np.ndarray]:
     both = ratios.unionByName(contexts.select((F.col("context") + F.lit(int(_CONTEXT))).alias("key"), "ratio", "n"))
     folded = both.mapInArrow(_fold, "cell int, check int, ratio double, n long").groupBy("cell").agg(
         F.max_by(F.struct("check", "ratio"), F.struct("n", "check")).alias("v"))
-    table = folded.select("cell", "v.check", "v.ratio").toPandas()  # at most 2 ** CELLS_BITS rows
-    table = table.sort_values("cell")
-    return {"cell": table["cell"].to_numpy(np.int32), "check": table["check"].to_numpy(np.uint16), "ratio": table["ratio"].to_numpy(np.float32)}
+    table = folded.select("cell", "v.check", "v.ratio").toArrow()  # at most 2 ** CELLS_BITS rows
+    kinds = {"cell": np.int32, "check": np.uint16, "ratio": np.float32}
+    return {name: table.column(name).to_numpy().astype(kind) for name, kind in kinds.items()}
 
 
 def _mask(symbols: Column) -> Column:
