@@ -13,10 +13,11 @@ number of symbols. A logistic curve fitted on labelled rows outside the counts t
 into a score from 0 to 1.
 
 Counts cover every labelled row. They are summed in the tasks, then by key, and the model is
-worked out by joins and windows whose groups hold at most 256 symbols. For scoring, the
-ratios are folded into a table of ``cells`` entries, whatever the size of the corpus, which
-is what gets broadcast; of several n-grams in one cell the most frequent is kept, and a
-check value tells the others to use the ratio of their back-off weights.
+worked out by joins and windows whose groups hold at most 256 symbols. Scoring uses every
+counted n-gram: a model of up to ``SENT`` rows is broadcast under its exact keys. Of a larger
+one, the n-grams of the distinct words of all texts are joined with it by key. The ratios of
+the most frequent words are then broadcast, up to ``HOT`` words, and those of the others are
+joined with the distinct words that each text has of them.
 
 Cases: null and empty texts have both features 0; rows without a label or with a null text
 are not counted; a document with several labels counts as toxic if one is; repeated rows
@@ -43,7 +44,9 @@ from foliant.session import cut_lineage
 #: Symbols of an n-gram; six of eight bits each fit a positive long.
 ORDER = 6
 DISCOUNT = 0.75
-CELLS_BITS = 22
+#: Rows of a model that are broadcast whole, and words whose ratios are broadcast beyond it.
+SENT = 1 << 22
+HOT = 1 << 21
 _START, _END = 1, 2
 _CONTEXT = np.uint64(1 << 56)
 
@@ -142,16 +145,8 @@ def _shared(events: DataFrame) -> DataFrame:
     return below.select("gram", "p")
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        code = mix(batch.column("key").to_numpy().astype(np.uint64))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array((code >> np.uint64(64 - CELLS_BITS)).astype(np.int32)), pa.array((code & np.uint64(0xFFFF)).astype(np.int32)),
-             batch.column("ratio"), batch.column("n")], names=["cell", "check", "ratio", "n"])
-
-
-def fit(labelled: DataFrame) -> dict[str, np.ndarray]:
-    """The folded table of log-likelihood ratios, from rows of ``text`` and boolean ``label``."""
+def fit(labelled: DataFrame) -> DataFrame:
+    """(key, ratio): log-likelihood ratios of all n-grams and contexts, from rows of ``text`` and boolean ``label``."""
     rows = labelled.where(F.col("text").isNotNull() & F.col("label").isNotNull()).select("text", "label")
     events = cut_lineage(
         rows.mapInArrow(_count, "key long, toxic long, ordinary long").groupBy("key")
@@ -172,16 +167,10 @@ def fit(labelled: DataFrame) -> dict[str, np.ndarray]:
     short = F.least(_length(F.col("key")) - 1, F.lit(ORDER - 1))
     own = cut_lineage(own.withColumn("gram", F.col("key").bitwiseAND(_mask(short))))
     judged = own.join(_shared(events), "gram")
-    ratios = judged.select("key", F.log(probability("toxic") / probability("ordinary")).alias("ratio"),
-                           (F.col("toxic") + F.col("ordinary")).alias("n"))
-    contexts = own.groupBy(F.shiftright("key", 8).alias("context")).agg(
-        F.first(F.log(weight("toxic") / weight("ordinary"))).alias("ratio"), F.sum(F.col("toxic") + F.col("ordinary")).alias("n"))
-    both = ratios.unionByName(contexts.select((F.col("context") + F.lit(int(_CONTEXT))).alias("key"), "ratio", "n"))
-    folded = both.mapInArrow(_fold, "cell int, check int, ratio double, n long").groupBy("cell").agg(
-        F.max_by(F.struct("check", "ratio"), F.struct("n", "check")).alias("v"))
-    table = folded.select("cell", "v.check", "v.ratio").toArrow()  # at most 2 ** CELLS_BITS rows
-    kinds = {"cell": np.int32, "check": np.uint16, "ratio": np.float32}
-    return {name: table.column(name).to_numpy().astype(kind) for name, kind in kinds.items()}
+    ratios = judged.select("key", F.log(probability("toxic") / probability("ordinary")).alias("ratio"))
+    contexts = own.groupBy(F.shiftright("key", 8).alias("context")).agg(F.first(F.log(weight("toxic") / weight("ordinary"))).alias("ratio"))
+    both = ratios.unionByName(contexts.select((F.col("context") + F.lit(int(_CONTEXT))).alias("key"), "ratio"))
+    return cut_lineage(both.select("key", F.col("ratio").cast("float").alias("ratio")))
 
 
 def _mask(symbols: Column) -> Column:
@@ -191,66 +180,167 @@ def _mask(symbols: Column) -> Column:
     return out
 
 
+def _sent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Spread keys in their order, and the ratios; the first column of ``rows`` is the key."""
+    table = rows.toArrow()  # callers check the number of rows
+    code = mix(table.column(0).to_numpy().view(np.uint64))  # one to one
+    order = np.argsort(code)
+    return code[order], table.column(1).to_numpy()[order]
+
+
 class _Table:
-    def __init__(self, model: dict[str, np.ndarray]):
-        self.check = np.zeros(1 << CELLS_BITS, np.uint16)
-        self.ratio = np.zeros(1 << CELLS_BITS, np.float32)
-        self.full = np.zeros(1 << CELLS_BITS, bool)
-        self.check[model["cell"]] = model["check"]
-        self.ratio[model["cell"]] = model["ratio"]
-        self.full[model["cell"]] = True
+    def __init__(self, code: np.ndarray, ratio: np.ndarray):
+        bits = max(1, len(code).bit_length())
+        self.code, self.ratio, self.shift = code, ratio, np.uint64(64 - bits)
+        self.bounds = np.searchsorted(code >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
 
     def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are in the table, and their ratios (0 for the others)."""
         code = mix(key)
-        cell = (code >> np.uint64(64 - CELLS_BITS)).astype(np.int64)
-        hit = self.full[cell] & (self.check[cell] == (code & np.uint64(0xFFFF)).astype(np.uint16))
-        return hit, self.ratio[cell]
-
-    def expressions(self, found: Words, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log-likelihood ratio and number of symbols of each word in ``pick``."""
-        key, owner, symbols = _grams(found, pick)
+        cell = (code >> self.shift).astype(np.int64)
+        at, end = self.bounds[cell], self.bounds[cell + 1]
+        hit, ratio = np.zeros(len(key), bool), np.zeros(len(key), np.float32)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            same = self.code[at[left]] == code[left]
+            found = left[same]
+            hit[found], ratio[found] = True, self.ratio[at[found]]
+            left = left[~same]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return hit, ratio
+
+    def expressions(self, found: Words, pick: np.ndarray) -> np.ndarray:
+        """Log-likelihood ratio of each word in ``pick``."""
+        key, owner, _ = _grams(found, pick)
         hit, ratio = self.find(key)
         miss = np.flatnonzero(~hit)
-        below, weight = self.find((key[miss] >> np.uint64(8)) | _CONTEXT)
-        ratio[miss] = np.where(below, weight, 0)
-        return np.bincount(owner, ratio, len(pick)), symbols
+        _, ratio[miss] = self.find((key[miss] >> np.uint64(8)) | _CONTEXT)
+        return np.bincount(owner, ratio, len(pick))
 
 
 _LAST: dict[str, _Table] = {}
 
 
-def _score(shared):
+def _score(shared, by_word: bool):
+    """Sums, symbols and peaks of the texts; ``rest`` are the words of a text that the table of words lacks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, model = shared.value
         if name not in _LAST:
             _LAST.clear()
-            _LAST[name] = _Table(model)
+            _LAST[name] = _Table(*model)
         table = _LAST[name]
         for whole in batches:
             for batch in slices(whole, "_text"):
                 found = words(batch.column("_text"))
-                mean, peak = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+                n = batch.num_rows
+                total, symbols, peak = np.zeros(n), np.zeros(n, np.int64), np.full(n, -np.inf)
+                rest = [np.zeros(0, np.int64)] * 4
                 if len(found.hash):
                     _, first, place = np.unique(found.hash, return_index=True, return_inverse=True)
-                    ratio, symbols = table.expressions(found, first)
-                    ratio, symbols = ratio[place], symbols[place]
+                    long = found.end[first] - found.start[first] + 1
+                    if by_word:
+                        known, ratio = table.find(found.hash[first])
+                        late, times = np.unique((found.row * len(first) + place)[~known[place]], return_counts=True)
+                        rest = [late // len(first), found.hash[first].view(np.int64)[late % len(first)], times, long[late % len(first)]]
+                    else:
+                        known, ratio = np.ones(len(first), bool), table.expressions(found, first)
                     some = np.diff(found.bounds) > 0
-                    mean[some] = (spread_sums(ratio, found.bounds) / np.maximum(spread_sums(symbols, found.bounds), 1))[some]
-                    peak[some] = np.maximum.reduceat(ratio / symbols, found.bounds[:-1][some])
-                kept = [batch.column(i) for i, c in enumerate(batch.schema.names) if c != "_text"]
+                    total = spread_sums(ratio.astype(float)[place], found.bounds)
+                    symbols = spread_sums(long[place], found.bounds)
+                    peak[some] = np.maximum.reduceat(np.where(known, ratio / long, -np.inf)[place], found.bounds[:-1][some])
+                row, *fields = rest
+                ends = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(
+                    [pa.array(x.astype(np.int64)) for x in fields], ["word", "times", "long"]))
                 yield pa.RecordBatch.from_arrays(
-                    [*kept, pa.array(mean), pa.array(peak)],
-                    names=[*[c for c in batch.schema.names if c != "_text"], "mean_ratio", "peak_ratio"])
+                    [batch.column("_row"), batch.column("_id"), pa.array(total), pa.array(symbols), pa.array(peak), lists],
+                    names=["_row", "_id", "total", "symbols", "peak", "rest"])
 
     return run
 
 
-def features(documents: DataFrame, model: dict[str, np.ndarray], keep: list[str], text_col: str = "text") -> DataFrame:
-    """The ``keep`` columns with ``mean_ratio`` and ``peak_ratio`` of every text, in one narrow pass."""
-    rows = documents.select(*keep, F.col(text_col).alias("_text"))
-    shared = documents.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model))
-    fields = [rows.schema[c] for c in keep] + [T.StructField("mean_ratio", T.DoubleType()), T.StructField("peak_ratio", T.DoubleType())]
-    return rows.mapInArrow(_score(shared), T.StructType(fields))
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each slice of texts."""
+    for whole in batches:
+        for batch in slices(whole, "_text"):
+            found = words(batch.column("_text"))
+            code, first, times = np.unique(found.hash, return_index=True, return_counts=True)
+            for lo in range(0, len(first), 1 << 16):
+                pick = first[lo:lo + (1 << 16)]
+                said = [ALNUM[found.data[a:b]].tobytes().decode() for a, b in zip(found.start[pick], found.end[pick])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(code[lo:lo + (1 << 16)].view(np.int64)), pa.array(said, pa.string()), pa.array(times[lo:lo + (1 << 16)])],
+                    names=["word", "said", "times"])
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams of listed words, with their contexts."""
+    for whole in batches:
+        for batch in slices(whole, "said", 1 << 20):
+            found = words(batch.column("said"))
+            key, owner, _ = _grams(found, np.arange(len(found.hash)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).take(pa.array(owner)) for c in ("word", "times")] +
+                [pa.array(key.view(np.int64)), pa.array(((key >> np.uint64(8)) | _CONTEXT).view(np.int64))],
+                names=["word", "times", "key", "context"])
+
+
+def _word_ratios(texts: DataFrame, model: DataFrame) -> DataFrame:
+    """(word, ratio, times) of every distinct word of the texts; words go by their hash."""
+    listed = texts.mapInArrow(_listed, "word long, said string, times long").groupBy("word", "said").agg(F.sum("times").alias("times"))
+    grams = listed.mapInArrow(_split, "word long, times long, key long, context long").join(model, "key", "left")
+    # An n-gram that was found needs no context: it gets a key of its own that no context has.
+    back = F.when(F.col("ratio").isNull(), F.col("context")).otherwise(-1 - F.shiftrightunsigned("word", 1))
+    weights = model.select(F.col("key").alias("back"), F.col("ratio").alias("weight"))
+    grams = grams.select("word", "times", "ratio", back.alias("back")).join(weights, "back", "left")
+    return cut_lineage(grams.groupBy("word", "times").agg(
+        F.sum(F.coalesce("ratio", "weight", F.lit(0.0)).cast("double")).cast("float").alias("ratio")).select("word", "ratio", "times"))
+
+
+def _hot(ratios: DataFrame, most: int) -> Column:
+    """The words said often enough that at most ``most`` words are as frequent."""
+    grade = F.floor(F.log2("times") * 4)
+    total, least = 0, 1 << 10
+    for r in sorted(ratios.groupBy(grade.alias("grade")).count().collect(), key=lambda r: -r["grade"]):  # a few hundred rows
+        total += r["count"]
+        if total > most:
+            break
+        least = r["grade"]
+    return grade >= least
+
+
+def features(
+    documents: DataFrame, model: DataFrame, keep: list[str], text_col: str = "text", sent: int = SENT, hot: int = HOT,
+) -> DataFrame:
+    """The ``keep`` columns with ``mean_ratio`` and ``peak_ratio`` of every text.
+
+    One narrow pass where the model has up to ``sent`` rows.
+    """
+    rows = documents.select(F.struct(*keep).alias("_row"), F.monotonically_increasing_id().alias("_id"), F.col(text_col).alias("_text"))
+    late = None
+    by_word = model.count() > sent
+    if by_word:
+        ratios = _word_ratios(rows.select("_text"), model)
+        often = _hot(ratios, hot)
+        late = ratios.where(~often).select("word", "ratio")
+        model = ratios.where(often).select("word", "ratio")
+    shared = documents.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, _sent(model)))
+    kind = T.StructType([*rows.drop("_text").schema.fields, *T.StructType.fromDDL(
+        "total double, symbols long, peak double, rest array<struct<word: long, times: long, long: long>>").fields])
+    found = rows.mapInArrow(_score(shared, by_word), kind)
+    if late is not None and late.limit(1).count():
+        found = cut_lineage(found)  # the ids must stay
+        joined = found.select("_id", F.explode("rest").alias("r")).select("_id", "r.*").join(late, "word").groupBy("_id").agg(
+            F.sum(F.col("ratio").cast("double") * F.col("times")).alias("more"), F.max(F.col("ratio") / F.col("long")).alias("higher"))
+        found = found.drop("rest").join(joined, "_id", "left").withColumns({
+            "total": F.col("total") + F.coalesce("more", F.lit(0.0)), "peak": F.greatest("peak", "higher")})
+    some = F.col("symbols") > 0
+    return found.select(
+        *[F.col("_row").getField(f.name).alias(f.name) for f in rows.schema["_row"].dataType],
+        F.when(some, F.col("total") / F.col("symbols")).otherwise(0.0).alias("mean_ratio"),
+        F.when(some, F.col("peak")).otherwise(0.0).alias("peak_ratio"))
 
 
 def calibrate(judged: DataFrame, ridge: float = 1e-2) -> tuple[float, float, float]:

@@ -115,6 +115,27 @@ def test_toxicity_features_follow_the_formulas(spark):
         assert r["peak_ratio"] == pytest.approx(max((sum(x) / len(x) for x in per), default=0), abs=1e-4)
 
 
+def test_every_counted_ngram_keeps_its_ratio(spark):
+    odd = ["".join(chr(97 + (k * p) % 26) for p in (1, 3, 7, 11, 17)) + f"{k:x}" for k in range(60_000)]
+    rows = [(" ".join(odd[k:k + 100]), k % 300 == 0) for k in range(0, 60_000, 100)]
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, label boolean"))
+    found = {g for t, _ in rows for w in t.split() for g in grams(w)}
+    assert model.select("key").distinct().count() == model.count() == len(found) + len({g[:-1] for g in found})
+
+
+@pytest.mark.parametrize("hot", [0, 6, 1000])
+def test_a_model_too_large_to_send_gives_the_same_features(spark, hot):
+    rows = [(text("yy", 8) + (" badword" if k % 3 == 0 else ""), k % 3 == 0) for k in range(40)]
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, label boolean"))
+    docs = awkward(spark).unionByName(documents(spark, ["badword BADWORD zuzeqq", rows[0][0], "new words " * 5], [20, None, 20])).coalesce(3)
+    keep = ["doc_id", "text"]
+    order = lambda df: sorted(map(tuple, df.collect()), key=str)
+    plain = order(toxicity.features(docs, model, keep))
+    joined = order(toxicity.features(docs, model, keep, sent=0, hot=hot))
+    assert [r[:2] for r in joined] == [r[:2] for r in plain]
+    assert np.allclose([r[2:] for r in joined], [r[2:] for r in plain], atol=1e-5)
+
+
 def test_toxic_texts_are_found(spark):
     def make(k):
         toxic = k % 4 == 0
