@@ -13,8 +13,11 @@ A quarter of the sample takes no part in training. On it a temperature is fitted
 the score a probability, together with a discount n / (n + half) of the evidence of few
 n-grams; for this each row is judged whole and by draws of a few of its n-grams. Then a
 threshold is chosen so that at most ``false_rejects`` of the rightly labelled whole rows
-fall below it. A text is rejected if its score lies below the
-threshold, or if the model knows none of its n-grams.
+fall below it; where too few rows are judged to tell, the tail of their scores is carried on
+to that share. The threshold is never above what nearly all texts of an unknown language
+stay below, which are n-grams drawn at random. A text is rejected if its score lies below the
+threshold, or if the model knows none of its n-grams. With one language a softmax says
+nothing, and the score is the share of a text's n-grams that the model knows.
 
 As both layers are linear, they are multiplied out after training, and prediction sums one
 row of ``2 ** BUCKET_BITS`` x languages for each n-gram of each distinct word of a slice.
@@ -114,7 +117,8 @@ def draw_sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str,
 def train(sample: list, false_rejects: float = 0.002, sure: float = 0.4, epochs: int = 12, rate: float = 4.0, seed: int = 7) -> Model | None:
     """Fit on three quarters of the sample; temperature and threshold on the rest.
 
-    The threshold is never above ``sure``: what is more likely right than wrong is kept.
+    The threshold is never above ``sure``, or the score that one in twenty texts of random
+    n-grams exceeds if that is higher.
     """
     if not sample:
         return None
@@ -168,15 +172,41 @@ def train(sample: list, false_rejects: float = 0.002, sure: float = 0.4, epochs:
             if best is None or loss < best[0]:
                 best = loss, half, float(t)
     _, half, temperature = best
-    n = len(whole)
-    p = _softmax(logits[:n] * (size[:n] / (size[:n] + half))[:, None] / temperature + bias)
-    truth = truth[:n]
-    right = np.sort(p.max(1)[p.argmax(1) == truth])
-    allowed = int(false_rejects * (len(right) + 1))
-    threshold = min(float(right[allowed]), sure) if allowed and len(right) else 0.0
+    strange = []
+    for _, _, _, size_of in judge:
+        ids = rng.integers(0, 1 << BUCKET_BITS, min(int(size_of), 4096))
+        strange.append((ids, np.full(len(ids), 1 / len(ids)), -1, float(len(ids))))
+
+    def judged(rows: list) -> tuple[np.ndarray, np.ndarray]:
+        if len(languages) == 1:
+            return np.zeros(len(rows), int), np.array([float(part @ known[ids]) for ids, part, _, _ in rows])
+        evidence = np.array([(part @ weight[ids]) * (n / (n + half)) for ids, part, _, n in rows])
+        p = _softmax(evidence / temperature + bias)
+        return p.argmax(1), p.max(1)
+
+    said, scores = judged(whole)
+    right = np.sort(scores[said == truth[:len(whole)]])
+    sure = max(sure, float(np.quantile(judged(strange)[1], 0.95)))
+    threshold = min(_lowest(right, false_rejects), sure) if len(right) else sure
     return Model(languages, weight.astype(np.float32), bias.astype(np.float32), known, temperature, half, threshold)
 
 
+def _lowest(right: np.ndarray, share: float) -> float:
+    """The score that at most ``share`` of the sorted scores ``right`` fall below.
+
+    Of fewer than 1 / share scores it is worked out from the lowest quarter: their log-odds are
+    carried on below the lowest as an exponential tail of at least the scale 1.
+    """
+    allowed = int(share * (len(right) + 1))
+    if allowed:
+        return float(right[allowed])
+    held = np.clip(right, 1e-9, 1 - 1e-9)
+    odds = np.log(held / (1 - held))
+    edge = np.quantile(odds, 0.25)
+    scale = max(1.0, float((edge - odds[odds <= edge]).mean()))
+    return float(1 / (1 + np.exp(-(odds[0] + scale * np.log(share * (len(right) + 1))))))
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(-1, keepdims=True))
     return e / e.sum(-1, keepdims=True)
@@ -204,7 +234,7 @@ def _predict(shared):
                 evidence = mean * (total / (total + model.half + 1e-9))[:, None]
                 p = _softmax(evidence / model.temperature + model.bias)
                 best = p.argmax(1)
-                score = p.max(1)
+                score = p.max(1) if len(model.languages) > 1 else sums[:, -1] / np.maximum(total, 1)
                 letter = batch.column("_letter").to_numpy(zero_copy_only=False).astype(bool)
                 lang = pc.if_else(pa.array(letter), names.take(pa.array(best)), UNKNOWN)
                 kept = [(c, batch.column(c)) for c in batch.schema.names if c not in ("_text", "_letter")]

@@ -43,6 +43,19 @@ def test_unknown_texts_are_rejected(spark, language_model):
     assert [r["score"] == 0 for r in got] == [False, False, True, True, True]
 
 
+@pytest.mark.parametrize("names", [["xx"], ["xx", "yy"], ["xx", "yy", "zz"]])
+def test_few_languages_have_a_threshold_too(spark, names):
+    learn = [names[k % len(names)] for k in range(90 * len(names))]
+    docs = documents(spark, [text(g, RNG.randint(3, 60)) for g in learn], langs=learn)
+    model = langid.train(langid.draw_sample(docs, "doc_id", "text", "lang", 150))
+    assert model.threshold > 0
+    strange = ["ba zu " + " ".join("".join(RNG.choices("cdfghjklmnprstvwxq", k=7)) for _ in range(30)) for _ in range(50)]
+    got = langid.predict(documents(spark, strange), model, ["doc_id"])
+    assert got.where("rejected").count() >= 40  # they hold two known words each
+    got = langid.predict(documents(spark, [text(g, RNG.randint(3, 60)) for g in names * 60]), model, ["doc_id"])
+    assert got.where("NOT rejected").count() >= 58 * len(names)
+
+
 def test_language_of_awkward_rows(spark, language_model):
     docs = awkward(spark)
     got = langid.predict(docs, language_model, [F.struct("*").alias("row")])
