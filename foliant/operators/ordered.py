@@ -23,7 +23,7 @@ GROUP_LIMIT = 5_000_000
 
 @dataclass(frozen=True)
 class Run:
-    """One running value: ``kind`` is sum, count or max over ``value``.
+    """One running value: ``kind`` is sum, count, max or xor (exclusive or of longs) over ``value``.
 
     With ``exclusive`` the current row is left out.
     """
@@ -35,7 +35,11 @@ class Run:
 
     def fold(self) -> Column:
         value = F.lit(1) if self.value is None else self.value
-        return F.max(value) if self.kind == "max" else F.sum(value)
+        return self.merge(value)
+
+    def merge(self, value: Column | str) -> Column:
+        """The aggregate that folds rows, or the totals of parts."""
+        return {"max": F.max, "xor": F.bit_xor}.get(self.kind, F.sum)(value)
 
     def empty(self) -> Column:
         return F.lit(None) if self.kind == "max" else F.lit(0)
@@ -43,6 +47,8 @@ class Run:
     def plus(self, local: Column, carry: Column) -> Column:
         if self.kind == "max":
             return F.greatest(local, carry)
+        if self.kind == "xor":
+            return F.coalesce(local, F.lit(0)).bitwiseXOR(F.coalesce(carry, F.lit(0)))
         return F.coalesce(local, F.lit(0)) + F.coalesce(carry, F.lit(0))
 
 
@@ -96,7 +102,7 @@ def running(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.col("_part").alias("_k_part"),
         *[
-            (F.max(f"_t_{r.name}") if r.kind == "max" else F.sum(f"_t_{r.name}")).over(earlier).alias(f"_c_{r.name}")
+            r.merge(f"_t_{r.name}").over(earlier).alias(f"_c_{r.name}")
             for r in runs
         ],
     )
