@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, decontaminate, langid, licenses, ngram_join, packing, quality, toxicity, urlfilter, warc
+from foliant.llm import chat, decontaminate, langid, licenses, ngram_join, packing, quality, toxicity, trie, urlfilter, warc
 from foliant.session import cut_lineage, shared_folder, table
 
 QUERIES: dict = {}
@@ -258,3 +258,50 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation from the perspective of each participant, with offsets and mask spans."""
     turns = chat.rotate(table(spark, sf_dir, "conversations"), group_limit=100_000)
     return turns.withColumn("segment_sha256", F.sha2("segment", 256)).drop("segment")
+
+
+def _crc_table() -> list[int]:
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    return table
+
+
+def _sql_crc32(text: str) -> str:
+    """Unsigned CRC-32 of the UTF-8 bytes of a text, byte by byte."""
+    code = f"hex(encode({text}))"
+    data = f"list_transform(range(1, length({code}), 2), lambda i: ('0x' || substr({code}, i, 2))::BIGINT)"
+    step = f"xor(x >> 8, {_crc_table()}[(xor(x, y) & 255) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda x, y: {step}), 4294967295::BIGINT)"
+
+
+@query("op11_prefix_trie", f"""
+WITH turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, {_sql_crc32('c::VARCHAR')} % 9 AS h FROM (SELECT DISTINCT c FROM turns)),
+rebuilt AS (
+  SELECT convs.c, 0 AS part, p, r, x FROM convs JOIN turns ON turns.c = convs.c - convs.c % 5 AND p <= h
+  UNION ALL SELECT c, 1, p, r, x FROM convs JOIN turns USING (c) WHERE p > h),
+placed AS (SELECT c, r, x, row_number() OVER (PARTITION BY c ORDER BY part, p) AS d FROM rebuilt),
+prefixes AS (
+  SELECT c, d, md5(string_agg(length(r) || ':' || length(x) || ':' || r || x, '') OVER (PARTITION BY c ORDER BY d)) AS k, strlen(x) AS bytes FROM placed
+  UNION ALL SELECT c, 0, '', 0 FROM convs),
+told AS (SELECT *, lag(k) OVER (PARTITION BY c ORDER BY d) AS up, d = max(d) OVER (PARTITION BY c) AS last FROM prefixes),
+nodes AS (
+  SELECT d, k, min(c) AS conv_id, any_value(up) AS up, count(*) AS n, (count(*) - 1) * max(bytes) AS v,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '')) AS ends FROM told GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, up AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2),
+sums AS (
+  SELECT p.d, p.k, count(*) FILTER (kids.n IS NULL) AS leaves, sum(v) AS saved
+  FROM nodes LEFT JOIN kids USING (d, k) JOIN prefixes p ON p.c = nodes.conv_id AND p.d <= nodes.d GROUP BY p.d, p.k)
+SELECT n.conv_id, n.d::BIGINT AS depth, o.conv_id AS parent_conv_id, n.n::BIGINT AS n_convs, coalesce(kids.n, 0)::BIGINT AS n_children,
+       leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
+FROM nodes n JOIN sums USING (d, k) LEFT JOIN kids USING (d, k) LEFT JOIN nodes o ON o.d = n.d - 1 AND o.k = n.up
+""")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of the rebuilt conversations."""
+    return trie.shared_beginnings(table(spark, sf_dir, "conversations"), group_limit=100_000)
