@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, decontaminate, langid, licenses, ngram_join, packing, quality, toxicity, trie, urlfilter, warc
+from foliant.llm import chat, decontaminate, langid, licenses, ngram_join, packing, quality, spelling, toxicity, trie, urlfilter, warc
 from foliant.session import cut_lineage, shared_folder, table
 
 QUERIES: dict = {}
@@ -305,3 +305,34 @@ FROM nodes n JOIN sums USING (d, k) LEFT JOIN kids USING (d, k) LEFT JOIN nodes
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the trie of the rebuilt conversations."""
     return trie.shared_beginnings(table(spark, sf_dir, "conversations"), group_limit=100_000)
+
+
+@query("op13_spelling", f"""
+WITH RECURSIVE runs AS (
+  SELECT id, translate(run, '{spelling.UPPER}', '{spelling.LOWER}') AS run, count(*) AS k
+  FROM (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(coalesce(text, ''), '{spelling.RUN}')) AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY ALL),
+coded AS (SELECT run, k, {_sql_crc32("(id || ':' || run)")} AS h FROM runs),
+words AS (
+  SELECT word, sum(k)::BIGINT AS n
+  FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM coded)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+holes AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+cut AS (SELECT word, n, substr(word, 1, i - 1) || '?' || substr(word, i + 1) AS hole, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM holes),
+pairs AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.hole = b.hole AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cut c JOIN words w ON c.less = w.word
+  UNION SELECT w.word, c.word, c.n FROM cut c JOIN words w ON c.less = w.word),
+best AS (SELECT word, count(*)::BIGINT AS n_near, min((-m, other)) AS best FROM pairs GROUP BY word),
+judged AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= 5 * n THEN best[2] END AS form,
+         CASE WHEN -best[1] >= 5 * n THEN -best[1] END AS form_n FROM words LEFT JOIN best USING (word)),
+steps AS (
+  SELECT word, word AS root FROM judged
+  UNION SELECT steps.word, judged.form FROM steps JOIN judged ON steps.root = judged.word WHERE judged.form IS NOT NULL),
+roots AS (SELECT steps.word, steps.root FROM steps JOIN judged ON steps.root = judged.word WHERE judged.form IS NULL)
+SELECT word, n, n_near, form, form_n, root FROM judged JOIN roots USING (word)
+""")
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every frequent word of the whole texts."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
