@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, decontaminate, langid, licenses, ngram_join, packing, quality, spelling, toxicity, trie, urlfilter, warc
+from foliant.llm import chat, decontaminate, langid, licenses, ngram_join, packing, pii, quality, spelling, toxicity, trie, urlfilter, warc
 from foliant.session import cut_lineage, shared_folder, table
 
 QUERIES: dict = {}
@@ -336,3 +336,17 @@ SELECT word, n, n_near, form, form_n, root FROM judged JOIN roots USING (word)
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near words, form and root of every frequent word of the whole texts."""
     return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_pii")
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text: counts and digest of the base patterns, and all spans with those of the tagger."""
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(pii.draw_sample(docs)), ["doc_id"])
+    base = F.filter("spans", lambda s: s["base"])
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
