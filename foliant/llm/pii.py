@@ -12,7 +12,10 @@ of the sampled windows; look-alikes (numbers that fail the check digit, dates, p
 keys) are put there too and carry no label. Windows with digits of the sample itself are
 learned as they come, so the number shapes of the corpus are seen as what they are.
 
-*Whole texts.* Every text is cut into overlapping windows, all of which are decoded. Spans that
+*Whole texts.* Every text is cut into overlapping windows. No check can hold on a span without
+a digit, an @ or a written-out one that a domain follows, so windows further than the longest
+span from all of these add nothing and are passed over (``everywhere`` decodes them too, with the
+same result). Spans that
 touch an inner border of a window are joined to what the neighbour window found there; the
 others are accepted if their kind's check holds on the normalised text (parts up to 255, check
 digit, 9 to 15 digits, an address in full). Of what overlaps, a weighted interval choice over the
@@ -40,8 +43,8 @@ from foliant.session import spread
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window, and from the start of one to that of the next.
-WINDOW = 128
-STRIDE = 88
+WINDOW = 160
+STRIDE = 120
 #: Windows of a training text, and the sampled texts.
 LEARN_WINDOW = 96
 SAMPLE = 700
@@ -142,6 +145,10 @@ def _tags(n: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
 
 _SAID_AT = re.compile(r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+|\s*@\s*", re.IGNORECASE)
 _SAID_DOT = re.compile(r"\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+|\s*\.\s*", re.IGNORECASE)
+#: Without one of these in it no span passes its check.
+_TELLING = re.compile(rf"[0-9@]|(?:{_SAID_AT.pattern})[A-Za-z0-9-]+(?:{_SAID_DOT.pattern})[A-Za-z0-9-]", re.IGNORECASE)
+#: Longest span that is accepted.
+LONGEST = 200
 _ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _CARD_TEXT = re.compile(r"[0-9](?:[\s._/–-]{0,3}[0-9])+")
 _PHONE_TEXT = re.compile(r"[+(]{0,2}[0-9](?:[\s()./–-]{0,3}[0-9])+")
@@ -149,7 +156,7 @@ _PHONE_TEXT = re.compile(r"[+(]{0,2}[0-9](?:[\s()./–-]{0,3}[0-9])+")
 
 def holds(kind: int, text: str) -> bool:
     """Does a tagged text pass the check of its kind once it is written plainly?"""
-    if len(text) > 200:
+    if len(text) > LONGEST:
         return False
     if kind == 0:
         return _ADDRESS.fullmatch(_SAID_DOT.sub(".", _SAID_AT.sub("@", text))) is not None
@@ -275,6 +282,9 @@ def draw_sample(documents: DataFrame, text_col: str = "text", size: int = SAMPLE
     first = F.regexp_instr(text, F.lit("[0-9@]")) - 1 - F.pmod(draw, F.lit(40)).cast("int")
     start = F.when((F.pmod(draw, F.lit(2)) == 0) & (first > 0), first).otherwise(anywhere)
     rows = documents.where(text.isNotNull() & (length > 0)).select(draw.alias("draw"), F.substring(text, start + 1, F.lit(LEARN_WINDOW)).alias("piece"))
+    # A draw below the share that holds several times the sample: no task sends more than it must.
+    grain = 1 << 30
+    rows = rows.where(F.pmod(F.shiftright("draw", 8), F.lit(grain)) < min(grain, 8 * size * grain // max(1, documents.count()) + 1))
     found = rows.orderBy("draw", "piece").limit(4 * size).collect()  # copies of a text have one draw
     return sorted({r["piece"] for r in found}, key=lambda p: (hash_of(p), p))[:size]
 
@@ -309,13 +319,24 @@ def cut(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)) * STRIDE
 
 
-def tagged(p: dict[str, np.ndarray], texts: list[str], chunk: int = 512) -> list[list[tuple[int, int, int, float, bool]]]:
+def telling(text: str, start: np.ndarray) -> np.ndarray:
+    """Which windows lie near enough to a telling character to hold a part of an acceptable span."""
+    at = np.array([m.start() for m in _TELLING.finditer(text)], np.int64)
+    return np.searchsorted(at, start + WINDOW + LONGEST) > np.searchsorted(at, start - LONGEST)
+
+
+def tagged(p: dict[str, np.ndarray], texts: list[str], everywhere: bool = False, chunk: int = 512) -> list[list[tuple[int, int, int, float, bool]]]:
     """For each text the spans of its windows: (start, kind, end, score, touches an inner border)."""
     codes = [symbols(t) for t in texts]
     lengths = np.array([len(c) for c in codes], np.int64)
     flat = np.concatenate([*codes, np.full(WINDOW, PADDING, np.uint8)])
     first = np.cumsum(lengths) - lengths
     owner, start = cut(lengths)
+    if not everywhere:
+        bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+        near = [telling(t, start[lo:hi]) for t, lo, hi in zip(texts, bounds[:-1], bounds[1:])]
+        near = np.concatenate(near) if near else np.zeros(0, bool)
+        owner, start = owner[near], start[near]
     out: list[list[tuple[int, int, int, float, bool]]] = [[] for _ in texts]
     for lo in range(0, len(owner), chunk):
         who, at = owner[lo:lo + chunk], start[lo:lo + chunk]
@@ -367,9 +388,9 @@ def _goes_on(text: str, start: int, end: int) -> bool:
     return (start > 0 and text[start - 1].isalnum() and text[start].isalnum()) or (end < len(text) and text[end].isalnum() and text[end - 1].isalnum())
 
 
-def all_spans(p: dict[str, np.ndarray] | None, texts: list[str]) -> list[list[tuple[int, int, int, bool]]]:
+def all_spans(p: dict[str, np.ndarray] | None, texts: list[str], everywhere: bool = False) -> list[list[tuple[int, int, int, bool]]]:
     """(start, kind, end, by pattern) of each text, sorted."""
-    extra = tagged(p, texts) if p is not None else [[] for _ in texts]
+    extra = tagged(p, texts, everywhere) if p is not None else [[] for _ in texts]
     out = []
     for text, found in zip(texts, extra):
         base = base_spans(text)

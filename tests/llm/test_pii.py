@@ -119,6 +119,15 @@ def test_cut_covers_and_long_texts(tagger):
     assert found >= 0.85 * len(shifts)
 
 
+def test_windows_passed_over_hold_nothing(spark, tagger):
+    texts = [r["text"] for r in table(spark, SF, "documents").where("text IS NOT NULL AND length(text) < 6000").orderBy("doc_id").limit(400).collect()]
+    rng = np.random.default_rng(5)
+    texts = [t[:len(t) // 2] + " " + (P.personal(rng)[1] if k % 3 else P.look_alike(rng)) + " " + t[len(t) // 2:] for k, t in enumerate(texts)]
+    assert P.all_spans(tagger.parameters, texts) == P.all_spans(tagger.parameters, texts, everywhere=True)
+    noisy = {k: v + rng.normal(0, 0.4, v.shape).astype(v.dtype) for k, v in tagger.parameters.items()}  # one that tags a lot
+    assert P.all_spans(noisy, texts[:120]) == P.all_spans(noisy, texts[:120], everywhere=True)
+
+
 def test_spans_cut_by_windows_are_joined():
     text = "a" * 10 + " (017) 555-7713 " + "b" * 10
     left, right = (11, 3, 19, 4.0, True), (15, 3, 25, 5.0, True)
