@@ -102,10 +102,11 @@ def _union_top(passes: list[DataFrame], k: int) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def vector_topk(queries: DataFrame, items: DataFrame, k: int, block: int = QUERY_BLOCK, digits: int | None = None) -> DataFrame:
-    """The ``k`` items of highest cosine per query, exactly; ties go to the smaller id.
+def vector_topk(queries: DataFrame, items: DataFrame, k: int, block: int = QUERY_BLOCK, digits: int = 12) -> DataFrame:
+    """The ``k`` items of highest cosine per query; ties go to the smaller id.
 
-    ``digits`` rounds the scores before the cut, for callers that repeat the order elsewhere.
+    Scores are compared to ``digits`` digits. A cosine in doubles is not known much better, and
+    which of two closer ones comes out larger depends on the order in which a library adds.
 
     ``queries(query_id, vec)`` is held in blocks of checked size. Each task scores
     its items against the block and keeps only its own best ``k`` per query, so

@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import os
 from collections.abc import Mapping
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +17,7 @@ from foliant.functions import scanners as S
 from foliant.functions.arrays import bind, sorted_join
 from foliant.functions.scanners import Scanner
 from foliant.functions.text import strip
+from foliant.session import cut_lineage
 
 INPUT_ORDER = ["ban_substrings", "prompt_injection", "toxicity", "secrets", "code", "anonymize", "token_limit"]
 OUTPUT_ORDER = ["ban_substrings", "toxicity", "malicious_urls", "no_refusal", "code"]
@@ -185,3 +191,60 @@ def answer_of(payload: Column) -> Column:
     strings = F.transform(F.filter(values, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: v.cast("string"))
     joined = F.nullif(F.array_join(strings, " "), F.lit(""))
     return F.coalesce(named, joined, payload)
+
+
+# ---- a linear model over hashed words -------------------------------------------------
+
+#: Buckets that words are hashed into; the whole model is two arrays of this many numbers.
+WORD_BUCKETS = 1 << 14
+
+
+@dataclass(frozen=True)
+class WordRisk:
+    """Weight of one occurrence of a word of each bucket, and the intercept."""
+
+    weight: np.ndarray
+    intercept: float
+
+
+def _buckets(words: Column) -> Column:
+    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(WORD_BUCKETS)).cast("int"))
+
+
+def fit_word_risk(labelled: DataFrame, words_col: str, label_col: str, iterations: int = 20, strength: float = 0.01) -> WordRisk:
+    """Logistic regression on word counts weighted by rarity; rows of ``labelled`` have a list of words and a 0/1 label.
+
+    The counts are stored first, so what the fit reads again in every iteration is a narrow table. What is kept of
+    the fitted model is its numbers: it can be used in any session, and no task carries more than two arrays.
+    """
+    rows = cut_lineage(labelled.select(_buckets(F.col(words_col)).alias("b"), F.col(label_col).cast("double").alias("label")))
+    n = rows.count()
+    seen = rows.select(F.explode(F.array_distinct("b")).alias("k")).groupBy("k").count().toArrow()  # at most one row a bucket
+    held = np.zeros(WORD_BUCKETS)
+    held[seen.column("k").to_numpy()] = seen.column("count").to_numpy()
+    rarity = np.log((n + 1) / (held + 1))
+    labels = {r["label"] for r in rows.select("label").distinct().limit(3).collect()}
+    if len(labels) < 2:  # nothing to tell apart: the risk is that of the only label
+        return WordRisk(np.zeros(WORD_BUCKETS), 20.0 if labels == {1.0} else -20.0)
+    as_vector = F.udf(lambda b: _vector(b, rarity), VectorUDT())
+    model = LogisticRegression(maxIter=iterations, regParam=strength).fit(rows.select("label", as_vector("b").alias("features")))
+    return WordRisk(model.coefficients.toArray() * rarity, float(model.intercept))
+
+
+def _vector(buckets: list[int], rarity: np.ndarray) -> SparseVector:
+    at, times = np.unique(np.asarray(buckets, dtype="int64"), return_counts=True)
+    return SparseVector(WORD_BUCKETS, at.tolist(), (times * rarity[at]).tolist())
+
+
+def word_risk(rows: DataFrame, model: WordRisk, words_col: str) -> DataFrame:
+    """Add ``risk`` (0 to 1). The rows stay where they are; the words are hashed and only the hashes leave the engine."""
+    weight, intercept = model.weight, model.intercept
+
+    @F.pandas_udf("double")
+    def score(found: pd.Series) -> pd.Series:
+        sizes = found.map(len).to_numpy()
+        flat = np.concatenate([np.zeros(0, "int64"), *found.to_numpy()]).astype("int64")
+        sums = np.bincount(np.repeat(np.arange(len(found)), sizes), weights=weight[flat], minlength=len(found))
+        return pd.Series(1 / (1 + np.exp(-np.clip(sums + intercept, -500, 500))))
+
+    return rows.withColumn("risk", score(F.coalesce(_buckets(F.col(words_col)), F.array().cast("array<int>"))))

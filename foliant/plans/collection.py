@@ -202,7 +202,8 @@ def sheet_pagination(spark, sf_dir):
 
 
 @query("sheet_grid", f"""WITH {_CELLS_SQL}, size AS (SELECT sheet, max(row) AS last, max(col) AS w FROM cells GROUP BY sheet)
-SELECT sheet, row, array_to_string(list_transform(list_slice(cells, 1, w + 1), lambda c: trim(c)), '|') AS cells FROM rows JOIN size USING (sheet) WHERE row <= last""")
+SELECT sheet, row, trim(cells[1]) || CASE WHEN w >= 1 THEN '|' || trim(cells[2]) ELSE '' END || CASE WHEN w >= 2 THEN '|' || trim(cells[3]) ELSE '' END AS cells
+FROM rows JOIN size USING (sheet) WHERE row <= last""")
 def sheet_grid(spark, sf_dir):
     return H.to_grid(sheet_cells(spark, sf_dir)).select("sheet", "row", F.array_join("cells", "|").alias("cells"))
 

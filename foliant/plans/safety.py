@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from foliant.functions import messages as M
@@ -93,14 +89,21 @@ def toxicity_quality(spark, sf_dir):
 @query("toxicity_model")
 def toxicity_model(spark, sf_dir):
     """A linear model over hashed words, trained on the labels, with a risk for every document."""
-    docs = _docs(spark, sf_dir).select("doc_id", words(F.lower("text")).alias("w"))
-    train = docs.join(table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("double").alias("label")), "doc_id")
-    model = Pipeline(stages=[
-        HashingTF(inputCol="w", outputCol="tf", numFeatures=1 << 14), IDF(inputCol="tf", outputCol="features"),
-        LogisticRegression(maxIter=20, regParam=0.01),
-    ]).fit(train)
-    risk = F.round(vector_to_array("probability")[1], 4)
-    return model.transform(docs).select("doc_id", risk.alias("risk"), (risk <= S.TOXICITY_THRESHOLD).alias("passed"))
+    docs = _docs(spark, sf_dir).select("doc_id", words(F.lower("text")).alias("words"))
+    train = docs.join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    risk = F.round("risk", 4)
+    return G.word_risk(docs, G.fit_word_risk(train, "words", "toxic"), "words").select("doc_id", risk.alias("risk"), (risk <= S.TOXICITY_THRESHOLD).alias("passed"))
+
+
+@query("toxicity_model_quality")
+def toxicity_model_quality(spark, sf_dir):
+    """The linear model on the labelled documents that it has not seen, one in four by hash of the id."""
+    docs = _docs(spark, sf_dir).select("doc_id", words(F.lower("text")).alias("words"))
+    labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
+    judged = G.word_risk(labelled.where(held), G.fit_word_risk(labelled.where(~held), "words", "toxic"), "words")
+    f, t = F.col("risk") > S.TOXICITY_THRESHOLD, F.col("toxic") == 1
+    return judged.agg(F.count(F.lit(1)).alias("n"), F.count_if(f & t).alias("hits"), F.count_if(f & ~t).alias("false_alarms"), F.count_if(~f & t).alias("missed"))
 
 
 _SECRET = _sq("|".join(S.SECRET_RULES))

