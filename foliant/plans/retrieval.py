@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.operators import retrieval as R
+from foliant.operators import text_index as I
+from foliant.operators import vector_index as X
 from foliant.operators.joins import salted_join
 from foliant.plans.registry import query
 from foliant.session import spread, table
@@ -76,26 +78,51 @@ def query_expansion(spark, sf_dir):
     return _asks(spark, sf_dir).select("query_id", F.explode(R.expand_query(F.col("text"))).alias("variation"))
 
 
-@query("vector_topk", """WITH dims AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS d FROM embeddings),
+_COSINE_SQL = """WITH dims AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS d FROM embeddings),
 centers AS (SELECT label, d, avg(x) AS c FROM dims GROUP BY label, d),
 qn AS (SELECT label, sqrt(sum(c * c)) AS norm FROM centers GROUP BY label),
 vn AS (SELECT vec_id, sqrt(sum(x * x)) AS norm FROM dims GROUP BY vec_id),
 sims AS (SELECT c.label, v.vec_id, sum(c.c * v.x) AS dot FROM dims v JOIN centers c USING (d) GROUP BY c.label, v.vec_id),
 ranked AS (SELECT label::BIGINT AS query_id, vec_id AS item_id, round(dot / qn.norm / vn.norm, 10) AS score
   FROM sims JOIN qn USING (label) JOIN vn USING (vec_id))
-SELECT query_id, item_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM ranked) WHERE rank <= 20""")
-def vector_topk(spark, sf_dir):
-    """The vectors nearest to the mean of each label."""
+SELECT query_id, item_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM ranked) WHERE rank <= """
+
+
+def _label_centers(spark, sf_dir):
+    """The mean vector of each label as a query, and the vectors as items."""
     e = table(spark, sf_dir, "embeddings")
     dims = e.select("label", F.posexplode("embedding").alias("d", "x"))
     means = dims.groupBy("label", "d").agg(F.avg(F.col("x").cast("double")).alias("c"))
     centers = means.groupBy(F.col("label").cast("bigint").alias("query_id")).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("d", "c"))), lambda s: s["c"]).alias("vec"))
-    items = e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"))
+    return centers, e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"))
+
+
+@query("vector_topk", _COSINE_SQL + "20")
+def vector_topk(spark, sf_dir):
+    """The vectors nearest to the mean of each label."""
+    centers, items = _label_centers(spark, sf_dir)
     top = R.vector_topk(centers, items, 20, digits=10)  # DuckDB sums in another order
     return top.withColumns({"rank": F.col("rank").cast("bigint"), "score": F.round("score", 6)})
 
 
+@query("vector_index_exact", _COSINE_SQL + "10")
+def vector_index_exact(spark, sf_dir):
+    """The same order from an inverted file, reading only the cells whose bound reaches the tenth score."""
+    centers, items = _label_centers(spark, sf_dir)
+    top = X.search_exact(centers, X.build(items), 10, digits=10)
+    return top.select("query_id", "item_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("vector_index_recall")
+def vector_index_recall(spark, sf_dir):
+    """Share of the true ten nearest that the fitted number of cells gives, for every twentieth vector as a query."""
+    _, items = _label_centers(spark, sf_dir)
+    asked = items.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "vec")
+    found = X.search(asked, X.build(items), 10)
+    return X.recall(found, R.vector_topk(asked, items, 10), 10)
+
+
 BM25_SQL = f"""terms AS (SELECT DISTINCT item_id AS query_id, unnest({sql_keywords('text')}) AS term FROM benchmark),
 toks AS (SELECT doc_id, unnest({sql_keywords('text')}) AS term FROM documents),
 lens AS (SELECT doc_id, len({sql_keywords('text')}) AS dl FROM documents),
@@ -120,6 +147,25 @@ def bm25_topk(spark, sf_dir):
     return bm25_best(spark, sf_dir).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+def _indexed(spark, sf_dir, k: int):
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return I.search(q, I.build(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text")), k, digits=10)
+
+
+@query("bm25_index_topk", f"WITH {BM25_SQL}, posted AS (SELECT query_id, sum(df)::BIGINT AS postings FROM terms JOIN dfs USING (term) GROUP BY query_id) "
+       "SELECT best.*, postings FROM best JOIN posted USING (query_id)")
+def bm25_index_topk(spark, sf_dir):
+    """The same order from posting lists with block maxima, and the length of the query's lists."""
+    top = _indexed(spark, sf_dir, 15).withColumns({"score": F.round("score", 6), "rank": F.col("rank").cast("bigint")})
+    return top.select("query_id", "item_id", "score", "rank", "postings")
+
+
+@query("bm25_index_reads")
+def bm25_index_reads(spark, sf_dir):
+    """Postings of each query's terms, and how many were decoded to find its best."""
+    return _indexed(spark, sf_dir, 15).select("query_id", "postings", "postings_read").distinct()
+
+
 # Order lines as candidates: the supplier is the query, the part gives the file.
 _CAND_SQL = f"""{_ASK_SQL}, {_INFO_SQL},
 cand AS (SELECT l_suppkey AS query_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS idx,
