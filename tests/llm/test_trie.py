@@ -70,9 +70,8 @@ def test_copies_long_conversations_and_combs(spark):
     check(spark, [*same, *long, *comb], limit=40, rounds=2, group_limit=50)
 
 
-def test_many_ends_at_one_head(spark, monkeypatch):
-    monkeypatch.setattr(T, "PIECE", 7)
-    check(spark, [(5 * c, 0, "user", "hello") for c in range(60)], limit=4, rounds=2)
+def test_many_ends_at_one_head(spark):
+    check(spark, [(5 * c, 0, "user", "hello") for c in range(T.PIECE + 60)], limit=4, rounds=2)
 
 
 def test_awkward_rows(spark):
