@@ -11,6 +11,7 @@ from foliant.functions.extract import URL_BODY, find_all
 from foliant.functions.language import by_script
 from foliant.functions.text import words
 from foliant.operators import safety as G
+from foliant.operators import wordlists as L
 from foliant.operators.joins import salted_join
 from foliant.plans.metadata import _SCRIPT_SQL
 from foliant.plans.registry import query
@@ -357,3 +358,26 @@ def guard_decisions(spark, sf_dir):
     s = G.scan(latest, "text", [G.FACTORIES[n]() for n in _NAMES])
     return s.select("conv_id", "scan.allowed", F.get(G.failed_scanners(F.col("scan.scanners")), F.lit(0))["scanner"].alias("reason"),
                     by_script(F.col("text")).alias("language"))
+
+
+# ---- long word lists ----------------------------------------------------------------------
+_LISTED_SQL = """runs AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents),
+listed AS (SELECT DISTINCT w AS term FROM runs WHERE length(w) >= 7 AND substr(md5(w), 1, 1) IN ('0', '1', '2', '3')),
+places AS (SELECT w, unnest(range(1, length(w) - 5)) AS p FROM (SELECT DISTINCT w FROM runs WHERE length(w) >= 7)),
+subs AS (SELECT w, substr(w, p, n) AS term FROM (SELECT w, p, unnest(range(7, length(w) - p + 2)) AS n FROM places)),
+held AS (SELECT DISTINCT doc_id, term FROM runs JOIN subs USING (w) JOIN listed USING (term))"""
+
+
+def listed_terms(spark, sf_dir):
+    """A quarter of all longer words of the documents as a list of banned terms."""
+    w = _docs(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("term"))
+    return w.where((F.length("term") >= 7) & F.substring(F.md5("term"), 1, 1).isin("0", "1", "2", "3")).distinct()
+
+
+@query("scan_word_list", f"""WITH {_LISTED_SQL} SELECT doc_id, count(term) AS n_terms, count(term) = 0 AS passed, md5(coalesce(string_agg(term, ',' ORDER BY term), '')) AS terms_md5
+FROM documents LEFT JOIN held USING (doc_id) GROUP BY doc_id""")
+def scan_word_list(spark, sf_dir):
+    """Banned substrings from a list as long as the corpus has words."""
+    found = L.find_terms(_docs(spark, sf_dir), listed_terms(spark, sf_dir), ["doc_id"])
+    n = F.size("terms")
+    return found.select("doc_id", n.cast("bigint").alias("n_terms"), (n == 0).alias("passed"), F.md5(F.array_join("terms", ",")).alias("terms_md5"))
