@@ -25,7 +25,7 @@ from foliant.session import shared_folder, spread, table
 from foliant.sources import files as S
 from foliant.sources import html as H
 from foliant.sources import logs, sinks
-from foliant.streaming import guard, rates, run
+from foliant.streaming import guard, ordered_guard, rates, run
 
 RULES = ["dangerous", "as an ai", "stupid", "ignore all previous"]
 _UNSAFE = "|".join(RULES)
@@ -82,6 +82,15 @@ def guarded_stream(spark, sf_dir):
     return out.select(F.col("response_id").cast("bigint"), "seq", "kind", "text")
 
 
+@query("guarded_any_order", _guard_sql("{x} > 50"))
+def guarded_any_order(spark, sf_dir):
+    """The same guard on keyed state, from deltas that arrive shuffled over five batches."""
+    rows = deltas(marked_turns(spark, sf_dir))
+    lot = F.pmod(F.xxhash64("response_id", "seq"), F.lit(5))
+    out = run.drain_slices([rows.where(lot == i) for i in range(5)], lambda s: ordered_guard.guard_any_order(s, RULES, idle_ms=None))
+    return out.select(F.col("response_id").cast("bigint"), "seq", "kind", "text")
+
+
 @query("assembled_responses", f"""WITH {_DELTAS_SQL} SELECT response_id, string_agg(text, '' ORDER BY seq) AS text, sum(CASE WHEN done THEN length(text) ELSE 0 END)::BIGINT AS prompt_tokens,
   count(*) AS completion_tokens, sum(CASE WHEN done THEN length(text) ELSE 0 END)::BIGINT + count(*) AS total_tokens FROM deltas GROUP BY response_id""")
 def assembled_responses(spark, sf_dir):
@@ -126,7 +135,7 @@ def _sliced_events(spark, sf_dir):
         own = e.where(F.expr(f"ts >= TIMESTAMP_NTZ '{start} 00:00:00' AND ts < TIMESTAMP_NTZ '{end} 00:00:00'")).where(~late)
         slices.append(_event_rows(own if end != _SLICES[-1] else own.unionByName(e.where(late))))
         start = end
-    return run.staged_stream(spark, slices)
+    return slices
 
 
 def _rate_rows(df):
@@ -140,16 +149,40 @@ _CLOSED_SQL = "(SELECT epoch_ms(max(ts)) - 600000 FROM events)"
 FROM events WHERE NOT {_LATE_SQL} GROUP BY 1, 2 HAVING window_sec * 1000 + 60000 <= {_CLOSED_SQL}""")
 def rate_stream(spark, sf_dir):
     """Rates of closed windows, over several batches, without the rows that came too late."""
-    s = rates.windowed_rates(_sliced_events(spark, sf_dir), "ts", ["event_type"], "1 minute", late="10 minutes")
-    return _rate_rows(run.drain(s))
+    return _rate_rows(run.drain_slices(
+        _sliced_events(spark, sf_dir), lambda s: rates.windowed_rates(s, "ts", ["event_type"], "1 minute", late="10 minutes")))
 
 
 @query("sliding_rate_stream", f"""WITH w AS (SELECT event_type, unnest([epoch_us(ts) // 60000000 * 60 - i * 60 for i in range(5)]) AS window_sec FROM events WHERE NOT {_LATE_SQL})
 SELECT window_sec::BIGINT AS window_sec, event_type, count(*) AS requests, count(*) FILTER (WHERE event_type = 'error') AS failed FROM w GROUP BY 1, 2
 HAVING window_sec * 1000 + 300000 <= {_CLOSED_SQL}""")
 def sliding_rate_stream(spark, sf_dir):
-    s = rates.windowed_rates(_sliced_events(spark, sf_dir), "ts", ["event_type"], "5 minutes", "1 minute", late="10 minutes")
-    return _rate_rows(run.drain(s))
+    return _rate_rows(run.drain_slices(
+        _sliced_events(spark, sf_dir), lambda s: rates.windowed_rates(s, "ts", ["event_type"], "5 minutes", "1 minute", late="10 minutes")))
+
+
+_SESSIONS_SQL = f"""marked AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > {{gap}} AS fresh FROM {{rows}}),
+numbered AS (SELECT *, sum(coalesce(fresh, true)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM marked),
+sessions AS (SELECT user_id, min(epoch_us(ts)) AS start_us, max(epoch_us(ts)) + {{gap}} AS end_us, count(*) AS requests, count(*) FILTER (WHERE event_type = 'error') AS failed
+  FROM numbered GROUP BY user_id, session)"""
+_THREE_HOURS = 3 * 3600 * 1000000
+
+
+def _session_rows(df):
+    return df.select("user_id", F.unix_micros("session_start").alias("start_us"), F.unix_micros("session_end").alias("end_us"), "requests", "failed")
+
+
+@query("client_sessions", f"WITH {_SESSIONS_SQL.format(gap=_THREE_HOURS - 1, rows='events')} SELECT user_id, start_us, end_us + 1 AS end_us, requests, failed FROM sessions")
+def client_sessions(spark, sf_dir):
+    """Runs of requests of one client with less than three hours between them."""
+    return _session_rows(rates.sessions(_event_rows(table(spark, sf_dir, "events")), "ts", ["user_id"], "3 hours"))
+
+
+@query("session_stream", f"""WITH kept AS (SELECT * FROM events WHERE NOT {_LATE_SQL}), {_SESSIONS_SQL.format(gap=_THREE_HOURS - 1, rows='kept')}
+SELECT user_id, start_us, end_us + 1 AS end_us, requests, failed FROM sessions WHERE (end_us + 1) // 1000 <= {_CLOSED_SQL}""")
+def session_stream(spark, sf_dir):
+    """The closed sessions of a stream: they grow and merge over batches, and rows that come too late are dropped."""
+    return _session_rows(run.drain_slices(_sliced_events(spark, sf_dir), lambda s: rates.sessions(s, "ts", ["user_id"], "3 hours", late="10 minutes")))
 
 
 @query("dedup_stream", "SELECT user_id, event_type, count(DISTINCT user_id) AS kept FROM events GROUP BY 1, 2")

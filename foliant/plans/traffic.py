@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from foliant.operators import intervals as V
 from foliant.operators import traffic as T
 from foliant.plans.registry import query
 from foliant.sources import logs
@@ -193,3 +194,50 @@ def delta_lines(spark, sf_dir):
         .when(k == 2, js(F.col("text").alias("response"))).otherwise("[not an object]"))
     lines = c.select("conv_id", "turn", line.alias("value"))
     return logs.parse_delta_lines(lines, keep=("conv_id", "turn")).select("conv_id", "turn", "text", "done", "completion_tokens")
+
+
+# ---- intervals and budgets: a third of all requests belong to one client -----------------
+# A request holds its place a hundred times as long as it runs.
+_HOT_SQL = f"{REQ_SQL}, hot AS (SELECT * REPLACE (start_us + (end_us - start_us) * 100 AS end_us), CASE WHEN client % 3 = 0 THEN 0 ELSE client END AS who FROM req)"
+_PARTS = {"group_limit": 1000}  # so that the busy client is worked on in parts at every scale
+
+
+def hot_requests(spark, sf_dir):
+    who = F.when(F.col("client") % 3 == 0, F.lit(0).cast("bigint")).otherwise(F.col("client").cast("bigint"))
+    return requests(spark, sf_dir).withColumns({"who": who, "end_us": F.col("start_us") + (F.col("end_us") - F.col("start_us")) * 100})
+
+
+@query("asof_success", f"""WITH {_HOT_SQL}, ok AS (SELECT who, start_us AS at_us, max(request_id) AS last_id, arg_max(endpoint, request_id) AS last_endpoint FROM hot WHERE status < 400 GROUP BY ALL)
+SELECT request_id, last_id, last_endpoint FROM (SELECT * FROM hot WHERE status >= 400) f ASOF LEFT JOIN ok ON f.who = ok.who AND f.start_us >= ok.at_us""")
+def asof_success(spark, sf_dir):
+    """The last request of the client that went well, at or before each failure."""
+    r = hot_requests(spark, sf_dir).withColumns({"last_id": F.col("request_id"), "last_endpoint": F.col("endpoint")})
+    fails, fine = r.where("status >= 400").drop("last_id", "last_endpoint"), r.where("status < 400")
+    return V.asof_join(fails, fine, ["who"], "start_us", "request_id", ["last_id", "last_endpoint"], **_PARTS).select("request_id", "last_id", "last_endpoint")
+
+
+@query("overlap_counts", f"""WITH {_HOT_SQL} SELECT a.request_id, count(b.request_id) AS overlaps FROM hot a LEFT JOIN hot b
+ON a.who = b.who AND a.request_id <> b.request_id AND a.start_us < b.end_us AND b.start_us < a.end_us AND a.end_us > a.start_us AND b.end_us > b.start_us GROUP BY a.request_id""")
+def overlap_counts(spark, sf_dir):
+    """How many other requests of its client were in progress during each request."""
+    return V.overlap_counts(hot_requests(spark, sf_dir), ["who"], "request_id", "start_us", "end_us", **_PARTS)
+
+
+@query("overlap_pairs", f"""WITH {_HOT_SQL} SELECT a.request_id AS failed_id, b.request_id AS other_id, least(a.end_us, b.end_us) - greatest(a.start_us, b.start_us) AS shared_us
+FROM hot a JOIN hot b ON a.endpoint <> b.endpoint AND a.model = b.model AND a.start_us < b.end_us AND b.start_us < a.end_us AND a.end_us > a.start_us AND b.end_us > b.start_us WHERE a.status >= 400""")
+def overlap_pairs(spark, sf_dir):
+    """Requests that were in progress on the same model while one failed."""
+    r = hot_requests(spark, sf_dir)
+    pairs = V.overlap_join(r.where("status >= 400"), r.where("status < 400"), ["model"], "start_us", "end_us")
+    shared = F.least("l.end_us", "r.end_us") - F.greatest("l.start_us", "r.start_us")
+    return pairs.select(F.col("l.request_id").alias("failed_id"), F.col("r.request_id").alias("other_id"), shared.alias("shared_us"))
+
+
+@query("burst_breaches", f"""WITH RECURSIVE {_HOT_SQL}, n AS (SELECT who, request_id, start_us, row_number() OVER (PARTITION BY who ORDER BY start_us, request_id) AS i FROM hot),
+walk AS (SELECT who, request_id, start_us, i, 3600000000::BIGINT AS level FROM n WHERE i = 1
+  UNION ALL SELECT n.who, n.request_id, n.start_us, n.i, greatest(w.level - 2 * (n.start_us - w.start_us), 0) + 3600000000 FROM walk w JOIN n ON n.who = w.who AND n.i = w.i + 1)
+SELECT request_id, who, level FROM walk WHERE level > 3 * 3600000000::BIGINT""")
+def burst_breaches(spark, sf_dir):
+    """Requests beyond two an hour with room for two more."""
+    b = V.burst_breaches(hot_requests(spark, sf_dir), "who", "start_us", "request_id", 2, 3_600_000_000, 2, **_PARTS)
+    return b.select("request_id", "who", "level")

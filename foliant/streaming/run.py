@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,30 +19,42 @@ def read_table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_bat
             .option("maxFilesPerTrigger", files_per_batch).parquet(sf_dir))
 
 
-def staged_stream(spark: SparkSession, slices: list[DataFrame]) -> DataFrame:
-    """A stream in which each slice arrives as one file, in the order of the list, one file a batch.
-
-    Each slice is written by one task, so this is for slices of moderate size.
-    """
-    home = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
-    for part in slices:  # one after the other: the source takes files by their time
-        part.coalesce(1).write.mode("append").parquet(home)
-    return spark.readStream.schema(slices[0].schema).option("maxFilesPerTrigger", 1).parquet(home)
-
-
 def drain(stream: DataFrame, keys: list[str] | None = None, mode: str = "append") -> DataFrame:
     """Run until the input is used up and return what came out.
 
     In update mode ``keys`` name a result row, and its last state is returned.
     """
     home = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    _run_once(stream, home, mode)
+    return _came_out(stream, home, keys)
+
+
+def drain_slices(slices: list[DataFrame], work: Callable[[DataFrame], DataFrame], keys: list[str] | None = None, mode: str = "append") -> DataFrame:
+    """Let the slices arrive one after the other and return what ``work`` made of the stream.
 
+    Each slice is written by all its tasks. The query is started anew for every slice and goes on from its
+    checkpoint, so a slice is one batch however many files it has, and each restart is a recovery.
+    """
+    spark = slices[0].sparkSession
+    home = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    stream = None
+    for part in slices:
+        part.write.mode("append").parquet(f"{home}/arrived")
+        stream = work(spark.readStream.schema(slices[0].schema).parquet(f"{home}/arrived"))
+        _run_once(stream, home, mode)
+    return _came_out(stream, home, keys)
+
+
+def _run_once(stream: DataFrame, home: str, mode: str) -> None:
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{home}/rows/batch={batch_id}")
 
     query = (stream.writeStream.outputMode(mode).foreachBatch(save)
              .option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start())
     query.awaitTermination()
+
+
+def _came_out(stream: DataFrame, home: str, keys: list[str] | None) -> DataFrame:
     schema = StructType([*stream.schema.fields, StructField("batch", IntegerType())])
     rows = stream.sparkSession.read.schema(schema).parquet(f"{home}/rows")
     if not keys:
