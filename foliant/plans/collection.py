@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from foliant.operators import report as P
 from foliant.operators import sheets as H
 from foliant.operators import sync as Y
 from foliant.operators.ordered import row_numbers
 from foliant.plans.registry import query
-from foliant.session import spread, table
+from foliant.session import cut_lineage, shared_folder, spread, table
+from foliant.sources.keyed_table import KeyedTable
 
 # ---- documents as files ------------------------------------------------------
 _EXTS = [".docx", ".TXT", ".pdf", ".xlsx", ".md", ".bin", ".html", ".csv", "", ".ppt"]
@@ -73,6 +77,23 @@ def manifest_upsert(spark, sf_dir):
     return Y.upsert_manifest(manifest(spark, sf_dir), fresh).select("path", "size", "hash", _secs("cached_at").alias("cached"))
 
 
+@query("manifest_in_place", f"""WITH {_FILES_SQL}, n AS (SELECT path, size, hash, doc_id FROM files)
+SELECT path, size, CASE WHEN doc_id % 50 = 7 THEN 'changed' ELSE hash END AS hash, CASE WHEN doc_id % 50 = 7 THEN 3 WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS version
+FROM n WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 OR doc_id % 50 = 7""")
+def manifest_in_place(spark, sf_dir):
+    """A manifest by path in a stored table: a first load, more files, and some changes, one of them sent twice and one out of date."""
+    rows = cut_lineage(hashed(spark, sf_dir).select("doc_id", "path", "size", "hash"))
+    held = KeyedTable.create(spark, f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}", StructType.fromDDL("path string, size bigint, hash string, version int"), ["path"])
+    version = lambda df, v: df.withColumn("version", F.lit(v))
+    held.upsert(version(rows.where("doc_id % 2 = 0"), 1), ["version"], "first")
+    held.upsert(version(rows.where("doc_id % 3 = 0 AND doc_id % 2 <> 0"), 2), ["version"], "more")
+    changes = version(rows.where("doc_id % 50 = 7").withColumn("hash", F.lit("changed")), 3)
+    for batch in ("changes", "changes"):
+        held.upsert(changes, ["version"], batch)
+    held.upsert(version(rows.where("doc_id % 50 = 7"), 0), ["version"], "late")
+    return held.read()
+
+
 @query("manifest_expiry", f"WITH {_FILES_SQL}, {_MAN_SQL} SELECT path, epoch_us(cached_at) // 1000000 AS cached FROM man WHERE cached_at >= TIMESTAMP '2024-02-20' - INTERVAL 30 DAY")
 def manifest_expiry(spark, sf_dir):
     kept = Y.expire(manifest(spark, sf_dir), F.expr("TIMESTAMP_NTZ '2024-02-20 00:00:00'"))

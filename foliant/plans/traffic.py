@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.operators import intervals as V
+from foliant.operators import rollups as U
 from foliant.operators import traffic as T
 from foliant.plans.registry import query
+from foliant.session import cut_lineage, table
 from foliant.sources import logs
-from foliant.session import table
 
 REQ_SQL = """req AS (SELECT event_id AS request_id, epoch_us(ts) AS start_us, epoch_us(ts) + round(value * 10000)::BIGINT AS end_us, event_type AS endpoint,
   user_id AS client, 'm' || (user_id % 3) AS model, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status,
@@ -241,3 +242,51 @@ def burst_breaches(spark, sf_dir):
     """Requests beyond two an hour with room for two more."""
     b = V.burst_breaches(hot_requests(spark, sf_dir), "who", "start_us", "request_id", 2, 3_600_000_000, 2, **_PARTS)
     return b.select("request_id", "who", "level")
+
+
+# ---- many levels at once -------------------------------------------------------------------
+_DAY_SQL = "(start_us // 86400000000 * 86400)"
+
+
+def _daily(spark, sf_dir):
+    return requests(spark, sf_dir).withColumn("day_sec", T.bucket(F.col("start_us"), 86400))
+
+
+@query("traffic_cube", f"""WITH {REQ_SQL} SELECT endpoint, model, {_DAY_SQL} AS day_sec, GROUPING(endpoint, model, {_DAY_SQL})::BIGINT AS grouping_id, count(*) AS requests,
+sum(completion_tokens)::BIGINT AS tokens, count(*) FILTER (WHERE status >= 400) AS failed FROM req GROUP BY CUBE (endpoint, model, {_DAY_SQL})""")
+def traffic_cube(spark, sf_dir):
+    """Totals by endpoint, model and day, and over all of each of them."""
+    sums = {"requests": F.lit(1), "tokens": F.col("completion_tokens"), "failed": F.when(T.failed(), 1).otherwise(0)}
+    out = U.grouped_totals(_daily(spark, sf_dir), ["endpoint", "model", "day_sec"], sums)
+    return out.withColumns({c: F.col(c).cast("bigint") for c in sums})
+
+
+_SETS_SQL = "GROUPING SETS ((endpoint, model), (client), ())"
+
+
+@query("traffic_levels", f"""WITH {REQ_SQL} SELECT endpoint, model, client, GROUPING(endpoint, model, client)::BIGINT AS grouping_id, count(*) AS requests FROM req GROUP BY {_SETS_SQL}""")
+def traffic_levels(spark, sf_dir):
+    """Totals by endpoint and model, by client, and of all, in one pass over the requests."""
+    sets = [["endpoint", "model"], ["client"], []]
+    return U.grouped_totals(requests(spark, sf_dir), ["endpoint", "model", "client"], {"requests": F.lit(1)}, sets)
+
+
+@query("latency_sketches", f"""WITH {REQ_SQL} SELECT endpoint, {_DAY_SQL} AS day_sec, count(*) AS n, true AS p50_within, true AS p95_within, true AS p99_within FROM req GROUP BY ALL""")
+def latency_sketches(spark, sf_dir):
+    """Days from the stored sketches of their minutes: is the rank of each quantile within the stated bound of its share?
+
+    The requests are read once more only to measure that rank.
+    """
+    r = _daily(spark, sf_dir).withColumn("ms", T.duration_ms())
+    minutes = cut_lineage(U.value_sketches(r, ["endpoint"], "start_us", "ms", 60))
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    days = U.with_quantiles(U.merged_sketches(minutes, ["endpoint"], 86400), shares).drop("sketch").withColumnRenamed("window_sec", "day_sec")
+    met = r.select("endpoint", "day_sec", "ms").join(F.broadcast(days), ["endpoint", "day_sec"])  # days by endpoints: few rows
+    ranks = met.groupBy("endpoint", "day_sec", "n").agg(*[f(F.col("ms"), F.col(q)).alias(f"{q}_{k}") for q in shares for k, f in (
+        ("below", lambda x, v: F.count_if(x < v)), ("upto", lambda x, v: F.count_if(x <= v)))])
+
+    def within(q, share):
+        slack = F.col("n") * U.RANK_ERROR + 1
+        return ((F.col(f"{q}_below") <= F.col("n") * share + slack) & (F.col(f"{q}_upto") >= F.col("n") * share - slack)).alias(f"{q}_within")
+
+    return ranks.select("endpoint", "day_sec", "n", *[within(q, s) for q, s in shares.items()])
