@@ -21,6 +21,7 @@ from foliant.functions.text import contains_any, word_count, words
 BANNED = ["malicious", "dangerous"]
 TOXICITY_THRESHOLD = 0.5
 TOKEN_LIMIT = 4000
+DENIED_HOSTS = 1000
 ALLOWED_NAMES = ["John Doe"]
 HIDDEN_NAMES = ["Test LLC"]
 
@@ -173,9 +174,21 @@ def url_risk(url: Column) -> Column:
         + F.when(F.length(url) > 200, 0.2).otherwise(0.0), F.lit(1.0)))
 
 
-def malicious_urls(threshold: float = 0.5) -> Scanner:
+def malicious_urls(threshold: float = 0.5, denied: list[str] | None = None) -> Scanner:
+    """Lexical risk, and full risk for hosts on a list of ``denied`` ones and all their subdomains.
+
+    The list is part of the plan; a table of hosts is joined to the links instead, as in ``scan_urls``.
+    """
+    hosts = sorted({h.lower() for h in denied or []})
+    if len(hosts) > DENIED_HOSTS:
+        raise ValueError(f"more than {DENIED_HOSTS} denied hosts: join a table of them to the links")
+    named = "(?:^|\\.)(?:" + "|".join(h.replace(".", "\\.") for h in hosts) + ")$"
+
+    def risk(url: Column) -> Column:
+        return F.when(url_host(url).rlike(named), 1.0).otherwise(url_risk(url)) if hosts else url_risk(url)
+
     def check(text: Column) -> Column:
-        risks = F.transform(find_all(text, "(?i)" + URL_BODY), url_risk)
+        risks = F.transform(find_all(text, "(?i)" + URL_BODY), risk)
         return bind(F.coalesce(F.array_max(risks), F.lit(0.0)), lambda s: verdict(s <= threshold, s, text))
 
     return Scanner("malicious_urls", check)

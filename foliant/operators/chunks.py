@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.arrays import bind, cut_at, distinct_sorted, explode_indexed, positions
-from foliant.functions.text import SPACE_RUN, strip, word_count
+from foliant.functions.text import SPACE_RUN, SPACES, word_count
 from foliant.operators.blocks import MEDIA, SPECIAL, embedding_text
 
 STRATEGIES = ("hybrid", "fixed_size", "semantic", "sentence", "paragraph")
@@ -138,32 +138,35 @@ def _counted(chunks: Column, counter: Callable[[Column], Column]) -> Column:
     )
 
 
-def window_bounds(max_chars: int, overlap: int):
-    """Pandas UDF: [start, end) of fixed windows, cut back to the last space.
+def window_texts(max_chars: int, overlap: int):
+    """Pandas UDF: the stripped texts of fixed windows, cut back to the last space; blank ones are left out.
+
+    The texts come out of the walk itself: looking them up again by their place in the text would read it from its
+    start for every window.
 
     The next window starts ``overlap`` before the end, but always further on, and
     the walk stops when a window reaches the end of the text.
     """
 
-    def walk(text: str) -> list[tuple[int, int]]:
+    def walk(text: str) -> list[str]:
         out, start, n = [], 0, len(text)
         while start < n:
             end = min(start + max_chars, n)
             space = text.rfind(" ", start, end) if end < n else -1
             if space > start:
                 end = space
-            out.append((start, end))
+            out.append(text[start:end])
             if end >= n:
                 break
             start = end - overlap if end - overlap > start else end
         return out
 
-    @F.pandas_udf("array<array<int>>")
-    def bounds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("array<string>")
+    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.map(lambda t: [list(p) for p in walk(t or "")])
+            yield texts.map(lambda t: [w for w in (piece.strip(SPACES) for piece in walk(t or "")) if w])
 
-    return bounds
+    return pieces
 
 
 def _simple(docs: DataFrame, ids: list[str], texts: str, counter, add_source: bool) -> DataFrame:
@@ -210,9 +213,10 @@ def chunk_documents(
     )
     if strategy == "fixed_size":
         whole = with_emb.withColumn("_text", F.array_join(F.transform("blocks", lambda b: b["emb"]), "\n\n"))
-        cut = whole.withColumn("_bounds", window_bounds(max_chars, overlap)(F.col("_text")))
-        pieces = F.transform("_bounds", lambda p: strip(F.substring(F.col("_text"), p[0] + 1, p[1] - p[0])))
-        return _simple(cut.withColumn("_pieces", F.filter(pieces, lambda t: t != "")), ids, "_pieces", counter, add_source)
+        cut = whole.withColumn("_windows", window_texts(max_chars, overlap)(F.col("_text")))
+        # The text is used twice, so that it stays a step of its own; put into the call it would keep the call from a task.
+        cut = cut.withColumn("_pieces", F.when(F.length("_text") > 0, F.col("_windows")))
+        return _simple(cut, ids, "_pieces", counter, add_source)
     if strategy == "sentence":
         plain = F.filter("blocks", lambda b: b["block_type"] == "text")
         joined = F.array_join(F.transform(plain, lambda b: b["content"]), " ")

@@ -46,7 +46,7 @@ def detect_tables(cells: DataFrame) -> DataFrame:
                        F.when(is_table, F.col("header_cells")).otherwise(0).alias("n_columns"))
 
 
-def page_segments(rows: DataFrame, is_table: Column | None = None, header_rows: int = 1, blank_rows: int = BLANK_ROWS,
+def page_segments(rows: DataFrame, is_table: Column | None = None, header_rows: int | Column = 1, blank_rows: int = BLANK_ROWS,
                   mark: str = BREAK_MARK, page_rows: int = ROWS_PER_PAGE, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Add ``segment`` and ``page`` to sheet rows (``row`` counts from 0 without gaps).
 
@@ -73,6 +73,19 @@ def page_segments(rows: DataFrame, is_table: Column | None = None, header_rows:
     return out.withColumn("page", page).select(*rows.columns, "segment", "page")
 
 
+def detected_segments(rows: DataFrame, panes: DataFrame | None = None, **kw) -> DataFrame:
+    """Page segments where the sheets themselves say what they are.
+
+    A sheet that is no table (``detect_tables``) has no page ends but its marks and blank rows; the rows above a frozen
+    pane, or the first row, are headers and count for no page.
+    """
+    cells = rows.select(*SHEET, "row", F.posexplode_outer("cells").alias("col", "value")).where(filled(F.col("value")))
+    flags = detect_tables(cells).select(*SHEET, "is_table").join(sheet_profile(cells, panes).select(*SHEET, "frozen"), SHEET)
+    told = salted_join(rows, flags.select(*SHEET, F.col("is_table").alias("_table"), F.greatest("frozen", F.lit(1)).alias("_heads")), SHEET, "left")
+    told = told.withColumns({"_table": F.coalesce("_table", F.lit(False)), "_heads": F.coalesce("_heads", F.lit(1))})
+    return page_segments(told, F.col("_table"), F.col("_heads"), **kw).select(*rows.columns, "segment", "page")
+
+
 def paginate(rows: DataFrame, frozen: int = 0, page_rows: int = ROWS_PER_PAGE, source_date: str | None = None) -> DataFrame:
     """Fixed pages of data rows, each with the header rows, its label and source line."""
     n_head = max(frozen, 1)

@@ -129,9 +129,10 @@ def size_classes(spark, sf_dir):
     return d.groupBy(Y.size_class(F.col("n_chars") * 1000).alias("size_class")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query("largest_first", f"WITH {_FILES_SQL} SELECT path, size FROM files")
+@query("largest_first", f"WITH {_FILES_SQL} SELECT path, size, row_number() OVER (ORDER BY size DESC, path) AS position FROM files")
 def largest_first(spark, sf_dir):
-    return Y.largest_first(files(spark, sf_dir).select("path", "size"))
+    ranked = row_numbers(files(spark, sf_dir).select("path", "size", (-F.col("size")).alias("_down")), [], ["_down", "path"], "position")
+    return Y.largest_first(ranked.drop("_down"))
 
 
 _ROUTE_SQL = """CASE doc_id % 10 WHEN 0 THEN 'office > layout > word' WHEN 3 THEN 'office > layout > sheet' WHEN 6 THEN 'office > layout' WHEN 7 THEN 'csv' WHEN 9 THEN 'office > layout > slides' END"""
@@ -190,6 +191,13 @@ def sheet_cells(spark, sf_dir):
     return c.where(H.filled(F.col("value")))
 
 
+def sheet_panes(spark, sf_dir):
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").where(k % 3 == 0).select(
+        F.lit("book").alias("doc"), F.concat(F.lit("S"), k.cast("string")).alias("sheet"),
+        F.concat(F.lit("A"), (k % 4 + 1).cast("string")).alias("pane"))
+
+
 @query("sheet_detection", f"""WITH {_CELLS_SQL}, b AS (SELECT sheet, min(row) AS f, max(row) AS l FROM cells GROUP BY sheet),
 n AS (SELECT sheet, row, f, l, count(*) AS n FROM cells JOIN b USING (sheet) WHERE row <= f + 10 GROUP BY ALL),
 t AS (SELECT n.sheet, n.f, n.l, max(n) FILTER (WHERE row = f) AS h FROM n GROUP BY ALL),
@@ -214,6 +222,33 @@ def sheet_page_breaks(spark, sf_dir):
     return H.page_segments(sheet_rows(spark, sf_dir)).select("sheet", "row", "segment", "page")
 
 
+# Every fourth sheet keeps its first column only and is no table; every third has frozen rows.
+_MIXED_SQL = _ROWS_SQL.replace("rows AS (", "whole AS (", 1) + """, rows AS (SELECT doc, sheet, row, CASE WHEN substr(sheet, 2)::BIGINT % 4 = 1 THEN cells[1:1] ELSE cells END AS cells FROM whole),
+cells AS (SELECT sheet, row, count(*) AS n FROM (SELECT sheet, row, unnest(cells) AS v FROM rows) WHERE trim(v) <> '' GROUP BY ALL),
+b AS (SELECT sheet, min(row) AS f, max(row) AS l FROM cells GROUP BY sheet),
+t AS (SELECT sheet, f, l, max(n) FILTER (WHERE row = f) AS h, list(n) FILTER (WHERE row > f AND row <= f + 10) AS ns FROM cells JOIN b USING (sheet) GROUP BY ALL),
+flags AS (SELECT sheet, l - f >= 2 AND h >= 2 AND len(list_filter(ns, lambda x: x >= h * 0.5)) / least(l - f, 10)::DOUBLE >= 0.7 AS tab,
+  CASE WHEN substr(sheet, 2)::BIGINT % 3 = 0 THEN greatest(substr(sheet, 2)::BIGINT % 4, 1) ELSE 1 END AS heads FROM t)"""
+
+
+@query("sheet_detected_pages", f"""WITH RECURSIVE {_MIXED_SQL}, r AS (SELECT sheet, row, tab, heads, array_to_string(cells, '|') LIKE '%<<<PAGE_BREAK>>>%' AS mark, trim(array_to_string(cells, '')) = '' AS blank FROM rows JOIN flags USING (sheet)),
+walk AS (SELECT sheet, row, 0 AS segment, 0 AS page, 0 AS blanks, 0 AS data FROM r WHERE row = 0
+  UNION ALL
+  SELECT sheet, row, segment, page, blanks, CASE WHEN is_data THEN data + 1 ELSE data END FROM (
+    SELECT n.sheet, n.row, CASE WHEN n.mark OR (n.blank AND w.blanks + 1 = 1) THEN w.segment + 1 ELSE w.segment END AS segment,
+      CASE WHEN n.mark OR (n.blank AND w.blanks + 1 = 1) THEN 0 WHEN w.data >= 15 THEN w.page + 1 ELSE w.page END AS page,
+      CASE WHEN n.mark OR NOT n.blank THEN 0 ELSE w.blanks + 1 END AS blanks,
+      CASE WHEN n.mark OR (n.blank AND w.blanks + 1 = 1) OR w.data >= 15 THEN 0 ELSE w.data END AS data,
+      NOT n.mark AND NOT n.blank AND n.tab AND n.row >= n.heads AS is_data
+    FROM walk w JOIN r n ON n.sheet = w.sheet AND n.row = w.row + 1))
+SELECT sheet, row, segment::BIGINT AS segment, page::BIGINT AS page FROM walk""")
+def sheet_detected_pages(spark, sf_dir):
+    """Page breaks of sheets that are tables or not, with headers as their frozen panes say."""
+    number = F.substring("sheet", 2, 20).cast("bigint")
+    rows = sheet_rows(spark, sf_dir).withColumn("cells", F.when(number % 4 == 1, F.slice("cells", 1, 1)).otherwise(F.col("cells")))
+    return H.detected_segments(rows, sheet_panes(spark, sf_dir)).select("sheet", "row", "segment", "page")
+
+
 @query("sheet_pagination", f"""WITH {_ROWS_SQL}, c AS (SELECT sheet, count(*) AS n FROM rows GROUP BY sheet), h AS (SELECT sheet, array_to_string(cells, '|') AS header FROM rows WHERE row = 0)
 SELECT sheet, row, (row - 1) // 15 + 1 AS page, 'Table page ' || ((row - 1) // 15 + 1) || ' of ' || ((n - 1 + 14) // 15) || ' (Sheet: ' || sheet || ')' AS label,
   'book | Sheet: ' || sheet || ' | 2025-01-01' AS source_line, header FROM rows JOIN c USING (sheet) JOIN h USING (sheet) WHERE row >= 1""")
@@ -238,11 +273,7 @@ def sheet_used_range(spark, sf_dir):
 @query("sheet_profile", f"""WITH {_CELLS_SQL} SELECT sheet, max(row) + 1 AS n_rows, max(col) + 1 AS n_cols, max(row) + 1 > 2 AND max(col) + 1 > 1 AS has_table,
   CASE WHEN substr(sheet, 2)::BIGINT % 3 = 0 THEN substr(sheet, 2)::BIGINT % 4 ELSE 0 END AS frozen FROM cells GROUP BY sheet""")
 def sheet_profile(spark, sf_dir):
-    k = F.col("s_suppkey")
-    panes = table(spark, sf_dir, "supplier").where(k % 3 == 0).select(
-        F.lit("book").alias("doc"), F.concat(F.lit("S"), k.cast("string")).alias("sheet"),
-        F.concat(F.lit("A"), (k % 4 + 1).cast("string")).alias("pane"))
-    p = H.sheet_profile(sheet_cells(spark, sf_dir), panes)
+    p = H.sheet_profile(sheet_cells(spark, sf_dir), sheet_panes(spark, sf_dir))
     return p.select("sheet", "n_rows", F.col("n_cols").cast("bigint"), "has_table", F.col("frozen").cast("bigint"))
 
 

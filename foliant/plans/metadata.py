@@ -44,6 +44,13 @@ def entity_lists(spark, sf_dir):
     )
 
 
+@query("document_phones", f"""{_FULL}
+SELECT doc_id, {_sorted("regexp_extract_all(t, '(?i)(?:^|[^" + chr(92) + "p{L}" + chr(92) + "p{N}_])(" + X.PHONE_BODY + ")" + _B + "', 1)")} AS phones FROM full_texts""")
+def document_phones(spark, sf_dir):
+    docs = text_documents(spark, sf_dir).withColumn("t", full_text(F.col("blocks")))
+    return docs.select("doc_id", _joined(X.phones(F.col("t"))).alias("phones"))
+
+
 @query("page_urls", f"""SELECT page_id, {_sorted(_all('(?i)' + X.URL_BODY, "url || ' ' || html"))} AS urls,
   {_sorted(_DATES.replace('(t,', "(html,"))} AS dates FROM pages""")
 def page_urls(spark, sf_dir):
@@ -173,6 +180,20 @@ def document_types(spark, sf_dir):
     return docs.select("doc_id", X.document_type(t, F.lit(0), F.lit(1)).alias("document_type"))
 
 
+_BARS = "len(regexp_extract_all(text, '\\|[^|\n]*\\|[^|\n]*\\|'))"
+
+
+@query("spreadsheet_types", f"""{_FULL}, bars AS (SELECT doc_id, {_BARS} AS tables, 1 + len(text) // 3000 AS pages FROM documents)
+SELECT doc_id, CASE WHEN tables / pages::DOUBLE > 0.5 THEN 'spreadsheet' ELSE {_TYPE_SQL} END AS document_type FROM (SELECT doc_id, {_TYPE_COLS}
+FROM (SELECT doc_id, lower(t) AS low FROM full_texts)) JOIN bars USING (doc_id)""")
+def spreadsheet_types(spark, sf_dir):
+    """Document types where rows of bars count as tables and 3,000 characters as a page."""
+    tables = F.size(F.regexp_extract_all("text", F.lit(r"\|[^|\n]*\|[^|\n]*\|"), F.lit(0)))
+    docs = text_documents(spark, sf_dir)
+    kind = X.document_type(full_text(F.col("blocks")), tables, F.floor(F.length("text") / 3000) + 1)
+    return docs.select("doc_id", kind.alias("document_type"))
+
+
 @query("metadata_search_text", f"""{_FULL}
 SELECT doc_id, 'Title: ' || title || ' | Author: ' || source || CASE WHEN k <> '' THEN ' | Keywords: ' || replace(k, ' ; ', ', ') ELSE '' END
   || CASE WHEN heads IS NOT NULL THEN ' | Sections: ' || array_to_string(heads, ', ') ELSE '' END AS search_text

@@ -243,6 +243,55 @@ def scan_failures(spark, sf_dir):
     return s.select("conv_id", "turn", "f.scanner", "f.reason", M.score_percent(F.col("f.score")).alias("score"))
 
 
+# ---- the full lists of both sides ----------------------------------------------------------
+_HIDDEN = " OR ".join(f"contains(text, '{n}')" for n in S.HIDDEN_NAMES)
+_FULL_SQL = f"""said AS (SELECT conv_id, turn, role, text || CASE conv_id % 9 WHEN 4 THEN ' https://free-login-now.example/x' WHEN 5 THEN ' http://www.denied.example/a' WHEN 6 THEN ' mail me: joe@firm.example' ELSE '' END AS text FROM turns),
+verdicts AS (SELECT conv_id, turn, role, contains(lower(text), 'malicious') OR contains(lower(text), 'dangerous') AS ban_substrings,
+  least({_count(S.INJECTION_RULES, 'lower(text)')} * 0.6::DOUBLE, 1.0::DOUBLE) > 0.5 AS prompt_injection, {_TOXIC_SQL} > 0.5 AS toxicity, regexp_matches(text, '{_SECRET}') AS secrets,
+  greatest({', '.join(_code_sql(k) for k in S.CODE_RULES)}) >= 2 AS code, {_HIDDEN} OR {' OR '.join(f"regexp_matches(text, '{_sq(b)}')" for b in S.PERSONAL.values())} AS anonymize,
+  {sql_word_count('text')} > 40 AS token_limit, conv_id % 9 IN (4, 5) AS malicious_urls, {_any(S.REFUSALS, 'lower(text)')} AS no_refusal FROM said)"""
+
+
+def _first_sql(names) -> str:
+    return "CASE " + " ".join(f"WHEN {n} THEN '{n}'" for n in names) + " END"
+
+
+def _said(spark, sf_dir):
+    k = F.col("conv_id") % 9
+    more = F.when(k == 4, " https://free-login-now.example/x").when(k == 5, " http://www.denied.example/a").when(k == 6, " mail me: joe@firm.example").otherwise("")
+    return marked_turns(spark, sf_dir).withColumn("text", F.concat("text", more))
+
+
+def _verdicts(turns, chosen):
+    s = G.scan(turns, "text", chosen)
+    failed = F.filter(F.map_entries("scan.scanners"), lambda e: ~e["value"]["passed"])
+    return s.select("conv_id", "turn", "scan.allowed", F.get(failed, 0)["key"].alias("failed"), F.col("scan.scanner_count").cast("bigint").alias("scanner_count"))
+
+
+@query("scan_input_list", f"""WITH {_TURNS_SQL}, {_FULL_SQL} SELECT conv_id, turn, {_first_sql(["ban_substrings", "prompt_injection", "toxicity", "secrets", "code", "anonymize", "token_limit"])} AS failed,
+  failed IS NULL AS allowed, 7::BIGINT AS scanner_count FROM verdicts WHERE role = 'user'""")
+def scan_input_list(spark, sf_dir):
+    """All seven input scanners in their order, on the turns of users."""
+    chosen = G.select_scanners("input", {"token_limit": {"limit": 40}}, env={}, scan_code_input=True)
+    return _verdicts(_said(spark, sf_dir).where("role = 'user'"), chosen)
+
+
+@query("scan_output_list", f"""WITH {_TURNS_SQL}, {_FULL_SQL} SELECT conv_id, turn, {_first_sql(["ban_substrings", "toxicity", "malicious_urls", "no_refusal", "code"])} AS failed,
+  failed IS NULL AS allowed, 5::BIGINT AS scanner_count FROM verdicts WHERE role = 'assistant'""")
+def scan_output_list(spark, sf_dir):
+    """All five output scanners, with a list of denied hosts, on the turns of assistants."""
+    chosen = G.select_scanners("output", {"malicious_urls": {"denied": ["denied.example"]}}, env={})
+    return _verdicts(_said(spark, sf_dir).where("role = 'assistant'"), chosen)
+
+
+@query("scan_switches", f"""WITH {_TURNS_SQL}, {_FULL_SQL} SELECT conv_id, turn, {_first_sql(["toxicity", "secrets", "anonymize"])} AS failed, failed IS NULL AS allowed, 3::BIGINT AS scanner_count FROM verdicts""")
+def scan_switches(spark, sf_dir):
+    """A variable decides before the configuration, in both directions; without one the configuration does."""
+    config = {n: {"enabled": False} for n in ("toxicity", "ban_substrings", "prompt_injection")} | {"token_limit": {"limit": 40}}
+    env = {"FOLIANT_INPUT_TOXICITY": "on", "FOLIANT_INPUT_TOKEN_LIMIT": "0", "FOLIANT_INPUT_BAN_SUBSTRINGS": "maybe", "FOLIANT_OUTPUT_SECRETS": "off"}
+    return _verdicts(_said(spark, sf_dir), G.select_scanners("input", config, env=env))
+
+
 _POLICIES = ("block", "allow")
 
 

@@ -211,6 +211,13 @@ def page_blocks(spark, sf_dir):
     return B.explode_blocks(p, "page_id").select("page_id", F.col("block_idx").cast("bigint"), "content")
 
 
+@query("page_references", "SELECT page_id, 'page ' || page_id || ': é’😀… © <b> &amp; Ω\u00a0€ &nosuchname; &' AS text FROM pages")
+def page_references(spark, sf_dir):
+    """Character references by name and number, in a line about each page."""
+    line = F.concat(F.lit("<p>page "), F.col("page_id").cast("string"), F.lit(": &eacute;&#8217;&#x1F600;&hellip; &copy; &lt;b&gt; &amp;amp; &Omega;&#160;&#128; &nosuchname; &</p>"))
+    return table(spark, sf_dir, "pages").select("page_id", F.trim(H.html_text(line), F.lit("\n")).alias("text"))
+
+
 @query("page_chunks", f"""WITH RECURSIVE {_PAGE_LINES_SQL}, walk AS (SELECT page_id, block_idx, length(content) AS size, 0 AS chunk_no FROM pk WHERE block_idx = 0
   UNION ALL SELECT k.page_id, k.block_idx, CASE WHEN w.size + length(k.content) > 500 THEN length(k.content) ELSE w.size + length(k.content) END,
     CASE WHEN w.size + length(k.content) > 500 THEN w.chunk_no + 1 ELSE w.chunk_no END FROM walk w JOIN pk k ON k.page_id = w.page_id AND k.block_idx = w.block_idx + 1)

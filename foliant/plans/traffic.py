@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliant.operators import intervals as V
@@ -52,11 +53,13 @@ def peak_concurrency_by_endpoint(spark, sf_dir):
 _AT = 1705276800000000
 
 
-@query("active_endpoints", f"WITH {REQ_SQL} SELECT endpoint, count(*) AS active FROM req WHERE start_us - 3600000000 <= {_AT} AND end_us + 3600000000 > {_AT} GROUP BY endpoint")
+@query("active_endpoints", f"WITH {REQ_SQL} SELECT endpoint, count(*) AS active, row_number() OVER (ORDER BY count(*) DESC, endpoint) AS position FROM req WHERE start_us - 3600000000 <= {_AT} AND end_us + 3600000000 > {_AT} GROUP BY endpoint")
 def active_endpoints(spark, sf_dir):
     hour = 3_600_000_000
     wide = requests(spark, sf_dir).withColumns({"start_us": F.col("start_us") - hour, "end_us": F.col("end_us") + hour})
-    return T.active_at(wide, _AT)
+    busy = T.active_at(wide, _AT)
+    order = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("active"), "endpoint"))  # a row an endpoint
+    return busy.withColumn("position", order.cast("bigint"))
 
 
 @query("running_means", f"""WITH {REQ_SQL} SELECT request_id, round(sum(k) OVER w / count(*) OVER w, 6) AS avg_wait, round(sum(end_us - start_us) OVER w / count(*) OVER w, 4) AS avg_process,

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from html import unescape
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from foliant.operators.blocks import blocks_from_text
 
@@ -19,15 +23,30 @@ NAMED = {
 }
 
 
+#: A character reference other than those above, by name or number.
+OTHER_NAMED = "(?s)&(?!(?:" + "|".join(n[1:-1] for n in NAMED) + ");)(?:#[0-9]|#[xX][0-9a-fA-F]|[A-Za-z][A-Za-z0-9]*;)"
+
+
+@F.pandas_udf(StringType())
+def _all_references(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unescape(t.replace("&nbsp;", " ")))
+
+
 def html_text(html: Column) -> Column:
-    """Readable text, one line per block element."""
+    """Readable text, one line per block element.
+
+    The common character references are replaced by built-in expressions. Texts with any other name or number go
+    through the table of the HTML standard, which reads each reference once; only those texts leave the engine.
+    """
     out = html
     for part in DROP:
         out = F.regexp_replace(out, part, " ")
     out = F.regexp_replace(F.regexp_replace(out, LINE_TAGS, "\n"), OTHER_TAGS, "")
+    plain = out
     for name, char in NAMED.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+        plain = F.replace(plain, F.lit(name), F.lit(char))
+    odd = out.rlike(OTHER_NAMED)
+    return F.when(odd, _all_references(F.when(odd, out))).otherwise(plain)
 
 
 def page_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
