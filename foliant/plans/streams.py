@@ -24,7 +24,7 @@ from foliant.plans.shared import text_documents
 from foliant.session import shared_folder, spread, table
 from foliant.sources import files as S
 from foliant.sources import html as H
-from foliant.sources import logs, sinks
+from foliant.sources import line_log, logs, sinks
 from foliant.streaming import guard, ordered_guard, rates, run
 
 RULES = ["dangerous", "as an ai", "stupid", "ignore all previous"]
@@ -321,6 +321,27 @@ def access_log_source(spark, sf_dir):
     return log.agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("status") >= 400).alias("failed"), F.count_distinct("path").alias("paths"))
 
 
+_LOG_MINUTES = """SELECT (epoch_us(ts) // 3600000000 * 3600)::BIGINT AS hour_sec, event_type AS endpoint, count(*) AS requests, count(*) FILTER (WHERE event_type = 'error') AS failed
+FROM events GROUP BY 1, 2"""
+
+
+@query("growing_log", _LOG_MINUTES)
+def growing_log(spark, sf_dir):
+    """An access log that arrives in five pieces, read as a stream that is started anew for each of them."""
+    home = _folder(spark, "growing")
+    line = F.concat(
+        F.lit("10.0.0.1 - - ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "POST /'), F.col("event_type"), F.lit(' HTTP/1.1" '),
+        F.col("status").cast("string"), F.lit(' 1 "-" "-" "-" rt=1 uct="1" uht="1" urt="1"'))
+    for i, part in enumerate(_sliced_events(spark, sf_dir)):
+        part.select(line.alias("value")).write.text(f"{home}/log/piece-{i}")
+        lines = line_log.read_lines(spark, f"{home}/log", stream=True, split=1 << 16)
+        run.run_once(logs.parse_access_lines(lines), home, "append")
+    log = spark.read.parquet(f"{home}/rows").where("ok")
+    hour = (F.floor(F.unix_seconds("ts") / 3600) * 3600).cast("bigint").alias("hour_sec")
+    return log.groupBy(hour, F.substring("path", 2, 40).alias("endpoint")).agg(
+        F.count(F.lit(1)).alias("requests"), F.count_if(F.col("status") >= 400).alias("failed"))
+
+
 @query("audited_stream", f"WITH {_DELTAS_SQL} SELECT response_id, NOT regexp_matches(lower(string_agg(text, '' ORDER BY seq)), '{_UNSAFE}') AS allowed FROM deltas GROUP BY response_id")
 def audited_stream(spark, sf_dir):
     """Deltas passed on unchecked, with the whole answers judged once they are done."""

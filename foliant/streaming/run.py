@@ -25,7 +25,7 @@ def drain(stream: DataFrame, keys: list[str] | None = None, mode: str = "append"
     In update mode ``keys`` name a result row, and its last state is returned.
     """
     home = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
-    _run_once(stream, home, mode)
+    run_once(stream, home, mode)
     return _came_out(stream, home, keys)
 
 
@@ -41,11 +41,12 @@ def drain_slices(slices: list[DataFrame], work: Callable[[DataFrame], DataFrame]
     for part in slices:
         part.write.mode("append").parquet(f"{home}/arrived")
         stream = work(spark.readStream.schema(slices[0].schema).parquet(f"{home}/arrived"))
-        _run_once(stream, home, mode)
+        run_once(stream, home, mode)
     return _came_out(stream, home, keys)
 
 
-def _run_once(stream: DataFrame, home: str, mode: str) -> None:
+def run_once(stream: DataFrame, home: str, mode: str) -> None:
+    """Work off what is there now into ``home``/rows, going on from the checkpoint in ``home``."""
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{home}/rows/batch={batch_id}")
 
