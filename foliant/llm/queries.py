@@ -82,7 +82,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = toxicity.score(weights)
     return judged.select(
         "doc_id", F.coalesce(F.col("fold") % 4 == 2, F.lit(False)).alias("held_out"), score.alias("score"),
-        (score >= 0.3).cast("int").alias("predicted"), "mean_ratio", "peak_ratio")
+        (score >= 0.3).cast("int").alias("predicted"), "mean_ratio", "peak_ratio", "word_mean", "word_peak")
 
 
 def learnable(doc_id: str = "doc_id"):

@@ -7,10 +7,17 @@ and both back off to one shared Kneser-Ney model: the numbers of distinct left n
 of the shorter n-grams, counted over both classes. An n-gram that is rare in both classes
 therefore gets nearly the same probability from both, and says nothing.
 
-A text has two features: the log-likelihood ratio of the whole text, divided by its number
-of symbols, and the highest ratio of one of its expressions, divided by that expression's
-number of symbols. A logistic curve fitted on labelled rows outside the counts turns them
-into a score from 0 to 1.
+Above the symbols stand whole words, whose events the symbols can not tell where their
+syllables are common: each class has discounted counts of the documents that hold a word, and
+both back off to one shared probability, the number of different words before it over both
+classes. The discount of ``WORD_DISCOUNT`` documents keeps a word of one text and its copies
+from saying anything.
+
+Features of a text: the log-likelihood ratio of its words divided by their number, the highest
+ratio of one of its words, and, from the symbols, the highest ratio of one of its expressions
+divided by that expression's number of symbols. A logistic curve fitted on labelled rows outside
+the counts turns them into a score from 0 to 1; the ratio of all symbols by their number is
+there as a column.
 
 Counts cover every labelled row. They are summed in the tasks, then by key, and the model is
 worked out by joins and windows whose groups hold at most 256 symbols. Scoring uses every
@@ -30,6 +37,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +52,8 @@ from foliant.session import cut_lineage
 #: Symbols of an n-gram; six of eight bits each fit a positive long.
 ORDER = 6
 DISCOUNT = 0.75
+#: Documents of a class that a word must be in beyond this to count.
+WORD_DISCOUNT = 3.0
 #: Rows of a model that are broadcast whole, and words whose ratios are broadcast beyond it.
 SENT = 1 << 22
 HOT = 1 << 21
@@ -145,8 +155,65 @@ def _shared(events: DataFrame) -> DataFrame:
     return below.select("gram", "p")
 
 
-def fit(labelled: DataFrame) -> DataFrame:
-    """(key, ratio): log-likelihood ratios of all n-grams and contexts, from rows of ``text`` and boolean ``label``."""
+def _spoken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each slice: documents of either class that hold a word (before is null), and the different words before it."""
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            found = words(batch.column("text"))
+            if not len(found.hash):
+                continue
+            code, place = np.unique(found.hash, return_inverse=True)
+            n = len(code)
+            label = batch.column("label").to_numpy(zero_copy_only=False).astype(bool)
+            once = np.unique(found.row * n + place)
+            toxic = label[once // n]
+            both = [np.bincount(once % n, weights, n).astype(np.int64) for weights in (toxic, ~toxic)]
+            before = np.concatenate([[0], found.hash[:-1]]).astype(np.uint64)
+            before[found.bounds[:-1][np.diff(found.bounds) > 0]] = 0  # the start of a text
+            pairs = np.unique(np.stack([found.hash, before], 1), axis=0).view(np.int64)
+            none = np.zeros(len(pairs), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([code.view(np.int64), pairs[:, 0]])), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(pairs[:, 1])]),
+                 *[pa.array(np.concatenate([b, none])) for b in both]], names=["word", "before", "toxic", "ordinary"])
+
+
+def _vocabulary(rows: DataFrame) -> DataFrame:
+    """(word, ratio): log-likelihood ratio of each word of the labelled texts; words go by their hash."""
+    seen = rows.mapInArrow(_spoken, "word long, before long, toxic long, ordinary long").groupBy("word", "before").agg(
+        F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    counted = cut_lineage(seen.groupBy("word").agg(
+        F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.count("before").alias("kinds")))
+    t = counted.agg(
+        F.sum("kinds").alias("kinds"), *[f(c).alias(f"{name}_{c}") for c in ("toxic", "ordinary") for name, f in (
+            ("sum", F.sum), ("lost", lambda c: F.sum(F.least(F.col(c).cast("double"), F.lit(WORD_DISCOUNT)))))]).first()
+
+    def probability(c: str) -> Column:
+        total = t[f"sum_{c}"]
+        if not total:
+            return F.col("kinds") / t["kinds"]
+        kept = F.greatest(F.col(c) - WORD_DISCOUNT, F.lit(0.0)) / total
+        return kept + F.lit(t[f"lost_{c}"] / total) * F.col("kinds") / t["kinds"]
+
+    if not t["kinds"]:
+        return counted.select("word", F.lit(0.0).cast("float").alias("ratio"))
+    return cut_lineage(counted.select("word", F.log(probability("toxic") / probability("ordinary")).cast("float").alias("ratio")))
+
+
+@dataclass(frozen=True)
+class Model:
+    """Ratios of n-grams and contexts (key, ratio), and of whole words (word, ratio)."""
+
+    grams: DataFrame
+    words: DataFrame
+
+
+def fit(labelled: DataFrame) -> Model:
+    """Log-likelihood ratios of all n-grams, contexts and words, from rows of ``text`` and boolean ``label``."""
+    told = labelled.where(F.col("text").isNotNull() & F.col("label").isNotNull()).select("text", "label")
+    return Model(_fit_grams(told), _vocabulary(told))
+
+
+def _fit_grams(labelled: DataFrame) -> DataFrame:
     rows = labelled.where(F.col("text").isNotNull() & F.col("label").isNotNull()).select("text", "label")
     events = cut_lineage(
         rows.mapInArrow(_count, "key long, toxic long, ordinary long").groupBy("key")
@@ -219,23 +286,24 @@ class _Table:
         return np.bincount(owner, ratio, len(pick))
 
 
-_LAST: dict[str, _Table] = {}
+_LAST: dict[str, tuple[_Table, _Table]] = {}
 
 
 def _score(shared, by_word: bool):
     """Sums, symbols and peaks of the texts; ``rest`` are the words of a text that the table of words lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, model = shared.value
+        name, model, spoken = shared.value
         if name not in _LAST:
             _LAST.clear()
-            _LAST[name] = _Table(*model)
-        table = _LAST[name]
+            _LAST[name] = _Table(*model), _Table(*spoken)
+        table, vocabulary = _LAST[name]
         for whole in batches:
             for batch in slices(whole, "_text"):
                 found = words(batch.column("_text"))
                 n = batch.num_rows
                 total, symbols, peak = np.zeros(n), np.zeros(n, np.int64), np.full(n, -np.inf)
+                said, spoken_total, spoken_peak = np.diff(found.bounds), np.zeros(n), np.full(n, -np.inf)
                 rest = [np.zeros(0, np.int64)] * 4
                 if len(found.hash):
                     _, first, place = np.unique(found.hash, return_index=True, return_inverse=True)
@@ -246,7 +314,10 @@ def _score(shared, by_word: bool):
                         rest = [late // len(first), found.hash[first].view(np.int64)[late % len(first)], times, long[late % len(first)]]
                     else:
                         known, ratio = np.ones(len(first), bool), table.expressions(found, first)
-                    some = np.diff(found.bounds) > 0
+                    some = said > 0
+                    met, spoken_ratio = vocabulary.find(found.hash[first])
+                    spoken_total = spread_sums(spoken_ratio.astype(float)[place], found.bounds)
+                    spoken_peak[some] = np.maximum.reduceat(np.where(met, spoken_ratio, -np.inf)[place], found.bounds[:-1][some])
                     total = spread_sums(ratio.astype(float)[place], found.bounds)
                     symbols = spread_sums(long[place], found.bounds)
                     peak[some] = np.maximum.reduceat(np.where(known, ratio / long, -np.inf)[place], found.bounds[:-1][some])
@@ -255,8 +326,9 @@ def _score(shared, by_word: bool):
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(
                     [pa.array(x.astype(np.int64)) for x in fields], ["word", "times", "long"]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("_row"), batch.column("_id"), pa.array(total), pa.array(symbols), pa.array(peak), lists],
-                    names=["_row", "_id", "total", "symbols", "peak", "rest"])
+                    [batch.column("_row"), batch.column("_id"), pa.array(total), pa.array(symbols), pa.array(peak), pa.array(said.astype(np.int64)),
+                     pa.array(spoken_total), pa.array(spoken_peak), lists],
+                    names=["_row", "_id", "total", "symbols", "peak", "said", "spoken_total", "spoken_peak", "rest"])
 
     return run
 
@@ -287,16 +359,17 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["word", "times", "key", "context"])
 
 
-def _word_ratios(texts: DataFrame, model: DataFrame) -> DataFrame:
-    """(word, ratio, times) of every distinct word of the texts; words go by their hash."""
+def _word_ratios(texts: DataFrame, fitted: Model) -> DataFrame:
+    """(word, ratio, spoken, times) of every distinct word of the texts; words go by their hash, spoken is null for new ones."""
+    model = fitted.grams
     listed = texts.mapInArrow(_listed, "word long, said string, times long").groupBy("word", "said").agg(F.sum("times").alias("times"))
     grams = listed.mapInArrow(_split, "word long, times long, key long, context long").join(model, "key", "left")
     # An n-gram that was found needs no context: it gets a key of its own that no context has.
     back = F.when(F.col("ratio").isNull(), F.col("context")).otherwise(-1 - F.shiftrightunsigned("word", 1))
     weights = model.select(F.col("key").alias("back"), F.col("ratio").alias("weight"))
     grams = grams.select("word", "times", "ratio", back.alias("back")).join(weights, "back", "left")
-    return cut_lineage(grams.groupBy("word", "times").agg(
-        F.sum(F.coalesce("ratio", "weight", F.lit(0.0)).cast("double")).cast("float").alias("ratio")).select("word", "ratio", "times"))
+    summed = grams.groupBy("word", "times").agg(F.sum(F.coalesce("ratio", "weight", F.lit(0.0)).cast("double")).cast("float").alias("ratio"))
+    return cut_lineage(summed.join(fitted.words.select("word", F.col("ratio").alias("spoken")), "word", "left"))
 
 
 def _hot(ratios: DataFrame, most: int) -> Column:
@@ -312,56 +385,68 @@ def _hot(ratios: DataFrame, most: int) -> Column:
 
 
 def features(
-    documents: DataFrame, model: DataFrame, keep: list[str], text_col: str = "text", sent: int = SENT, hot: int = HOT,
+    documents: DataFrame, model: Model, keep: list[str], text_col: str = "text", sent: int = SENT, hot: int = HOT,
 ) -> DataFrame:
-    """The ``keep`` columns with ``mean_ratio`` and ``peak_ratio`` of every text.
+    """The ``keep`` columns with ``mean_ratio``, ``peak_ratio``, ``word_mean`` and ``word_peak`` of every text.
 
     One narrow pass where the model has up to ``sent`` rows.
     """
     rows = documents.select(F.struct(*keep).alias("_row"), F.monotonically_increasing_id().alias("_id"), F.col(text_col).alias("_text"))
     late = None
-    by_word = model.count() > sent
+    grams, spoken = model.grams, model.words
+    by_word = grams.count() > sent or spoken.count() > sent
     if by_word:
         ratios = _word_ratios(rows.select("_text"), model)
         often = _hot(ratios, hot)
-        late = ratios.where(~often).select("word", "ratio")
-        model = ratios.where(often).select("word", "ratio")
-    shared = documents.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, _sent(model)))
+        late = ratios.where(~often).select("word", "ratio", "spoken")
+        grams = ratios.where(often).select("word", "ratio")
+        spoken = ratios.where(often & F.col("spoken").isNotNull()).select("word", "spoken")
+    shared = documents.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, _sent(grams), _sent(spoken)))
     kind = T.StructType([*rows.drop("_text").schema.fields, *T.StructType.fromDDL(
-        "total double, symbols long, peak double, rest array<struct<word: long, times: long, long: long>>").fields])
+        "total double, symbols long, peak double, said long, spoken_total double, spoken_peak double, "
+        "rest array<struct<word: long, times: long, long: long>>").fields])
     found = rows.mapInArrow(_score(shared, by_word), kind)
     if late is not None and late.limit(1).count():
         found = cut_lineage(found)  # the ids must stay
+        times = F.col("times")
         joined = found.select("_id", F.explode("rest").alias("r")).select("_id", "r.*").join(late, "word").groupBy("_id").agg(
-            F.sum(F.col("ratio").cast("double") * F.col("times")).alias("more"), F.max(F.col("ratio") / F.col("long")).alias("higher"))
+            F.sum(F.col("ratio").cast("double") * times).alias("more"), F.max(F.col("ratio") / F.col("long")).alias("higher"),
+            F.sum(F.col("spoken").cast("double") * times).alias("more_said"), F.max(F.col("spoken").cast("double")).alias("higher_said"))
         found = found.drop("rest").join(joined, "_id", "left").withColumns({
-            "total": F.col("total") + F.coalesce("more", F.lit(0.0)), "peak": F.greatest("peak", "higher")})
+            "total": F.col("total") + F.coalesce("more", F.lit(0.0)), "peak": F.greatest("peak", "higher"),
+            "spoken_total": F.col("spoken_total") + F.coalesce("more_said", F.lit(0.0)), "spoken_peak": F.greatest("spoken_peak", "higher_said")})
     some = F.col("symbols") > 0
     return found.select(
         *[F.col("_row").getField(f.name).alias(f.name) for f in rows.schema["_row"].dataType],
         F.when(some, F.col("total") / F.col("symbols")).otherwise(0.0).alias("mean_ratio"),
-        F.when(some, F.col("peak")).otherwise(0.0).alias("peak_ratio"))
+        F.when(some, F.col("peak")).otherwise(0.0).alias("peak_ratio"),
+        F.when(some, F.col("spoken_total") / F.col("said")).otherwise(0.0).alias("word_mean"),
+        F.when(some & (F.col("spoken_peak") > F.lit(-math.inf)), F.col("spoken_peak")).otherwise(0.0).alias("word_peak"))
+
+
+#: Grid of the features that the curve is fitted on: steps to one, least and largest step.
+GRID = {"word_mean": (32, -64, 63), "word_peak": (4, -16, 47), "peak_ratio": (8, -32, 31)}
 
 
-def calibrate(judged: DataFrame, ridge: float = 1e-2) -> tuple[float, float, float]:
-    """Logistic weights (bias, mean, peak) from rows of features and boolean ``label``.
+def calibrate(judged: DataFrame, ridge: float = 1e-2) -> tuple[float, ...]:
+    """Logistic weights (bias, then those of GRID) from rows of features and boolean ``label``.
 
-    The rows are counted on a fixed grid of the two features, so what reaches the driver
-    does not grow with their number.
+    The rows are counted on a fixed grid of the features, at most 2^19 cells a label, so what reaches
+    the driver does not grow with their number.
     """
-    grid = judged.where(F.col("label").isNotNull()).groupBy(
-        F.least(F.greatest(F.floor(F.col("mean_ratio") * 64), F.lit(-128)), F.lit(127)).alias("m"),
-        F.least(F.greatest(F.floor(F.col("peak_ratio") * 32), F.lit(-256)), F.lit(255)).alias("p"), "label").count().collect()
+    steps = [F.least(F.greatest(F.floor(F.col(c) * n), F.lit(lo)), F.lit(hi)).alias(c) for c, (n, lo, hi) in GRID.items()]
+    grid = judged.where(F.col("label").isNotNull()).groupBy(*steps, "label").count().collect()
+    nothing = (0.0,) * len(GRID)
     if not grid:
-        return -math.inf, 0.0, 0.0
-    grid.sort(key=lambda r: (r["m"], r["p"], r["label"]))
-    x = np.array([[1.0, (r["m"] + 0.5) / 64, (r["p"] + 0.5) / 32] for r in grid])
+        return -math.inf, *nothing
+    grid.sort(key=lambda r: (*[r[c] for c in GRID], r["label"]))
+    x = np.array([[1.0, *[(r[c] + 0.5) / n for c, (n, _, _) in GRID.items()]] for r in grid])
     y = np.array([float(r["label"]) for r in grid])
     n = np.array([float(r["count"]) for r in grid])
     rate = float((n * y).sum() / n.sum())
     if rate in (0.0, 1.0):
-        return (math.inf if rate else -math.inf), 0.0, 0.0
-    use = [0, 1, 2]
+        return (math.inf if rate else -math.inf), *nothing
+    use = list(range(len(GRID) + 1))
     while True:
         w = np.zeros(len(use))
         keep = np.diag([0.0] + [ridge] * (len(use) - 1))
@@ -373,18 +458,18 @@ def calibrate(judged: DataFrame, ridge: float = 1e-2) -> tuple[float, float, flo
             w = w - np.clip(move, -4, 4)
             if np.abs(move).max() < 1e-8:
                 break
-        down = [i for i, v in zip(use, w) if i and v < 0]
+        down = [(v, i) for i, v in zip(use, w) if i and v < 0]
         if not down:
             break
-        use = [i for i in use if i != down[-1]]
-    full = np.zeros(3)
+        use = [i for i in use if i != min(down)[1]]
+    full = np.zeros(len(GRID) + 1)
     full[use] = w
-    return float(full[0]), float(full[1]), float(full[2])
+    return tuple(float(v) for v in full)
 
 
-def score(weights: tuple[float, float, float]) -> Column:
+def score(weights: tuple[float, ...]) -> Column:
     """The score from 0 to 1 of rows with features."""
-    bias, mean, peak = weights
+    bias, *slopes = weights
     if math.isinf(bias):
         return F.lit(1.0 if bias > 0 else 0.0)
-    return 1 / (1 + F.exp(-(F.lit(bias) + F.lit(mean) * F.col("mean_ratio") + F.lit(peak) * F.col("peak_ratio"))))
+    return 1 / (1 + F.exp(-sum((F.lit(w) * F.col(c) for w, c in zip(slopes, GRID)), F.lit(bias))))

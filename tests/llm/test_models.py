@@ -133,7 +133,51 @@ def test_every_counted_ngram_keeps_its_ratio(spark):
     rows = [(" ".join(odd[k:k + 100]), k % 300 == 0) for k in range(0, 60_000, 100)]
     model = toxicity.fit(spark.createDataFrame(rows, "text string, label boolean"))
     found = {g for t, _ in rows for w in t.split() for g in grams(w)}
-    assert model.select("key").distinct().count() == model.count() == len(found) + len({g[:-1] for g in found})
+    assert model.grams.select("key").distinct().count() == model.grams.count() == len(found) + len({g[:-1] for g in found})
+
+
+def test_word_features_follow_the_formulas(spark):
+    rows = [(text("xx", 8) + (" badword more badword" if k % 3 == 0 else " fine"), k % 3 == 0) for k in range(40)]
+    model = toxicity.fit(spark.createDataFrame([*rows, (None, True), ("x", None), ("", False)], "text string, label boolean"))
+    held = {c: defaultdict(int) for c in (True, False)}
+    before = defaultdict(set)
+    for t, label in rows:
+        w = lower_words(t)
+        for x in set(w):
+            held[label][x] += 1
+        for a, b in zip([None, *w], w):
+            before[b].add(a)
+    kinds = sum(map(len, before.values()))
+
+    def p(c, w):
+        total, lost = sum(held[c].values()), sum(min(v, 3) for v in held[c].values())
+        return max(held[c][w] - 3, 0) / total + lost / total * len(before[w]) / kinds
+
+    ratio = {w: math.log(p(True, w) / p(False, w)) for w in before}
+    texts = ["", None, "badword", "unseen fine badword badword", rows[0][0], "unseen words QQ"]
+    for t, r in zip(texts, toxicity.features(documents(spark, texts), model, ["doc_id"]).orderBy("doc_id").collect()):
+        per = [ratio.get(w) for w in lower_words(t)]
+        met = [x for x in per if x is not None]
+        assert r["word_mean"] == pytest.approx(sum(met) / len(per) if per else 0, abs=1e-4)
+        assert r["word_peak"] == pytest.approx(max(met, default=0), abs=1e-4)
+
+
+def test_words_alone_find_toxic_texts_of_every_label_table(spark):
+    """Held-out rows of the given labels, with the symbols' peak set aside."""
+    from foliant.llm.queries import op9_toxicity
+    from foliant.session import table
+
+    sf = "/root/testdata/sf0.1"
+    told = op9_toxicity(spark, sf).join(table(spark, sf, "labels"), "doc_id").where("toxic IS NOT NULL").cache()
+    both = [r for r in told.select("held_out", "toxic", "predicted", "word_mean", "word_peak").collect()]
+    held = [r for r in both if r["held_out"]]
+    hits = sum(r["toxic"] and r["predicted"] for r in held)
+    assert hits >= 0.85 * sum(r["toxic"] for r in held) and hits >= 0.85 * sum(r["predicted"] for r in held)
+    weights = toxicity.calibrate(told.where("NOT held_out").select(
+        "word_mean", "word_peak", F.lit(0.0).alias("peak_ratio"), (F.col("toxic") == 1).alias("label")))
+    alone = told.where("held_out").withColumn("peak_ratio", F.lit(0.0)).withColumn("s", toxicity.score(weights))
+    assert alone.where("toxic = 1 AND s >= 0.3").count() >= 0.8 * sum(r["toxic"] for r in held)
+    told.unpersist()
 
 
 @pytest.mark.parametrize("hot", [0, 6, 1000])
