@@ -6,7 +6,8 @@ a word is judged alone:
 - punctuation: more than ``max_symbols`` of its characters are symbols (``#*$%&|<>``), or it
   has at least four words and one exclamation or question mark for every two words;
 - navigation: at least three separators (``|``, ``»``, ``›``, ``•``), one for every four words;
-- boilerplate: at most ``boilerplate_words`` words with one of the phrases of BOILERPLATE.
+- boilerplate: one of the phrases of BOILERPLATE as whole words, in a line of at most ``boilerplate_times`` as
+  many words as the phrase has, so that a sentence that mentions one stays.
 
 Lines that fail are removed. A document is rejected if it fails the base rules (too few
 words, or too many words in repeated three-word windows), or if the removed lines hold more
@@ -33,9 +34,9 @@ SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = "|»›•"
 BOILERPLATE = (
-    "(?i)(all rights reserved|privacy policy|cookie policy|accept (all )?cookies|terms of (use|service)|"
+    r"(?i)(?:^|[^\p{L}\p{N}])(all rights reserved|privacy policy|cookie policy|accept (all )?cookies|terms of (use|service)|"
     "enable javascript|click here|read more|sign (in|up)|log ?in|subscribe (now|to our)|share this|skip to content|"
-    "back to top|lorem ipsum)"
+    r"back to top|lorem ipsum)(?:$|[^\p{L}\p{N}])"
 )
 RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines",
           "n_removed_lines", "removed_chars", "kept", "clean_text"]
@@ -77,7 +78,7 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 3, F.lit(0).cast("long")).otherwise(bind(windows, of_hashes))
 
 
-def _judge_lines(lines: Column, max_symbols: float, boilerplate_words: int) -> Column:
+def _judge_lines(lines: Column, max_symbols: float, boilerplate_times: int) -> Column:
     """array<struct<line, chars, bad>>: each line, its word characters, and whether a rule fails it."""
 
     def one(line: Column) -> Column:
@@ -88,7 +89,7 @@ def _judge_lines(lines: Column, max_symbols: float, boilerplate_words: int) -> C
                     (n["symbols"] > n["chars"] * max_symbols)
                     | ((n["words"] >= 4) & ((_how_many(solid, "!") + _how_many(solid, "?")) * 2 >= n["words"]))
                     | bind(sum((_how_many(solid, s) for s in SEPARATORS), F.lit(0)), lambda k: (k >= 3) & (k * 4 >= n["words"]))
-                    | ((n["words"] <= boilerplate_words) & line.rlike(BOILERPLATE)))).alias("bad"))))
+                    | bind(F.regexp_extract(line, BOILERPLATE, 1), lambda phrase: (phrase != "") & (n["words"] <= (_how_many(phrase, " ") + 1) * boilerplate_times)))).alias("bad"))))
 
     return F.transform(lines, one)
 
@@ -100,7 +101,7 @@ def judge(
     min_words: int = 50,
     max_repeat_percent: int = 50,
     max_symbols: float = 0.1,
-    boilerplate_words: int = 20,
+    boilerplate_times: int = 4,
     max_loss: float = 0.3,
 ) -> DataFrame:
     """The ``keep`` columns with the counts, ``base_failed``, ``kept`` and the ``clean_text`` without failed lines."""
@@ -116,7 +117,7 @@ def judge(
         bind(_drop(F.col("_text"), SPACES), lambda solid: F.struct(
             F.length(solid).cast("long").alias("chars"), (F.length(solid) - F.length(_drop(solid, SYMBOLS))).cast("long").alias("symbols"))).alias("_c"),
         worded.alias("_d"),
-        bind(_judge_lines(lines, max_symbols, boilerplate_words), lambda js: F.struct(
+        bind(_judge_lines(lines, max_symbols, boilerplate_times), lambda js: F.struct(
             F.size(F.filter(js, lambda j: j["bad"])).cast("long").alias("bad"),
             F.aggregate(js, F.lit(0).cast("long"), lambda a, j: a + F.when(j["bad"], j["chars"]).otherwise(0)).alias("lost"),
             F.array_join(F.transform(F.filter(js, lambda j: ~j["bad"]), lambda j: j["line"]), "\n").alias("text"))).alias("_l"))

@@ -112,7 +112,7 @@ _SQL_BAD_LINE = f"""
     len(solid) - len({_sql_drop('solid', "'" + quality.SYMBOLS + "'")}) > len(solid) * 0.1
     OR (nw >= 4 AND (len(solid) - len(translate(solid, '!?', ''))) * 2 >= nw)
     OR (len(solid) - len(translate(solid, '{quality.SEPARATORS}', '')) >= 3 AND (len(solid) - len(translate(solid, '{quality.SEPARATORS}', ''))) * 4 >= nw)
-    OR (nw <= 20 AND regexp_matches(line, '{quality.BOILERPLATE}')))
+    OR (regexp_extract(line, '{quality.BOILERPLATE}', 1) <> '' AND nw <= 4 * (1 + len(regexp_extract(line, '{quality.BOILERPLATE}', 1)) - len(replace(regexp_extract(line, '{quality.BOILERPLATE}', 1), ' ', '')))))
 """
 
 

@@ -116,3 +116,15 @@ def test_perspectives(spark, limit):
     for r in rows.collect():
         assert r["end"] - r["start"] == len(r["segment"]) and r["start"] <= r["mask_start"] <= r["mask_end"] == r["end"]
     assert chat.rotate(df.limit(0)).count() == 0
+
+
+def test_boilerplate_needs_whole_words_and_a_share_of_the_line(spark):
+    from foliant.llm import quality
+
+    prose = "the quick brown fox jumps over one lazy dog and then walks home along a narrow river path " * 4
+    kept = ["I posted this on my blog in March of last year", "The new design in blue is what they want", "We were told to click here by the man who runs the old shop on the hill"]
+    gone = ["Click here", "© 2020 Foo Inc. All rights reserved.", "éé sign in"]
+    docs = documents(spark, ["\n".join([prose, *kept, *gone])])
+    clean = quality.judge(docs, keep=["doc_id"]).first()
+    assert clean["n_removed_lines"] == len(gone)
+    assert all(k in clean["clean_text"] for k in kept) and not any(g in clean["clean_text"] for g in gone)
