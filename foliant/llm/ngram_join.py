@@ -12,18 +12,27 @@ similarity of at least ``threshold``.
    threshold meet in a run with a probability that follows from these numbers, and as many
    runs are made as ``recall`` asks for. No record needs another one for this, so all runs
    are one narrow pass.
-2. Buckets are counted, singles dropped, and of buckets with the same members one is kept. A
-   bucket of more than ``LIMIT`` records whose tokens differ is split on sampled tokens again,
-   up to ``MAX_DEPTH``; a large one of like records is cut into blocks, and pairs of blocks
-   are compared. Only links enough to connect what looks similar leave a task, never all
-   pairs.
+2. Buckets are counted, singles dropped, and of buckets with the same members one is kept.
+   Only links enough to connect what looks similar leave a task, never all pairs. A bucket
+   whose records are connected already has nothing to add, so three passes are made:
+
+   a. The buckets of the first ``EARLY`` runs, cut into blocks of ``LIMIT`` records; each
+      record is compared in its own block only.
+   b. The other runs, where a bucket holds the first and the last record of each connected
+      part, if it holds several parts.
+   c. Buckets that were not compared whole and still hold several parts, with all their
+      records. One of more than ``LIMIT`` records whose tokens differ is split on sampled
+      tokens again, up to ``MAX_DEPTH``; a large one of like records is cut into blocks, and
+      pairs of blocks are compared.
 3. The connected parts of these links are compared exactly: the shingles of their records
    are read again from the texts, in blocks of ``BLOCK`` records, each pair of blocks in one
    place. Each record gets its number of links, and a spanning set of exact links gives the
    classes.
 
-Copies are counted, not expanded. Large groups cost comparisons, not rows: a record is
-repeated once for each block of its group.
+Copies are counted, not expanded. A group of like records is joined by the first runs and
+takes no rows in the others but those of two records a bucket; so no link is lost, as all that
+a bucket can add is to connect parts that are not connected yet. In step 3 a record is repeated
+once for each block of its group.
 
 Cases: null and empty texts and texts without words have no shingle: they have no links and
 are classes of their own. Repeated rows are copies; a class without any id has a null
@@ -50,6 +59,8 @@ SKETCH = 64
 BRANCH = 1.5
 DEPTH = 2
 MAX_DEPTH = 5
+#: Runs that are compared first; two records that are alike meet in them with probability 0.96.
+EARLY = 2
 LIMIT = 1024
 BLOCK = 256
 #: Standard errors by which the share of equal tokens may lie below the threshold.
@@ -134,19 +145,22 @@ def _tokens(sketches: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(sketches.to_pylist()), np.uint32).reshape(len(sketches), SKETCH)
 
 
-def _paths(runs: int, threshold: float):
+def _paths(runs: range, threshold: float, also: tuple[str, ...] = ()):
+    """The buckets of each record in these runs; columns named in ``also`` come along."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
                 batch = whole.slice(lo, 2000)
-                token, record = _tokens(batch.column("sketch")), batch.column("record").to_numpy()
-                for r in range(runs):
-                    row = np.arange(len(record))
-                    node = np.full(len(record), mix(np.array([r + 1], np.uint64))[0])
+                token = _tokens(batch.column("sketch"))
+                for r in runs:
+                    row = np.arange(len(token))
+                    node = np.full(len(token), mix(np.array([r + 1], np.uint64))[0])
                     for _ in range(DEPTH):
                         at, node = _children(node, token[row], BRANCH / threshold / SKETCH)
                         row = row[at]
-                    yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64)), pa.array(record[row])], names=["node", "record"])
+                    own = [batch.column(c).take(pa.array(row)) for c in ("record", *also)]
+                    yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64)), *own], names=["node", "record", *also])
 
     return run
 
@@ -319,6 +333,12 @@ def _in_blocks(rows: DataFrame, group: str, members: str, most: int, salt: int)
         "*", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).drop("other")
 
 
+def _own_block(rows: DataFrame) -> DataFrame:
+    """Each row once, in a block of its bucket; the blocks are dealt anew in every bucket."""
+    block = F.pmod(F.xxhash64("node", "record"), F.ceil(F.col("n") / LIMIT)).cast("int")
+    return rows.withColumns({"x": block, "y": block})
+
+
 def _streamed(rows: DataFrame, keys: list[str], task: Callable, schema: str) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(task, schema)
 
@@ -328,18 +348,26 @@ def _bits(name: str) -> list:
     return [F.sum(F.conv(F.hex(F.substring("sketch", 4 * k + 1, 1)), 16, 10).cast("int").bitwiseAND(F.lit(1))).alias(f"{name}{k}") for k in range(16)]
 
 
-def _buckets(records: DataFrame, threshold: float, runs: int) -> DataFrame:
+def _shared(leaves: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Buckets (node, n) of several records, each set of members once; the leaves that may be in one, and those that are."""
+    leaves = cut_lineage(leaves)
+    counted = leaves.groupBy("node").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("record")).alias("p"), F.bit_xor(F.xxhash64("record", F.lit(7))).alias("q"))
+    kept = cut_lineage(counted.where("n > 1").groupBy("n", "p", "q").agg(F.min("node").alias("node")).select("node", "n"))
+    leaves = _filtered(leaves, kept)  # most buckets hold one record; they need no shuffle
+    return kept, leaves, leaves.join(kept, "node")
+
+
+def _filtered(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows whose node may be one of ``nodes``."""
+    return rows.mapInArrow(_only(rows.sparkSession.sparkContext.broadcast(wanted_table(nodes, "node"))), rows.schema)
+
+
+def _buckets(records: DataFrame, leaves: DataFrame, threshold: float) -> DataFrame:
     """(node, n, record): the buckets worth comparing, each set of members once."""
-    leaves = records.select("record", "sketch").mapInArrow(_paths(runs, threshold), "node long, record long")
     done = None
     for depth in range(DEPTH, MAX_DEPTH + 1):
-        leaves = cut_lineage(leaves)
-        counted = leaves.groupBy("node").agg(
-            F.count("*").alias("n"), F.bit_xor(F.xxhash64("record")).alias("p"), F.bit_xor(F.xxhash64("record", F.lit(7))).alias("q"))
-        kept = cut_lineage(counted.where("n > 1").groupBy("n", "p", "q").agg(F.min("node").alias("node")).select("node", "n"))
-        wanted = leaves.sparkSession.sparkContext.broadcast(wanted_table(kept, "node"))
-        leaves = leaves.mapInArrow(_only(wanted), leaves.schema)  # most buckets hold one record; they need no shuffle
-        full = leaves.join(kept, "node")
+        kept, leaves, full = _shared(leaves)
         large = kept.where(F.col("n") > LIMIT)
         if depth == MAX_DEPTH or large.isEmpty():
             return full if done is None else done.unionByName(full)
@@ -356,6 +384,52 @@ def _buckets(records: DataFrame, threshold: float, runs: int) -> DataFrame:
     return done
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) after more links."""
+    return cut_lineage(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links)))
+
+
+def _relabelled(rows: DataFrame, column: str, labels: DataFrame) -> DataFrame:
+    """Add ``label``, the part that the record in ``column`` belongs to; a record alone is its own part."""
+    told = labels.select(F.col("node").alias("_at"), F.col("label").alias("_label"))
+    return rows.join(told, F.col(column) == F.col("_at"), "left").withColumn("label", F.coalesce("_label", column)).drop("_at", "_label")
+
+
+def _likely(records: DataFrame, threshold: float, runs: int) -> DataFrame:
+    """(node, label): the connected parts of records that look similar in some bucket."""
+    paths = "node long, record long"
+    early = min(EARLY, runs)
+
+    def links(rows: DataFrame) -> DataFrame:
+        return _streamed(rows.join(records.select("record", "size", "sketch"), "record"), ["node", "x", "y"], _bucket_links(threshold), "a long, b long")
+
+    sketches = records.select("record", "sketch")
+    _, _, met = _shared(sketches.mapInArrow(_paths(range(early), threshold), paths))
+    met = cut_lineage(met)
+    labels = cut_lineage(components(links(_own_block(met))))
+
+    later = _relabelled(sketches, "record", labels).mapInArrow(_paths(range(early, runs), threshold, ("label",)), f"{paths}, label long")
+    first, last = F.min("record"), F.max("record")
+    # most parts of a bucket are one record that is its own label; nulls take no room
+    parts = cut_lineage(later.groupBy("node", "label").agg(
+        F.count("*").alias("members"), F.nullif(first, F.col("label")).alias("first"), F.when(first < last, last).alias("last")))
+    mixed = cut_lineage(parts.groupBy("node").agg(
+        F.sum(F.least("members", F.lit(2))).alias("n"), F.max("members").alias("most"), F.min("label").alias("a"), F.max("label").alias("b"),
+    ).where("a < b").select("node", "n", ((F.col("most") > 2) | (F.col("n") > LIMIT)).alias("in_part")))
+    parts = cut_lineage(_filtered(parts, mixed).join(mixed, "node"))
+    ends = F.array_compact(F.array(F.coalesce("first", "label"), "last"))
+    labels = _joined(labels, links(_own_block(parts.select("node", "n", F.explode(ends).alias("record")))))
+
+    left = parts.where("in_part").select("node", F.col("label").alias("record")).unionByName(
+        met.where(F.col("n") > LIMIT).select("node", "record"))
+    apart = cut_lineage(_relabelled(left, "record", labels).groupBy("node").agg(
+        F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("node"))
+    if apart.isEmpty():
+        return labels
+    leaves = _filtered(sketches.mapInArrow(_paths(range(runs), threshold), paths), apart).join(apart, "node", "left_semi")
+    return _joined(labels, links(_in_blocks(_buckets(records, leaves, threshold), "node", "n", LIMIT, 1)))
+
+
 def _read_again(shared):
     """(record, shingles) of the texts whose record may be wanted."""
 
@@ -433,11 +507,7 @@ def link(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("hash").alias("hash"))).alias("first")
     records = cut_lineage(made.where("record IS NOT NULL").groupBy("record").agg(
         first, F.count("*").alias("copies"), F.max("size").alias("size"), F.max("sketch").alias("sketch")))
-    buckets = _buckets(records, threshold, runs_for(recall))
-    sketched = buckets.join(records.select("record", "size", "sketch"), "record")
-    likely = components(_streamed(
-        _in_blocks(sketched, "node", "n", LIMIT, 1), ["node", "x", "y"], _bucket_links(threshold), "a long, b long"))
-    likely = cut_lineage(likely.select(F.col("node").alias("record"), "label"))
+    likely = _likely(records, threshold, runs_for(recall)).select(F.col("node").alias("record"), "label")
     sizes = likely.groupBy("label").agg(F.count("*").alias("n"))
     shared = documents.sparkSession.sparkContext.broadcast(wanted_table(likely, "record"))
     again = rows.select("_text").mapInArrow(_read_again(shared), "record long, shingles binary").groupBy("record").agg(

@@ -89,3 +89,55 @@ def test_spanning_connects_what_is_near():
 
 def test_runs_follow_the_recall():
     assert J.runs_for(0.9) < J.runs_for(0.999) < J.runs_for(0.999999)
+
+
+def near_group(seed, size, words, edits):
+    """Near copies of one text."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for _ in range(size):
+        own = list(base)
+        for _ in range(edits):
+            own[rng.randrange(words)] = f"x{rng.randrange(10**6)}"
+        out.append(" ".join(own))
+    return out
+
+
+def compared(spark, monkeypatch, texts):
+    """Rows that are dealt out to be compared by sketch."""
+    rows = []
+    streamed = J._streamed
+
+    def counting(frame, keys, *rest):
+        if keys[0] == "node":
+            rows.append(frame.count())
+        return streamed(frame, keys, *rest)
+
+    with monkeypatch.context() as m:
+        m.setattr(J, "_streamed", counting)
+        J.link(documents(spark, texts)).count()
+    return sum(rows)
+
+
+def test_a_group_that_is_joined_takes_few_rows_in_later_runs(spark, monkeypatch):
+    monkeypatch.setattr(J, "LIMIT", 32)
+    texts = near_group(5, 320, 400, 2)
+    assert compared(spark, monkeypatch, texts) < 16 * len(texts)  # 28 buckets a record, in up to 10 blocks, without
+
+
+def test_links_beyond_a_joined_group_are_found(spark, monkeypatch):
+    """Texts that only some records of a large group are near to, and chains of such texts."""
+    monkeypatch.setattr(J, "LIMIT", 16)
+    monkeypatch.setattr(J, "BLOCK", 8)
+    group = near_group(7, 90, 120, 2)
+    rng = random.Random(8)
+    far = []
+    for i in range(12):
+        own = group[7 * i].split()
+        for _ in range(3):
+            own[rng.randrange(len(own))] = f"y{rng.randrange(10**6)}"
+        far.append(" ".join(own))
+        own = own[:10] + own[14:]
+        far.append(" ".join(own))
+    check(spark, [*group, *far, *corpus(9, 4, 20)])
