@@ -13,10 +13,10 @@ from foliant.session import shared_folder
 
 
 def read_table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 1000) -> DataFrame:
-    """A stream over the files of one given table."""
+    """A stream over the files of one given table, which is a file or a folder of files."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", files_per_batch).parquet(sf_dir))
+    # A file stream takes its path for a folder, unless the path is a pattern.
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def drain(stream: DataFrame, keys: list[str] | None = None, mode: str = "append") -> DataFrame:

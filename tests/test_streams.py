@@ -120,3 +120,22 @@ def test_repeats_within_time(spark, tmp_path):
     schema = "fingerprint string, t string"
     s = stream_of(spark, tmp_path, rows, schema, files=1).withColumn("ts", F.to_timestamp("t"))
     assert run.drain(rates.drop_repeats(s, "ts", ["fingerprint"])).count() == 2
+
+
+def test_a_table_of_several_files_is_read_as_a_stream(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    rows = [(c, t, "assistant" if t % 2 else "user", f"words of {c} and {t} that go on " + ("as an AI it is " * (c % 3)) + "to their end") for c in range(12) for t in range(4)]
+    said = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    said.repartition(3).write.parquet(f"{tmp_path}/many/conversations.parquet")
+    said.coalesce(1).write.parquet(f"{tmp_path}/parts")
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "parts").glob("part-*")).rename(tmp_path / "one/conversations.parquet")
+    found = queries()
+    shown = lambda df: sorted(map(str, df.collect()))
+    for at in ("one", "many"):
+        want = found["guarded_responses"](spark, f"{tmp_path}/{at}")
+        assert shown(found["guarded_stream"](spark, f"{tmp_path}/{at}").select(*want.columns)) == shown(want)
+        texts = found["assembled_responses"](spark, f"{tmp_path}/{at}")
+        judged = texts.select("response_id", (~F.lower("text").rlike("dangerous|as an ai|stupid|ignore all previous")).alias("allowed"))
+        assert shown(found["audited_stream"](spark, f"{tmp_path}/{at}")) == shown(judged)
