@@ -19,6 +19,8 @@ from foliant.operators.joins import salted_join
 from foliant.session import cut_lineage
 
 GROUP_LIMIT = 5_000_000
+#: Rows that a task of a window sorts, where no single group has more.
+PART_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -57,6 +59,23 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     return counts.agg(F.max("count")).first()[0] or 0
 
 
+def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """Rows of the largest group, and of all."""
+    counts = df.groupBy(*keys).count() if keys else df.groupBy().count()
+    largest, rows = counts.agg(F.max("count"), F.sum("count")).first()
+    return largest or 0, rows or 0
+
+
+def dealt(df: DataFrame, keys: list[str], rows: int, part_rows: int | None = None) -> DataFrame:
+    """Whole groups over partitions of about ``PART_ROWS`` rows.
+
+    Adaptive execution joins shuffled partitions by their packed size, and a window over narrow rows that
+    pack well then sorts many times that in one task. So the partitions of a large table are counted by rows.
+    """
+    most = PART_ROWS if part_rows is None else part_rows
+    return df if rows <= most else df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // most)), *keys)
+
+
 def with_parts(df: DataFrame, keys: list[str], order: list[str], parts: int | None = None) -> DataFrame:
     """Add ``_part``, a number that rises with (keys, order), of even row counts.
 
@@ -86,9 +105,9 @@ def running(
 
     Without keys the whole table is one group and is always summed in parts.
     """
-    largest = largest_group(df, keys) if known_largest is None else known_largest
+    largest, rows = group_sizes(df, keys) if known_largest is None else (known_largest, 0)
     if keys and largest <= group_limit:
-        out = df
+        out = dealt(df, keys, rows)
         for run in runs:
             value = run.fold().over(_frame(keys, order, run.exclusive))
             out = out.withColumn(run.name, value if run.kind == "max" else F.coalesce(value, F.lit(0)))

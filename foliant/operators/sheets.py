@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from foliant.functions.text import strip
 from foliant.operators.joins import salted_join
-from foliant.operators.ordered import GROUP_LIMIT, Run, largest_group, running
+from foliant.operators.ordered import GROUP_LIMIT, Run, dealt, group_sizes, running
 
 # Page rules of sheets.
 BREAK_MARK = "<<<PAGE_BREAK>>>"
@@ -54,13 +54,16 @@ def page_segments(rows: DataFrame, is_table: Column | None = None, header_rows:
     page also starts after ``page_rows`` data rows. All three counters are running
     sums, so no sheet needs to be walked row by row.
     """
-    known = {"group_limit": group_limit, "known_largest": largest_group(rows, SHEET)}
+    largest, n_rows = group_sizes(rows, SHEET)
+    known = {"group_limit": group_limit, "known_largest": largest}
     is_table = F.lit(True) if is_table is None else is_table
     after_first = F.col("row") > 0
     blank = ~F.exists("cells", filled)
     marked = F.exists("cells", lambda c: F.coalesce(c.contains(mark), F.lit(False))) if mark else F.lit(False)
     out = rows.withColumns({"_blank": blank & after_first, "_mark": marked & after_first})
     out = out.withColumn("_solid", (~F.col("_blank")).cast("int"))
+    if largest <= group_limit:
+        out = dealt(out, SHEET, n_rows)  # all windows below keep these partitions
     out = running(out, SHEET, ["row"], [Run("_run", "sum", F.col("_solid"))], **known)
     out = running(out, [*SHEET, "_run"], ["row"], [Run("_place", "sum", F.col("_blank").cast("int"))], **known)
     by_blank = F.col("_blank") & (F.col("_place") == blank_rows) if blank_rows > 0 else F.lit(False)

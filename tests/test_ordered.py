@@ -89,3 +89,16 @@ def test_scratch_tables_go(spark):
         assert cut_lineage(spark.range(5)).count() == 5
         assert set(os.listdir(home)) > before
     assert set(os.listdir(home)) == before and kept.count() == 3
+
+
+def test_parts_of_a_window_are_counted_by_rows(spark, monkeypatch):
+    import foliant.operators.ordered as O
+    import foliant.operators.sheets as H
+
+    monkeypatch.setattr(O, "PART_ROWS", 100)
+    rows = spark.range(3000).select(F.lit("d").alias("doc"), F.concat(F.lit("s"), (F.col("id") % 60).cast("string")).alias("sheet"),
+                                    F.floor(F.col("id") / 60).alias("row"), F.array(F.col("id").cast("string")).alias("cells"))
+    for out in (row_numbers(rows, ["sheet"], ["row"], "n"), H.page_segments(rows)):
+        assert out.count() == 3000
+        assert max(r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) <= 800  # not all in one
+    assert {r["n"] - r["row"] for r in row_numbers(rows, ["sheet"], ["row"], "n").collect()} == {1}
