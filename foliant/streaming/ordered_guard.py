@@ -1,9 +1,11 @@
 """The response guard on keyed state with timers, for deltas that arrive in any order.
 
 Each response has a value state (the open buffer, the next sequence number, whether it ended) and
-a map state of deltas that came before their turn. A delta in its turn never touches the map; a
-batch that closes a gap takes as many waiting deltas as follow. So what is passed on and where a
-response is blocked does not depend on how the deltas were dealt over batches.
+a map state of deltas that came before their turn, ``BLOCK`` numbers to an entry: each call of a
+state is a message to the executor and back, so a batch calls it by block and not by delta. A delta
+in its turn never touches the map; a batch that closes a gap takes as many waiting deltas as follow.
+So what is passed on and where a response is blocked does not depend on how the deltas were dealt
+over batches.
 
 A timer is set when a response is touched. When nothing came for ``idle_ms`` the waiting deltas
 are taken in order, gaps or not, the rest is scanned, and what is kept shrinks to a mark that the
@@ -14,9 +16,11 @@ batch reads only those of the responses it touches.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +32,10 @@ OUT = "response_id string, seq bigint, kind string, text string"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Sequence numbers in one entry of the waiting deltas.
+BLOCK = 64
+
+
 def use_rocks(spark: SparkSession) -> None:
     """Keyed state with timers needs this state store; a cluster may have set it already."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
@@ -41,7 +49,7 @@ class ResponseGuard(StatefulProcessor):
         self.handle = handle
         self.unsafe = re.compile("|".join(f"(?:{r})" for r in self.rules), re.IGNORECASE)
         self.progress = handle.getValueState("progress", "buffer string, held string, next bigint, ended boolean")
-        self.waiting = handle.getMapState("waiting", "seq bigint", "text string, done boolean, error string")
+        self.waiting = handle.getMapState("waiting", "block bigint", "deltas string")
 
     def close(self) -> None:
         pass
@@ -82,33 +90,52 @@ class ResponseGuard(StatefulProcessor):
         return buffer, held, False
 
     def _frames(self, out: list[tuple]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame(out, columns=["response_id", "seq", "kind", "text"]).astype({"seq": "int64"})
+        name, seq, kind, text = zip(*out)
+        yield pd.DataFrame({"response_id": name, "seq": np.array(seq, np.int64), "kind": kind, "text": text})
+
+    def _block(self, block: int) -> dict[int, tuple]:
+        """The waiting deltas of a block by their numbers."""
+        kept = self.waiting.getValue((block,))
+        return {seq: tuple(delta) for seq, *delta in json.loads(kept[0])} if kept else {}
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         name, out = key[0], []
-        buffer, held, turn, ended = self.progress.get() if self.progress.exists() else ("", "", 0, False)
+        buffer, held, turn, ended = self.progress.get() or ("", "", 0, False)
         if not ended:
             fresh: dict[int, tuple] = {}
             for frame in rows:  # what is not in its turn is kept, not held in one frame
-                for seq, text, done, error in frame[["seq", "text", "done", "error"]].itertuples(index=False):
+                for seq, text, done, error in zip(*(frame[c].tolist() for c in ("seq", "text", "done", "error"))):
                     if int(seq) >= turn:
                         fresh.setdefault(int(seq), (text if isinstance(text, str) else None, bool(done), error if isinstance(error, str) else None))
-            started = turn
+            started, blocks, changed = turn, {}, set()
             while not ended:
                 delta = fresh.pop(turn, None)
                 if delta is None:
-                    if turn == started and not fresh or not self.waiting.containsKey((turn,)):
+                    if turn == started:  # a delta whose turn it is never waits
+                        break
+                    at = turn // BLOCK
+                    if at not in blocks:
+                        blocks[at] = self._block(at)
+                    delta = blocks[at].pop(turn, None)
+                    if delta is None:
                         break
-                    delta = tuple(self.waiting.getValue((turn,)))
-                    self.waiting.removeKey((turn,))
+                    changed.add(at)
                 buffer, held, ended = self._take(name, turn, delta, (buffer, held, ended), out)
                 turn += 1
-            for seq, delta in fresh.items():
-                if ended:
-                    break
-                self.waiting.updateValue((seq,), delta)
             if ended:
                 self.waiting.clear()
+            else:
+                for seq, delta in fresh.items():
+                    at = seq // BLOCK
+                    if at not in blocks:
+                        blocks[at] = self._block(at)
+                    blocks[at][seq] = delta
+                    changed.add(at)
+                for at in changed:
+                    if any(seq >= turn for seq in blocks[at]):
+                        self.waiting.updateValue((at,), (json.dumps([(seq, *d) for seq, d in blocks[at].items() if seq >= turn]),))
+                    elif self.waiting.containsKey((at,)):
+                        self.waiting.removeKey((at,))
             self.progress.update((buffer, held, turn, ended))
         if self.idle_ms is not None:
             self._wake(timerValues)
@@ -122,15 +149,16 @@ class ResponseGuard(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         name, out = key[0], []
-        buffer, held, turn, ended = self.progress.get() if self.progress.exists() else ("", "", 0, True)
+        buffer, held, turn, ended = self.progress.get() or ("", "", 0, True)
         if ended:
             self.progress.clear()
             self.waiting.clear()
             return
         state = (buffer, held, False)
-        for seq, delta in sorted((k[0], tuple(v)) for k, v in self.waiting.iterator()):
-            if not state[2]:
-                state, turn = self._take(name, seq, delta, state, out), seq + 1
+        for block in sorted(k[0] for k in self.waiting.keys()):
+            for seq, delta in sorted(self._block(block).items()):
+                if not state[2]:
+                    state, turn = self._take(name, seq, delta, state, out), seq + 1
         if not state[2]:
             self._rest(name, turn - 1, state[0], state[1], out)
         self.waiting.clear()

@@ -97,3 +97,44 @@ def test_sessions_bridge_and_hot_key(spark):
     end = spark.createDataFrame([("end", 10**7, 200)], "user_id string, s long, status int").select("user_id", F.timestamp_seconds("s").alias("ts"), "status")
     got = run.drain_slices([*slices, end], lambda s: rates.sessions(s, "ts", ["user_id"], "300 seconds", late="3 days"))
     assert shown(got) == sorted(want)
+
+
+class Kept(dict):
+    """A state in memory that counts its calls."""
+
+    calls = 0
+
+    def get(self, *_):
+        Kept.calls += 1
+        return dict.get(self, 0)
+
+    getValue = lambda self, key: self._counted(dict.get(self, key))
+    containsKey = lambda self, key: self._counted(key in self)
+    removeKey = lambda self, key: self._counted(self.pop(key))
+    updateValue = lambda self, key, value: self._counted(self.__setitem__(key, value))
+    exists = lambda self: self._counted(0 in self)
+
+    def update(self, value):
+        self._counted(self.__setitem__(0, value))
+
+    @staticmethod
+    def _counted(value):
+        Kept.calls += 1
+        return value
+
+
+def test_states_are_called_by_block(monkeypatch):
+    """A response of 200 deltas whose first comes last: one call a delta was too many."""
+    import pandas as pd
+
+    handle = type("Handle", (), {"getValueState": lambda *_: Kept(), "getMapState": lambda *_: Kept()})()
+    work = ordered_guard.ResponseGuard(RULES, 40, False, False, None)
+    work.init(handle)
+    monkeypatch.setattr(Kept, "calls", 0)
+    order = random.Random(4).sample(range(1, 200), 199)
+    got = []
+    for lot in [order[i::4] for i in range(4)] + [[0]]:
+        rows = pd.DataFrame({"seq": lot, "text": [f"t{s} " for s in lot], "done": [s == 199 for s in lot], "error": [None] * len(lot)})
+        got += [r for f in work.handleInputRows(("r",), iter([rows]), None) for r in f.itertuples(index=False)]
+    assert [(r.seq, r.text) for r in got] == [(s, f"t{s} ") for s in range(200)]
+    assert Kept.calls < 60
