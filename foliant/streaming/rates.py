@@ -24,9 +24,10 @@ def sessions(requests: DataFrame, ts: str, keys: list[str], gap: str, late: str
     """
     requests.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     rows = requests.withWatermark(ts, late) if requests.isStreaming else requests
-    counts = rows.groupBy(F.session_window(ts, gap).alias("w"), *keys).agg(
+    # Spark joins sessions that touch, so the gap is taken a microsecond short
+    counts = rows.groupBy(F.session_window(ts, f"{gap} -1 microseconds").alias("w"), *keys).agg(
         F.count(F.lit(1)).alias("requests"), F.count_if(F.col("status") >= 400).alias("failed"))
-    return counts.select(*keys, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "requests", "failed")
+    return counts.select(*keys, F.col("w.start").alias("session_start"), (F.col("w.end") + F.expr("INTERVAL 1 MICROSECOND")).alias("session_end"), "requests", "failed")
 
 
 def drop_repeats(requests: DataFrame, ts: str, keys: list[str], within: str = "10 seconds") -> DataFrame:
