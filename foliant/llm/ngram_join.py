@@ -26,8 +26,8 @@ similarity of at least ``threshold``.
       pairs of blocks are compared.
 3. The connected parts of these links are compared exactly: the shingles of their records
    are read again from the texts, in blocks of ``BLOCK`` records, each pair of blocks in one
-   place. Each record gets its number of links, and a spanning set of exact links gives the
-   classes.
+   place. Each record gets its number of links, and what exact links connect is one
+   class.
 
 Copies are counted, not expanded. A group of like records is joined by the first runs and
 takes no rows in the others but those of two records a bucket; so no link is lost, as all that
@@ -172,7 +172,8 @@ def _deeper(threshold: float):
                 batch = whole.slice(lo, 4000)
                 # A node that is split again samples more, so that its pairs are not lost.
                 at, node = _children(batch.column("node").to_numpy().astype(np.uint64), _tokens(batch.column("sketch")), 2 * BRANCH / threshold / SKETCH)
-                yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64)), batch.column("record").take(pa.array(at))], names=["node", "record"])
+                own = [batch.column(c).take(pa.array(at)) for c in ("record", "bits")]
+                yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64)), *own], names=["node", "record", "bits"])
 
     return run
 
@@ -230,6 +231,14 @@ def spanning(near: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
+def stars(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges from the first row of each part of a symmetric boolean matrix to its others."""
+    first: dict[int, int] = {}
+    for at, new in spanning(near):
+        first[new] = first.get(at, at)
+    return [(root, other) for other, root in first.items()]
+
+
 def _near_sketches(token: np.ndarray, size: np.ndarray, least: int, threshold: float) -> np.ndarray:
     n = len(token)
     near = np.zeros((n, n), bool)
@@ -243,7 +252,7 @@ def _near_sketches(token: np.ndarray, size: np.ndarray, least: int, threshold: f
 
 
 def _bucket_links(threshold: float):
-    """Spanning links among the records of each bucket, or pair of blocks, whose sketches agree."""
+    """Links that connect the records of each bucket, or pair of blocks, whose sketches agree."""
     least = math.floor((threshold - SLACK * math.sqrt(threshold * (1 - threshold) / SKETCH)) * SKETCH)
     keys = ["node", "x", "y"]
 
@@ -259,7 +268,7 @@ def _bucket_links(threshold: float):
                         a.append(record[lo])
                         b.append(record[lo + 1])
                     continue
-                for i, j in spanning(_near_sketches(token[lo:hi], size[lo:hi], least, threshold)):
+                for i, j in stars(_near_sketches(token[lo:hi], size[lo:hi], least, threshold)):
                     a.append(record[lo + i])
                     b.append(record[lo + j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -289,7 +298,7 @@ def _counts(code: list[np.ndarray]) -> np.ndarray:
 
 
 def _exact_links(threshold: float):
-    """Of each pair of blocks: links and linked documents by record, and spanning exact links."""
+    """Of each pair of blocks: links and linked documents by record, and pairs that connect what is linked."""
     keys = ["label", "x", "y"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +322,7 @@ def _exact_links(threshold: float):
                     b.append(None)
                     links.append(int(near[i].sum()))
                     documents.append(int(copies[lo:hi][near[i]].sum()))
-                for i, j in spanning(near):
+                for i, j in stars(near):
                     a.append(record[lo + i])
                     b.append(record[lo + j])
                     links.append(0)
@@ -340,22 +349,24 @@ def _own_block(rows: DataFrame) -> DataFrame:
 
 
 def _streamed(rows: DataFrame, keys: list[str], task: Callable, schema: str) -> DataFrame:
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(task, schema)
+    # the records of a group in order, so that stars() has its smallest one in the middle and components() few rounds
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "record").mapInArrow(task, schema)
 
 
-def _bits(name: str) -> list:
-    """Sums of sixteen low bits of the sketch, from which the mean likeness of a bucket follows."""
-    return [F.sum(F.conv(F.hex(F.substring("sketch", 4 * k + 1, 1)), 16, 10).cast("int").bitwiseAND(F.lit(1))).alias(f"{name}{k}") for k in range(16)]
+def _bits():
+    """Sixteen low bits of the sketch, from which the mean likeness of a bucket follows."""
+    low = (F.conv(F.hex(F.substring("sketch", 4 * k + 1, 1)), 16, 10).cast("int").bitwiseAND(F.lit(1)) for k in range(16))
+    return sum((F.shiftleft(bit, k) for k, bit in enumerate(low)), F.lit(0)).alias("bits")
 
 
-def _shared(leaves: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Buckets (node, n) of several records, each set of members once; the leaves that may be in one, and those that are."""
+def _shared(leaves: DataFrame, **told) -> tuple[DataFrame, DataFrame]:
+    """Buckets (node, n, what is ``told`` of its members) of several records, each set of members once; the leaves in them."""
     leaves = cut_lineage(leaves)
     counted = leaves.groupBy("node").agg(
-        F.count("*").alias("n"), F.bit_xor(F.xxhash64("record")).alias("p"), F.bit_xor(F.xxhash64("record", F.lit(7))).alias("q"))
-    kept = cut_lineage(counted.where("n > 1").groupBy("n", "p", "q").agg(F.min("node").alias("node")).select("node", "n"))
-    leaves = _filtered(leaves, kept)  # most buckets hold one record; they need no shuffle
-    return kept, leaves, leaves.join(kept, "node")
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("record")).alias("p"), F.bit_xor(F.xxhash64("record", F.lit(7))).alias("q"),
+        *[made.alias(name) for name, made in told.items()])
+    kept = cut_lineage(counted.where("n > 1").groupBy("n", "p", "q", *told).agg(F.min("node").alias("node")).select("node", "n", *told))
+    return kept, _filtered(leaves, kept).join(kept, "node")  # most buckets hold one record; they need no shuffle
 
 
 def _filtered(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -363,24 +374,23 @@ def _filtered(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.mapInArrow(_only(rows.sparkSession.sparkContext.broadcast(wanted_table(nodes, "node"))), rows.schema)
 
 
-def _buckets(records: DataFrame, leaves: DataFrame, threshold: float) -> DataFrame:
-    """(node, n, record): the buckets worth comparing, each set of members once."""
+def _buckets(sketches: DataFrame, leaves: DataFrame, threshold: float) -> DataFrame:
+    """(node, n, record): the buckets worth comparing, each set of members once; leaves are joined once at each depth."""
+    # Mean agreement of one bit of the tokens in a bucket is (1 + likeness) / 2.
+    shares = [F.avg(F.shiftright("bits", k).bitwiseAND(F.lit(1))) for k in range(16)]
+    agree = sum((F.pow(s, 2) + F.pow(1 - s, 2) for s in shares), F.lit(0.0)) / 16
+    split = ~F.col("alike") & (F.col("n") > LIMIT)
     done = None
     for depth in range(DEPTH, MAX_DEPTH + 1):
-        kept, leaves, full = _shared(leaves)
-        large = kept.where(F.col("n") > LIMIT)
-        if depth == MAX_DEPTH or large.isEmpty():
-            return full if done is None else done.unionByName(full)
-        # Mean agreement of one bit of the tokens in a bucket is (1 + likeness) / 2.
-        held = leaves.join(large, "node").join(records.select("record", "sketch"), "record")
-        shares = held.groupBy("node").agg(F.first("n").alias("n"), *_bits("s"))
-        agree = sum((F.pow(F.col(f"s{k}") / F.col("n"), 2) + F.pow(1 - F.col(f"s{k}") / F.col("n"), 2) for k in range(16)), F.lit(0.0)) / 16
-        split = cut_lineage(shares.select("node", (2 * agree - 1 >= threshold / 2).alias("alike"))).where("NOT alike").select("node")
-        finished = full.join(split, "node", "left_anti")
+        kept, full = _shared(leaves, alike=2 * agree - 1 >= threshold / 2)
+        last = depth == MAX_DEPTH or kept.where(split).isEmpty()
+        full = full if last else cut_lineage(full)
+        finished = (full if last else full.where(~split)).select("node", "n", "record")
         done = finished if done is None else done.unionByName(finished)
-        if split.isEmpty():
+        if last:
             return done
-        leaves = held.join(split, "node").select("node", "record", "sketch").mapInArrow(_deeper(threshold), "node long, record long").distinct()
+        leaves = full.where(split).select("node", "record").join(sketches, "record").mapInArrow(
+            _deeper(threshold), "node long, record long, bits int").distinct()
     return done
 
 
@@ -404,7 +414,7 @@ def _likely(records: DataFrame, threshold: float, runs: int) -> DataFrame:
         return _streamed(rows.join(records.select("record", "size", "sketch"), "record"), ["node", "x", "y"], _bucket_links(threshold), "a long, b long")
 
     sketches = records.select("record", "sketch")
-    _, _, met = _shared(sketches.mapInArrow(_paths(range(early), threshold), paths))
+    _, met = _shared(sketches.mapInArrow(_paths(range(early), threshold), paths))
     met = cut_lineage(met)
     labels = cut_lineage(components(links(_own_block(met))))
 
@@ -426,8 +436,9 @@ def _likely(records: DataFrame, threshold: float, runs: int) -> DataFrame:
         F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("node"))
     if apart.isEmpty():
         return labels
-    leaves = _filtered(sketches.mapInArrow(_paths(range(runs), threshold), paths), apart).join(apart, "node", "left_semi")
-    return _joined(labels, links(_in_blocks(_buckets(records, leaves, threshold), "node", "n", LIMIT, 1)))
+    sketches = records.select("record", "sketch", _bits())
+    leaves = _filtered(sketches.mapInArrow(_paths(range(runs), threshold, ("bits",)), f"{paths}, bits int"), apart).join(apart, "node", "left_semi")
+    return _joined(labels, links(_in_blocks(_buckets(sketches, leaves, threshold), "node", "n", LIMIT, 1)))
 
 
 def _read_again(shared):
@@ -519,8 +530,8 @@ def link(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     counts = judged.where("b IS NULL").groupBy(F.col("a").alias("record")).agg(
         F.sum("links").alias("links"), F.sum("documents").alias("documents"))
     classes = components(judged.where("b IS NOT NULL").select("a", "b")).select(F.col("node").alias("record"), "label")
-    told = records.select("record", "first", "copies").join(counts, "record", "left").join(classes, "record", "left").select(
-        "record", "first", "copies", "links", "documents", F.coalesce("label", "record").alias("class_key"))
+    told = cut_lineage(records.select("record", "first", "copies").join(counts, "record", "left").join(classes, "record", "left").select(
+        "record", "first", "copies", "links", "documents", F.coalesce("label", "record").alias("class_key")))
     heads = told.groupBy("class_key").agg(F.min("first").alias("head"))
     told = told.join(heads, "class_key").select(
         "record", "class_key", "head", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("documents", F.lit(0)).alias("documents"))

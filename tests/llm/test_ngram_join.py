@@ -141,3 +141,48 @@ def test_links_beyond_a_joined_group_are_found(spark, monkeypatch):
         own = own[:10] + own[14:]
         far.append(" ".join(own))
     check(spark, [*group, *far, *corpus(9, 4, 20)])
+
+
+def passage_group(seed, size):
+    """Texts of a common passage and as many words of their own: in the same buckets, but not near."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(100)]
+    return [" ".join(passage + [word() for _ in range(60)]) for _ in range(size)]
+
+
+def test_records_of_a_bucket_that_is_split_are_joined_once(spark, monkeypatch):
+    monkeypatch.setattr(J, "LIMIT", 16)
+    monkeypatch.setattr(J, "BLOCK", 8)
+    texts = passage_group(11, 150)
+    rows = {"leaves": 0, "joined": 0}
+    shared, join = J._shared, type(spark.range(1)).join
+
+    def counting_leaves(leaves, *rest, **more):
+        rows["leaves"] += leaves.count()
+        return shared(leaves, *rest, **more)
+
+    def counting_join(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if isinstance(on, str) and on == "node" and how is None and "record" in self.columns:
+            rows["joined"] += out.count()
+        return out
+
+    with monkeypatch.context() as m:
+        m.setattr(J, "_shared", counting_leaves)
+        m.setattr(type(spark.range(1)), "join", counting_join)
+        J.link(documents(spark, texts)).count()
+    assert 0 < rows["joined"] <= rows["leaves"]  # each depth of the large buckets was joined three times
+    check(spark, [*texts[:40], *corpus(12, 3, 8)])
+
+
+def test_stars_connect_what_is_near():
+    rng = np.random.default_rng(4)
+    near = rng.random((40, 40)) < 0.03
+    near |= near.T
+    np.fill_diagonal(near, False)
+    part = list(range(40))
+    for _ in range(40):
+        for i, j in zip(*np.nonzero(near)):
+            part[i] = part[j] = min(part[i], part[j])
+    assert sorted(J.stars(near)) == sorted((p, i) for i, p in enumerate(part) if p != i)
