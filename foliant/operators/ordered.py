@@ -100,12 +100,14 @@ def running(
     runs: list[Run],
     group_limit: int = GROUP_LIMIT,
     known_largest: int | None = None,
+    known_rows: int = 0,
 ) -> DataFrame:
     """Add running values per ``keys`` in ascending ``order`` (which must be unique in a group).
 
-    Without keys the whole table is one group and is always summed in parts.
+    Without keys the whole table is one group and is always summed in parts. With ``known_largest``
+    the rows are not counted; they are dealt by ``known_rows``, or not at all.
     """
-    largest, rows = group_sizes(df, keys) if known_largest is None else (known_largest, 0)
+    largest, rows = group_sizes(df, keys) if known_largest is None else (known_largest, known_rows)
     if keys and largest <= group_limit:
         out = dealt(df, keys, rows)
         for run in runs:

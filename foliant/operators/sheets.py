@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from foliant.functions.text import strip
 from foliant.operators.joins import salted_join
@@ -26,35 +27,68 @@ def filled(value: Column) -> Column:
     return strip(F.coalesce(value, F.lit(""))) != ""
 
 
-def detect_tables(cells: DataFrame) -> DataFrame:
+def detect_tables(cells: DataFrame, in_place: bool = False) -> DataFrame:
     """One row per sheet: ``is_table`` and ``n_columns``.
 
     A table has three rows or more, two filled cells in the first, and at least
     half of them filled in 70 % of the next ten rows.
+
+    With ``in_place`` it takes sheet rows and adds ``_is_table`` and ``_n_columns`` to each, by windows over whole
+    sheets: rows that lie by sheet stay where they are. No sheet may then be larger than a task can sort.
     """
+    if in_place:
+        return _tables_in_place(cells)
     bounds = cells.groupBy(*SHEET).agg(F.min("row").alias("first"), F.max("row").alias("last"))
     head = salted_join(cells, bounds, SHEET).where("row <= first + 10")
     counts = head.groupBy(*SHEET, "first", "last", "row").agg(F.count_if(filled(F.col("value"))).alias("n"))
     tops = counts.groupBy(*SHEET, "first", "last").agg(
         F.max(F.when(F.col("row") == F.col("first"), F.col("n"))).alias("header_cells"),
         F.sort_array(F.collect_list(F.when(F.col("row") > F.col("first"), F.col("n")))).alias("ns"))
+    alike = F.size(F.filter("ns", lambda n: _alike(n, F.col("header_cells"))))
+    is_table = _is_table(F.col("first"), F.col("last"), F.col("header_cells"), alike)
+    return tops.select(*SHEET, is_table.alias("is_table"), F.when(is_table, F.col("header_cells")).otherwise(0).alias("n_columns"))
+
+
+def _alike(n: Column, header_cells: Column) -> Column:
+    return n >= header_cells * 0.5
+
+
+def _is_table(first: Column, last: Column, header_cells: Column, alike: Column) -> Column:
     # rows without any cell count as checked and as unlike the header
-    checked = F.least(F.col("last") - F.col("first"), F.lit(10))
-    alike = F.size(F.filter("ns", lambda n: n >= F.col("header_cells") * 0.5))
-    is_table = (F.col("last") - F.col("first") >= 2) & (F.col("header_cells") >= 2) & (alike / checked >= 0.7)
-    return tops.select(*SHEET, F.coalesce(is_table, F.lit(False)).alias("is_table"),
-                       F.when(is_table, F.col("header_cells")).otherwise(0).alias("n_columns"))
+    checked = F.least(last - first, F.lit(10))
+    return F.coalesce((last - first >= 2) & (header_cells >= 2) & (alike / checked >= 0.7), F.lit(False))
+
+
+def _tables_in_place(rows: DataFrame) -> DataFrame:
+    sheet, order = W.partitionBy(*SHEET), W.partitionBy(*SHEET).orderBy("row")
+    # a row number that comes twice is one row
+    n = F.sum(F.coalesce(F.size(F.filter("cells", filled)), F.lit(0))).over(order.rangeBetween(W.currentRow, W.currentRow))
+    out = rows.withColumns({"_n": n, "_above": F.lag("row").over(order)})
+    own = (F.col("_n") > 0) & ~F.col("_above").eqNullSafe(F.col("row"))
+    held = F.when(F.col("_n") > 0, F.col("row"))
+    out = out.withColumns({"_first": F.min(held).over(sheet), "_last": F.max(held).over(sheet)})
+    out = out.withColumn("_top", F.max(F.when(F.col("row") == F.col("_first"), F.col("_n"))).over(sheet))
+    near = (F.col("row") > F.col("_first")) & (F.col("row") <= F.col("_first") + 10)
+    alike = F.count_if(own & near & _alike(F.col("_n"), F.col("_top"))).over(sheet)
+    out = out.withColumn("_alike", alike)
+    named = F.col(SHEET[0]).isNotNull() & F.col(SHEET[1]).isNotNull()
+    out = out.withColumn("_is_table", named & _is_table(F.col("_first"), F.col("_last"), F.col("_top"), F.col("_alike")))
+    out = out.withColumn("_n_columns", F.when(F.col("_is_table"), F.col("_top")).otherwise(0))
+    return out.drop("_n", "_above", "_first", "_last", "_top", "_alike")
 
 
 def page_segments(rows: DataFrame, is_table: Column | None = None, header_rows: int | Column = 1, blank_rows: int = BLANK_ROWS,
-                  mark: str = BREAK_MARK, page_rows: int = ROWS_PER_PAGE, group_limit: int = GROUP_LIMIT) -> DataFrame:
+                  mark: str = BREAK_MARK, page_rows: int = ROWS_PER_PAGE, group_limit: int = GROUP_LIMIT,
+                  sizes: tuple[int, int] | None = None) -> DataFrame:
     """Add ``segment`` and ``page`` to sheet rows (``row`` counts from 0 without gaps).
 
     A segment starts at a mark, or at the n-th blank row in a row. In a table a new
     page also starts after ``page_rows`` data rows. All three counters are running
     sums, so no sheet needs to be walked row by row.
+
+    ``sizes`` are the ``group_sizes`` of rows that lie by sheet already, and are then not moved again.
     """
-    largest, n_rows = group_sizes(rows, SHEET)
+    largest, n_rows = group_sizes(rows, SHEET) if sizes is None else sizes
     known = {"group_limit": group_limit, "known_largest": largest}
     is_table = F.lit(True) if is_table is None else is_table
     after_first = F.col("row") > 0
@@ -62,7 +96,7 @@ def page_segments(rows: DataFrame, is_table: Column | None = None, header_rows:
     marked = F.exists("cells", lambda c: F.coalesce(c.contains(mark), F.lit(False))) if mark else F.lit(False)
     out = rows.withColumns({"_blank": blank & after_first, "_mark": marked & after_first})
     out = out.withColumn("_solid", (~F.col("_blank")).cast("int"))
-    if largest <= group_limit:
+    if largest <= group_limit and sizes is None:
         out = dealt(out, SHEET, n_rows)  # all windows below keep these partitions
     out = running(out, SHEET, ["row"], [Run("_run", "sum", F.col("_solid"))], **known)
     out = running(out, [*SHEET, "_run"], ["row"], [Run("_place", "sum", F.col("_blank").cast("int"))], **known)
@@ -76,17 +110,30 @@ def page_segments(rows: DataFrame, is_table: Column | None = None, header_rows:
     return out.withColumn("page", page).select(*rows.columns, "segment", "page")
 
 
-def detected_segments(rows: DataFrame, panes: DataFrame | None = None, **kw) -> DataFrame:
+def detected_segments(rows: DataFrame, panes: DataFrame | None = None, group_limit: int = GROUP_LIMIT,
+                      sizes: tuple[int, int] | None = None, **kw) -> DataFrame:
     """Page segments where the sheets themselves say what they are.
 
     A sheet that is no table (``detect_tables``) has no page ends but its marks and blank rows; the rows above a frozen
     pane, or the first row, are headers and count for no page.
+
+    Rows are moved once, to partitions of whole sheets, and judged and summed there. With ``sizes`` (see
+    ``page_segments``) they lie there already. Where a sheet is beyond ``group_limit`` they are moved at each step.
     """
-    cells = rows.select(*SHEET, "row", F.posexplode_outer("cells").alias("col", "value")).where(filled(F.col("value")))
-    flags = detect_tables(cells).select(*SHEET, "is_table").join(sheet_profile(cells, panes).select(*SHEET, "frozen"), SHEET)
-    told = salted_join(rows, flags.select(*SHEET, F.col("is_table").alias("_table"), F.greatest("frozen", F.lit(1)).alias("_heads")), SHEET, "left")
-    told = told.withColumns({"_table": F.coalesce("_table", F.lit(False)), "_heads": F.coalesce("_heads", F.lit(1))})
-    return page_segments(told, F.col("_table"), F.col("_heads"), **kw).select(*rows.columns, "segment", "page")
+    counted = group_sizes(rows, SHEET) if sizes is None else sizes
+    if counted[0] <= group_limit:
+        lying = dealt(rows, SHEET, counted[1]) if sizes is None else rows
+        told = sheet_profile(detect_tables(lying, in_place=True), panes, in_place=True)
+        told = told.select(*rows.columns, F.col("_is_table").alias("_table"), F.greatest("_frozen", F.lit(1)).alias("_heads"))
+    else:
+        cells = rows.select(*SHEET, "row", F.posexplode_outer("cells").alias("col", "value")).where(filled(F.col("value")))
+        flags = detect_tables(cells).select(*SHEET, "is_table").join(sheet_profile(cells, panes).select(*SHEET, "frozen"), SHEET)
+        told = salted_join(rows, flags.select(*SHEET, F.col("is_table").alias("_table"), F.greatest("frozen", F.lit(1)).alias("_heads")), SHEET, "left")
+        told = told.withColumns({"_table": F.coalesce("_table", F.lit(False)), "_heads": F.coalesce("_heads", F.lit(1))})
+    # a sheet of several panes has its rows as often
+    times = 1 if panes is None else max(group_sizes(panes.dropna(subset=SHEET), SHEET)[0], 1)
+    out = page_segments(told, F.col("_table"), F.col("_heads"), group_limit=group_limit, sizes=(counted[0] * times, counted[1] * times), **kw)
+    return out.select(*rows.columns, "segment", "page")
 
 
 def paginate(rows: DataFrame, frozen: int = 0, page_rows: int = ROWS_PER_PAGE, source_date: str | None = None) -> DataFrame:
@@ -142,14 +189,41 @@ def frozen_rows(pane: Column) -> Column:
     return F.coalesce(F.greatest(F.regexp_extract(pane, "^[A-Za-z]+([0-9]+)$", 1).try_cast("int") - 1, F.lit(0)), F.lit(0))
 
 
-def sheet_profile(cells: DataFrame, panes: DataFrame | None = None) -> DataFrame:
-    """Rows, columns, has_table and frozen header rows per sheet. ``panes(doc, sheet, pane)``."""
+def sheet_profile(cells: DataFrame, panes: DataFrame | None = None, in_place: bool = False) -> DataFrame:
+    """Rows, columns, has_table and frozen header rows per sheet. ``panes(doc, sheet, pane)``.
+
+    With ``in_place`` it takes sheet rows and adds ``_n_rows``, ``_n_cols``, ``_has_table`` and ``_frozen`` to each, as
+    ``detect_tables`` does.
+    """
+    if in_place:
+        return _profile_in_place(cells, panes)
     base = cells.groupBy(*SHEET).agg((F.max("row") + 1).alias("n_rows"), (F.max("col") + 1).alias("n_cols"))
-    base = base.withColumn("has_table", (F.col("n_rows") > 2) & (F.col("n_cols") > 1))
+    base = base.withColumn("has_table", _has_table(F.col("n_rows"), F.col("n_cols")))
     if panes is None:
         return base.withColumn("frozen", F.lit(0))
     return base.join(panes, SHEET, "left").withColumn("frozen", frozen_rows(F.col("pane"))).drop("pane")
 
 
+def _has_table(n_rows: Column, n_cols: Column) -> Column:
+    return (n_rows > 2) & (n_cols > 1)
+
+
+def _profile_in_place(rows: DataFrame, panes: DataFrame | None) -> DataFrame:
+    sheet = W.partitionBy(*SHEET)
+    last = F.array_max(F.transform("cells", lambda c, i: F.when(filled(c), i)))
+    out = rows.withColumns({"_n_rows": F.max(F.when(last.isNotNull(), F.col("row") + 1)).over(sheet), "_n_cols": F.max(last + 1).over(sheet)})
+    out = out.withColumn("_has_table", _has_table(F.col("_n_rows"), F.col("_n_cols")))
+    if panes is None:
+        return out.withColumn("_frozen", F.lit(0))
+    # a sheet without any cell has no profile
+    on = F.col("_n_rows").isNotNull()
+    for k in SHEET:
+        on = on & (F.col(k) == F.col(f"_k_{k}"))
+    # only the panes are moved, and no rows are sorted for them
+    told = panes.select(*[F.col(k).alias(f"_k_{k}") for k in SHEET], frozen_rows(F.col("pane")).alias("_frozen")).hint("shuffle_hash")
+    out = out.join(told, on, "left").withColumn("_frozen", F.coalesce("_frozen", F.lit(0)))
+    return out.drop(*[f"_k_{k}" for k in SHEET])
+
+
 def wide_documents(cells: DataFrame, above: int = WIDE_ABOVE) -> DataFrame:
     return cells.groupBy("doc").agg((F.max("col") + 1 > above).alias("is_wide"))

@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 from foliant.operators import report as P
 from foliant.operators import sheets as H
 from foliant.operators import sync as Y
-from foliant.operators.ordered import row_numbers
+from foliant.operators.ordered import group_sizes, row_numbers
 from foliant.plans.registry import query
 from foliant.session import cut_lineage, shared_folder, spread, table
 from foliant.sources.keyed_table import KeyedTable
@@ -176,14 +176,20 @@ _CELLS_SQL = f"{_ROWS_SQL}, cells AS (SELECT doc, sheet, row, i AS col, cells[i
 
 
 def sheet_rows(spark, sf_dir):
+    return counted_sheet_rows(spark, sf_dir)[0]
+
+
+def counted_sheet_rows(spark, sf_dir):
+    """The rows of all sheets, whole sheets in a partition, and their ``group_sizes``."""
     li = table(spark, sf_dir, "lineitem").withColumn("sheet", F.concat(F.lit("S"), F.col("l_suppkey").cast("string")))
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
-    numbered = row_numbers(li.select("sheet", "l_returnflag", *order), ["sheet"], order, "n")
+    sizes = group_sizes(li, ["sheet"])
+    numbered = row_numbers(li.select("sheet", "l_returnflag", *order), ["sheet"], order, "n", known_largest=sizes[0], known_rows=sizes[1])
     q = F.col("l_quantity")
     second = F.when(q < 5, "").when(q == 50, "x <<<PAGE_BREAK>>>").otherwise(F.col("l_partkey").cast("string"))
     cells = F.when(F.col("l_linenumber") == 7, F.array(F.lit(""), F.lit(" "), F.lit(""))).otherwise(
         F.array(F.col("l_orderkey").cast("string"), second, F.col("l_returnflag")))
-    return numbered.select(F.lit("book").alias("doc"), "sheet", (F.col("n") - 1).alias("row"), cells.alias("cells"))
+    return numbered.select(F.lit("book").alias("doc"), "sheet", (F.col("n") - 1).alias("row"), cells.alias("cells")), sizes
 
 
 def sheet_cells(spark, sf_dir):
@@ -245,8 +251,9 @@ SELECT sheet, row, segment::BIGINT AS segment, page::BIGINT AS page FROM walk"""
 def sheet_detected_pages(spark, sf_dir):
     """Page breaks of sheets that are tables or not, with headers as their frozen panes say."""
     number = F.substring("sheet", 2, 20).cast("bigint")
-    rows = sheet_rows(spark, sf_dir).withColumn("cells", F.when(number % 4 == 1, F.slice("cells", 1, 1)).otherwise(F.col("cells")))
-    return H.detected_segments(rows, sheet_panes(spark, sf_dir)).select("sheet", "row", "segment", "page")
+    rows, sizes = counted_sheet_rows(spark, sf_dir)
+    rows = rows.withColumn("cells", F.when(number % 4 == 1, F.slice("cells", 1, 1)).otherwise(F.col("cells")))
+    return H.detected_segments(rows, sheet_panes(spark, sf_dir), sizes=sizes).select("sheet", "row", "segment", "page")
 
 
 @query("sheet_pagination", f"""WITH {_ROWS_SQL}, c AS (SELECT sheet, count(*) AS n FROM rows GROUP BY sheet), h AS (SELECT sheet, array_to_string(cells, '|') AS header FROM rows WHERE row = 0)

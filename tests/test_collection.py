@@ -89,6 +89,76 @@ def test_page_segments_equal_a_walk(spark):
                 assert got[sheet, i] == (seg, page), (sheet, i)
 
 
+def _mixed_sheets(spark):
+    """Sheets that are tables or not, blank, short, of one column, without a name, and with cells that are null."""
+    import random
+    rnd = random.Random(5)
+    rows = []
+    for d, s, n, wide, late in (("a", "t", 60, 3, 0), ("b", "t", 40, 1, 0), ("a", "late", 50, 3, 4), ("a", "two", 2, 3, 0), ("a", "empty", 5, 0, 0),
+                                ("a", None, 45, 3, 0), ("a", "gaps", 30, 3, 0), (None, "t", 20, 2, 0)):
+        for i in range(n):
+            cells = [str(i)] * wide if i >= late else [" "]
+            if s == "gaps" and 0 < i < 9:
+                cells = ["only", None, ""] if i % 2 else None
+            x = rnd.random()
+            rows.append((d, s, i, ["", " "] if i > 12 and x < 0.06 else ["x <<<PAGE_BREAK>>>"] if i > 12 and x < 0.1 else cells))
+    return spark.createDataFrame(rows, "doc string, sheet string, row long, cells array<string>").repartition(5)
+
+
+def test_sheets_are_judged_in_place_as_by_their_cells(spark):
+    rows = _mixed_sheets(spark)
+    rows = rows.unionByName(rows.where("sheet = 'late' AND row BETWEEN 4 AND 6"))  # rows that come twice
+    panes = spark.createDataFrame([("a", "t", "A5"), ("a", "gaps", "?"), ("a", "late", "A3"), ("a", "late", "A4"), ("a", None, "A9"), ("a", "empty", "A2"), ("a", "none", "A2")],
+                                  "doc string, sheet string, pane string")
+    cells = rows.select("doc", "sheet", "row", F.posexplode_outer("cells").alias("col", "value")).where(H.filled(F.col("value")))
+    found = lambda df, *names: sorted(tuple(map(str, r)) for r in df.select(*[F.col(c) for c in ("doc", "sheet", *names)]).distinct().collect())
+    named = "doc IS NOT NULL AND sheet IS NOT NULL"
+    judged = H.detect_tables(rows, in_place=True)
+    tables = found(H.detect_tables(cells), "is_table", "n_columns")
+    assert [t for t in found(judged.where(named), "_is_table", "_n_columns") if t[1] != "empty"] == tables
+    assert {t[2] for t in tables} == {"True", "False"}
+    assert not judged.where(f"_is_table AND (NOT ({named}) OR sheet = 'empty')").count()
+    for given in (panes, None):
+        profile = H.sheet_profile(rows, given, in_place=True)
+        assert found(profile.where(f"{named} AND _n_rows IS NOT NULL"), "_n_rows", "_n_cols", "_has_table", "_frozen") == \
+            found(H.sheet_profile(cells, given).where(named), "n_rows", "n_cols", "has_table", "frozen")
+    assert H.sheet_profile(rows, panes, in_place=True).count() == rows.count() + rows.where("sheet = 'late'").count()
+
+
+def test_detected_pages_are_the_same_in_place_and_in_parts(spark):
+    rows = _mixed_sheets(spark).withColumn("frozen", F.lit("own"))
+    panes = spark.createDataFrame([("a", "t", "A5"), ("a", "gaps", "A3"), ("a", "empty", "A2"), ("a", "empty", "A2"), ("a", None, "A9")], "doc string, sheet string, pane string")
+    got = [sorted(map(str, H.detected_segments(rows, p, group_limit=limit, page_rows=4).collect())) for p in (panes, None) for limit in (1000, 25)]
+    assert got[0] == got[1] and got[2] == got[3] and got[0] != got[2] and len(got[0]) == rows.count()
+    sizes = (60, rows.count())
+    assert sorted(map(str, H.detected_segments(rows, panes, sizes=sizes, page_rows=4).collect())) == got[0]
+
+
+def test_detected_pages_move_the_rows_once(spark, tmp_path, monkeypatch):
+    import foliant.operators.ordered as O
+    import foliant.plans.collection as plans
+
+    monkeypatch.setattr(O, "PART_ROWS", 100)
+    i = F.col("id")
+    spark.range(3000).select(
+        (i % 60).alias("l_suppkey"), F.floor(i / 60).alias("l_orderkey"), (i % 7 + 1).cast("int").alias("l_linenumber"), i.alias("l_partkey"),
+        (i % 50 + 1).cast("double").alias("l_quantity"), (i * 1.5).cast("double").alias("l_extendedprice"), F.lit("A").alias("l_returnflag"),
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(60).select(i.alias("s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    counted = []
+    monkeypatch.setattr(H, "group_sizes", lambda df, keys: counted.append(df.columns) or O.group_sizes(df, keys))
+    out = plans.sheet_detected_pages(spark, str(tmp_path))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # rows and panes
+    assert counted == [["doc", "sheet", "pane"]]  # not the rows once more
+    assert out.count() == 3000 and out.select("sheet", "row").distinct().count() == 3000
+    # the operator alone, with rows that lie anywhere
+    rows = spark.range(3000).select(F.concat(F.lit("d"), (i % 2).cast("string")).alias("doc"), F.concat(F.lit("S"), (i % 60).cast("string")).alias("sheet"),
+                                    F.floor(i / 60).alias("row"), F.array(i.cast("string")).alias("cells"))
+    panes = spark.createDataFrame([("d1", "S3", "A3")], "doc string, sheet string, pane string")
+    alone = H.detected_segments(rows, panes)
+    assert alone._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+
+
 def test_sheet_helpers(spark):
     cells = [("d", "s", r, c, f"{r}{c}") for r in range(2, 11) for c in range(1, 6) if (r, c) != (3, 2)] + [("d", "t", 0, 0, "x")]
     df = spark.createDataFrame(cells, "doc string, sheet string, row int, col int, value string")
